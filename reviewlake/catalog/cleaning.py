@@ -8,6 +8,7 @@ from reviewlake.catalog.registry import (
     SQL_REVIEWS,
     query,
     reviews,
+    silver,
     sql_city,
     sql_clean,
     sql_cleaned,
@@ -112,13 +113,13 @@ SELECT sentiment_classification, count(*) AS n FROM cleaned GROUP BY sentiment_c
 
 @query("sentiment_distribution", _distribution_sql(False))
 def sentiment_distribution(spark, sf_dir):
-    cleaned = clean_columns(reviews(spark, sf_dir))
+    cleaned = silver(spark, sf_dir, "sentiment_classification")
     return value_counts(cleaned, "sentiment_classification", by_value=True)
 
 
 @query("sentiment_distribution_parity", _distribution_sql(True))
 def sentiment_distribution_parity(spark, sf_dir):
-    cleaned = clean_columns(reviews(spark, sf_dir), parity=True)
+    cleaned = silver(spark, sf_dir, "sentiment_classification", parity=True)
     return value_counts(cleaned, "sentiment_classification", by_value=True)
 
 
@@ -176,4 +177,4 @@ _PROFILED = ["city", "travel_type", "duration", "positive_review", "negative_rev
 
 @query("data_quality_profile", _profile_sql(_PROFILED))
 def data_quality_profile(spark, sf_dir):
-    return null_profile(clean_columns(reviews(spark, sf_dir)), *_PROFILED)
+    return null_profile(silver(spark, sf_dir, *_PROFILED), *_PROFILED)

@@ -9,6 +9,7 @@ from reviewlake.catalog.registry import (
     joined,
     query,
     reviews,
+    silver,
     sql_cleaned,
     sql_in,
     sql_list,
@@ -19,7 +20,6 @@ from reviewlake.functions.labels import sentiment_label
 from reviewlake.functions.text import word_tokens
 from reviewlake.lexicons import NEGATIVE_WORDS
 from reviewlake.operators import dashboard
-from reviewlake.plans.cleaning import clean_columns
 
 CUSTOM_WORDS = ["new", "large", "hot", "red", "blue"]
 FUNCTION_WORDS = ["the", "and", "of", "to", "que", "les", "der", "und", "los", "una"]
@@ -83,7 +83,7 @@ def feedback_without_sentinel(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir, parity):
-    cleaned = clean_columns(reviews(spark, sf_dir), parity=parity)
+    cleaned = silver(spark, sf_dir, "travel_type", "sentiment_classification", parity=parity)
     label = sentiment_label(F.col("sentiment_classification"), parity=parity)
     return cleaned.withColumn("sentiment", label)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewlake.catalog.registry import (
     joined,
     query,
-    reviews,
+    silver,
     sql_ascii_tokens,
     sql_cleaned,
     sql_in,
@@ -19,7 +19,6 @@ from reviewlake.catalog.registry import (
 from reviewlake.lexicons import HOTEL_STOPWORDS, NO_TRANSLATION_NEGATIVE, NO_TRANSLATION_POSITIVE, STOPWORDS
 from reviewlake.operators.dedup import duplicate_count, new_rows
 from reviewlake.operators.translate import apply_memory
-from reviewlake.plans.cleaning import clean_columns
 from reviewlake.plans.gold import build_gold
 from reviewlake.session import persist_reliably
 
@@ -104,10 +103,16 @@ _GOLD_TOKENS = sorted(
 )
 
 
+_SILVER_COLUMNS = [
+    "id", "city", "hotel_name", "reviewer_name", "duration", "travel_type", "review_date",
+    "positive_review", "negative_review", "lang", "sentiment_classification",
+]
+
+
 def _translated(spark, sf_dir):
     """Cleaned reviews with both sides translated through a stand-in memory."""
-    silver = persist_reliably(clean_columns(reviews(spark, sf_dir)))
-    labelled = silver.join(
+    cleaned = silver(spark, sf_dir, *_SILVER_COLUMNS)
+    labelled = cleaned.join(
         table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi"
     )
     texts = F.explode(F.array("positive_review", "negative_review")).alias("text")
@@ -122,8 +127,8 @@ def _translated(spark, sf_dir):
         ("negative_review", NO_TRANSLATION_NEGATIVE),
         ("positive_review", NO_TRANSLATION_POSITIVE),
     ):
-        silver = apply_memory(silver, "id", side, "lang", memory, sentinels, f"{side}_translated")
-    return persist_reliably(silver)
+        cleaned = apply_memory(cleaned, "id", side, "lang", memory, sentinels, f"{side}_translated")
+    return persist_reliably(cleaned)
 
 
 def _sql_translated(side: str, sentinels) -> str:

@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlake.functions.text import NON_ALNUM, NON_LETTER, SPACES, WHITESPACE
+from reviewlake.functions.text import WHITESPACE
 from reviewlake.lexicons import CITIES, CONTRACTIONS, SENTIMENT_SENTINELS, SENTINELS_EXTENDED, STOPWORDS
+from reviewlake.plans.cleaning import clean_columns
+from reviewlake.session import persist_reliably
+from reviewlake.sources.tables import spread_small_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Tables whose rows are texts, with the key that identifies a row.
+_TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_scan(df, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 def joined(column, separator: str = "|"):
@@ -56,8 +64,9 @@ def sql_strip(c: str) -> str:
 
 
 def sql_clean(c: str) -> str:
-    inner = f"regexp_replace({c}, {sql_text(NON_LETTER)}, ' ', 'g')"
-    return f"lower({sql_strip(f'regexp_replace({inner}, {sql_text(SPACES)}, chr(32), {chr(39)}g{chr(39)})')})"
+    letters = f"regexp_replace({c}, '[^a-zA-Z{WHITESPACE}]', ' ', 'g')"
+    single = f"regexp_replace({letters}, '[{WHITESPACE}]{{2,}}', ' ', 'g')"
+    return f"lower({sql_strip(single)})"
 
 
 def sql_stop(c: str, stopwords: Iterable[str] = STOPWORDS) -> str:
@@ -89,7 +98,7 @@ def sql_city(c: str) -> str:
 
 
 def sql_duration(c: str) -> str:
-    return f"regexp_replace({c}, {sql_text(NON_ALNUM)}, ' ', 'g')"
+    return f"regexp_replace({c}, '[^0-9a-zA-Z{WHITESPACE}]', ' ', 'g')"
 
 
 def sql_sentiment(neg: str, pos: str, parity: bool) -> str:
@@ -136,6 +145,15 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def silver(spark: SparkSession, sf_dir: str, *columns: str, parity: bool = False) -> DataFrame:
+    """Columns of the cleaned reviews as a stored layer.
+
+    Reports read a stored layer on purpose: a filter on a computed column is moved
+    below the projection, and every text would be cleaned once more for it.
+    """
+    return persist_reliably(clean_columns(reviews(spark, sf_dir), parity=parity).select(*columns))
+
+
 def _sql_pick(values) -> str:
     cases = " ".join(
         f"WHEN {k} THEN {'NULL' if v is None else sql_text(v)}" for k, v in enumerate(values)
@@ -169,16 +187,16 @@ def sql_cleaned(parity: bool) -> str:
         return f"CASE WHEN {c} = '' THEN {empty} ELSE {c} END AS {c}"
 
     return f"""{SQL_REVIEWS},
-lettered AS (SELECT * REPLACE ({sql_clean(raw('hotel_name'))} AS hotel_name,
+lettered AS MATERIALIZED (SELECT * REPLACE ({sql_clean(raw('hotel_name'))} AS hotel_name,
   {sql_clean(raw('positive_review'))} AS positive_review,
   {sql_clean(raw('negative_review'))} AS negative_review,
   {sql_city('city')} AS city, {sql_duration(raw('duration'))} AS duration,
   replace({raw('review_date')}, 'Reviewed: ', '') AS review_date) FROM reviews),
-stopped AS (SELECT * REPLACE ({sql_stop('hotel_name')} AS hotel_name,
+stopped AS MATERIALIZED (SELECT * REPLACE ({sql_stop('hotel_name')} AS hotel_name,
   {sql_stop('positive_review')} AS positive_review,
   {sql_stop('negative_review')} AS negative_review) FROM lettered),
 marked AS (SELECT * REPLACE ({side('positive_review')}, {side('negative_review')}) FROM stopped),
-cleaned AS (SELECT *, {sql_sentiment('negative_review', 'positive_review', parity)}
+cleaned AS MATERIALIZED (SELECT *, {sql_sentiment('negative_review', 'positive_review', parity)}
   AS sentiment_classification FROM marked)"""
 
 
@@ -191,13 +209,13 @@ def sql_tfidf(prefix: str, source: str, stopwords: Iterable[str] = STOPWORDS) ->
     ``source`` is a relation (id, text).
     """
     p = prefix
-    return f"""{p}_tok AS (SELECT id, {sql_vectorizer_tokens('text', stopwords)} AS l
+    return f"""{p}_tok AS MATERIALIZED (SELECT id, {sql_vectorizer_tokens('text', stopwords)} AS l
   FROM {source} WHERE length({sql_strip('text')}) > 10),
 {p}_n AS (SELECT count(*) AS n FROM {p}_tok),
 {p}_terms AS (SELECT id, unnest(l) AS term FROM {p}_tok UNION ALL
   SELECT id, unnest(list_transform(generate_series(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1]))
   FROM {p}_tok WHERE len(l) > 1),
-{p}_tf AS (SELECT id, term, count(*) AS tf FROM {p}_terms GROUP BY id, term),
+{p}_tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM {p}_terms GROUP BY id, term),
 {p}_df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM {p}_tf GROUP BY term),
 {p}_vocab AS (SELECT term, total, df, ln((1 + n)::DOUBLE / (1 + df)) + 1.0 AS idf FROM {p}_df, {p}_n
   WHERE n > 1 AND df <= 0.8 * n ORDER BY total DESC, term LIMIT 1000),

@@ -15,10 +15,14 @@ _SPACE_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680
                  (0x3000, 0x3000)]
 WHITESPACE = "".join(chr(c) for lo, hi in _SPACE_RANGES for c in range(lo, hi + 1))
 
-NON_LETTER = f"[^a-zA-Z{WHITESPACE}]"
-NON_ALNUM = f"[^0-9a-zA-Z{WHITESPACE}]"
-SPACES = f"[{WHITESPACE}]{{2,}}"
-BLANKS = f"[{WHITESPACE}]+"
+# The same set as a Java class; a long list of single characters is slow there.
+_SPACE = r"[\s\x1c-\x1f]"
+# One pass for "everything but letters and white space becomes a blank, then runs
+# of white space become one blank": a run of two or more other characters is one
+# blank, and so is a single one that is not white space.
+NOT_LETTERS = rf"(?U)[^a-zA-Z](?:[^a-zA-Z]+|(?<!{_SPACE}))"
+NOT_ALNUM = r"(?U)[^0-9a-zA-Z\s\x1c-\x1f]"
+BLANKS = rf"(?U){_SPACE}+"
 WORD = r"[\p{L}\p{N}_]+"
 VECTORIZER_WORD = r"[\p{L}\p{N}_]{2,}"
 ASCII_WORD = r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"
@@ -43,9 +47,7 @@ def as_text(c: Column) -> Column:
 def clean_text(c: Column, parity: bool = False) -> Column:
     """letters and single spaces only, lower-case."""
     c = as_text(c) if parity else c
-    c = F.regexp_replace(c, NON_LETTER, " ")
-    c = F.regexp_replace(c, SPACES, " ")
-    return F.lower(strip(c))
+    return F.lower(strip(F.regexp_replace(c, NOT_LETTERS, " ")))
 
 
 def remove_stopwords(
@@ -55,11 +57,11 @@ def remove_stopwords(
 ) -> Column:
     """drop stop words and join the rest with one space; blank passes through."""
     stop = literal_words(stopwords)
+    halves = [parts.split(" ") for parts in contractions.values()]
+    first_half = "|".join(rf"{a}(?={b}\b)" for a, b in halves)
 
     def body(text: Column) -> Column:
-        split_up = text
-        for whole, parts in contractions.items():
-            split_up = F.regexp_replace(split_up, rf"\b{whole}\b", parts)
+        split_up = F.regexp_replace(text, rf"\b({first_half})", "$1 ") if halves else text
         tokens = F.split(strip(split_up), BLANKS)
         kept = F.filter(tokens, lambda t: ~F.lower(t).isin(stop)) if stop else tokens
         return F.when(strip(text) == "", text).otherwise(F.array_join(kept, " "))
@@ -77,7 +79,7 @@ def normalize_city(c: Column, cities: Iterable[str] = CITIES) -> Column:
 
 def clean_duration(c: Column, parity: bool = False) -> Column:
     """punctuation becomes a blank; nothing is trimmed or collapsed."""
-    return F.regexp_replace(as_text(c) if parity else c, NON_ALNUM, " ")
+    return F.regexp_replace(as_text(c) if parity else c, NOT_ALNUM, " ")
 
 
 def clean_review_date(c: Column, parity: bool = False) -> Column:
@@ -132,9 +134,7 @@ def letter_trigrams(c: Column) -> Column:
     quadratic on long texts.
     """
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "), F.lit(" "))
-    return F.regexp_extract_all(
-        F.regexp_replace(padded, " {2,}", " "), F.lit(r"(?=(.[^ ].))"), 1
-    )
+    return F.regexp_extract_all(padded, F.lit(r"(?=(.[^ ].))"), 1)
 
 
 def is_analysable(c: Column, min_length: int = 10) -> Column:

@@ -13,8 +13,8 @@ from reviewlake.functions.text import letter_trigrams, strip
 from reviewlake.lexicons import ENGLISH_PATTERNS
 from reviewlake.session import broadcast_if_bounded, persist_reliably
 
-#: Largest profile table that is broadcast (languages x profile size).
-MAX_PROFILE_ROWS = 500_000
+#: Largest number of profile trigrams that is broadcast.
+MAX_PROFILE_ROWS = 200_000
 
 #: Log-probabilities are kept as whole millionths, so that sums do not depend on
 #: the order in which partitions are added up.
@@ -82,21 +82,42 @@ def detect_language(
     Candidates are the languages that share a trigram with the text; ties go to
     the smaller code. Texts of three or fewer characters and texts without a
     known trigram get the default. ``key`` must be unique.
+
+    The profiles become one row per trigram with one gain per language. All
+    trigrams of a text sit in one task, so its scores are added up before the only
+    shuffle, which carries one row of whole numbers per text.
     """
-    long_enough = F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
-    rows = df.select(
-        key, F.when(long_enough, letter_trigrams(F.col(text))).alias("_trigrams")
+    stored = persist_reliably(profiles)
+    floors = [tuple(r) for r in stored.groupBy("lang").agg(F.first("floor")).collect()]
+    floors.sort()
+    if not floors:
+        return df.select(key, F.lit(default).alias("lang"))
+    gains = [
+        F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("gain"))), F.lit(0)).alias(f"_g{i}")
+        for i, (lang, _) in enumerate(floors)
+    ]
+    wide = broadcast_if_bounded(
+        persist_reliably(stored.groupBy("trigram").agg(*gains)), MAX_PROFILE_ROWS
     )
-    small = broadcast_if_bounded(persist_reliably(profiles), MAX_PROFILE_ROWS)
+    long_enough = F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
+    sums = [F.sum(f"_g{i}").alias(f"_g{i}") for i in range(len(floors))]
+    # The left join keeps unknown trigrams, so that the same pass counts them all;
+    # carrying the array's size along would copy the array into every row.
     scored = (
-        rows.select(key, F.size("_trigrams").alias("_n"), F.explode("_trigrams").alias("trigram"))
-        .join(small, "trigram")
-        .groupBy(key, "lang")
-        .agg((F.sum("gain") + F.first("_n") * F.first("floor")).alias("score"))
-    )
-    best = scored.groupBy(key).agg(
-        F.min(F.struct((-F.col("score")).alias("cost"), "lang")).getField("lang").alias("lang")
+        df.where(long_enough)
+        .select(key, F.explode(letter_trigrams(F.col(text))).alias("trigram"))
+        .join(wide, "trigram", "left")
+        .groupBy(key)
+        .agg(F.count("*").alias("_n"), *sums)
     )
+    candidates = [
+        F.when(
+            F.col(f"_g{i}") > 0,
+            F.struct((-F.col(f"_g{i}") - F.col("_n") * floor).alias("cost"), F.lit(lang).alias("lang")),
+        )
+        for i, (lang, floor) in enumerate(floors)
+    ]
+    best = scored.select(key, F.array_min(F.array(*candidates)).getField("lang").alias("lang"))
     return df.select(key).join(best, key, "left").withColumn(
         "lang", F.coalesce("lang", F.lit(default))
     )

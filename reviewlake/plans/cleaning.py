@@ -51,19 +51,35 @@ def clean_columns(
     return cleaned
 
 
+def unique_reviews(bronze: DataFrame, parity: bool = False) -> DataFrame:
+    """U2 on bronze rows.
+
+    In parity mode rows are compared with their serial ``id``. Otherwise the
+    business columns decide and the lowest ``id`` stays.
+    """
+    if parity:
+        return dedup_rows(bronze, bronze.columns)
+    return dedup_rows(bronze, [c for c in bronze.columns if c not in ("id", "scraped_at")])
+
+
 def clean_reviews(
     bronze: DataFrame,
     parity: bool = False,
     stopwords: Iterable[str] = STOPWORDS,
     sentinels: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Dedup, load time, cleaning, sentiment; the silver columns in order.
+    """Dedup, load time, cleaning, sentiment; the silver columns in order."""
+    return to_silver(unique_reviews(bronze, parity), parity, stopwords, sentinels)
 
-    In parity mode rows are compared with their serial ``id``. Otherwise the
-    business columns decide and the lowest ``id`` stays.
-    """
-    ignored = {"id", "scraped_at"}
-    business = None if parity else [c for c in bronze.columns if c not in ignored]
-    unique = dedup_rows(bronze, bronze.columns if parity else business)
+
+def to_silver(
+    unique: DataFrame,
+    parity: bool = False,
+    stopwords: Iterable[str] = STOPWORDS,
+    sentinels: Iterable[str] | None = None,
+    keep: Iterable[str] = (),
+) -> DataFrame:
+    """The row-local part of the job; ``keep`` names extra columns."""
     stamped = unique.withColumn("ingestion_timestamp", F.current_timestamp())
-    return keep_known(clean_columns(stamped, parity, stopwords, sentinels), SILVER_CLEANED)
+    cleaned = clean_columns(stamped, parity, stopwords, sentinels)
+    return keep_known(cleaned, [*SILVER_CLEANED.names, *keep])

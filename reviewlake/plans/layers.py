@@ -22,7 +22,7 @@ from reviewlake.operators.translate import (
     run_translator,
     translation_candidates,
 )
-from reviewlake.plans.cleaning import clean_reviews
+from reviewlake.plans.cleaning import to_silver, unique_reviews
 from reviewlake.plans.gold import build_gold
 from reviewlake.schemas import GOLD_REVIEWS, SILVER_TRANSLATED, TRANSLATION_MEMORY, keep_known
 from reviewlake.sources.sinks import append_new, create_if_absent, overwrite, with_generated
@@ -96,15 +96,26 @@ def run_layers(
     """Run every stage and return the reports.
 
     Each stage reads the table the stage before wrote, so nothing is computed
-    twice and a lost executor costs at most one stage.
+    twice and a lost executor costs at most one stage. Languages are detected on
+    the raw texts; in parity mode on the cleaned ones, which have lost every
+    letter outside a-z.
     """
-    overwrite(clean_reviews(bronze, parity, stopwords), layers.silver)
+    unique_path, tagged_path = layers.path("bronze_unique"), layers.path("tagged")
+    overwrite(unique_reviews(bronze, parity), unique_path)
+    unique = spark.read.parquet(unique_path)
+    if parity:
+        overwrite(to_silver(unique, parity, stopwords), layers.silver)
+        overwrite(with_languages(spark.read.parquet(layers.silver), profiles), tagged_path)
+        tagged = spark.read.parquet(tagged_path)
+    else:
+        overwrite(with_languages(unique, profiles), tagged_path)
+        languages = [f"{side}_lang" for side in SIDES]
+        raw = spark.read.parquet(tagged_path)
+        overwrite(to_silver(raw, parity, stopwords, keep=languages), layers.silver)
+        tagged = spark.read.parquet(layers.silver)
     silver = spark.read.parquet(layers.silver)
 
     create_if_absent(spark, layers.memory, TRANSLATION_MEMORY)
-    tagged_path = layers.path("silver_tagged")
-    overwrite(with_languages(silver, profiles), tagged_path)
-    tagged = spark.read.parquet(tagged_path)
     memory = spark.read.parquet(layers.memory)
     if translator is not None:
         fresh_path = layers.path("translation_memory__new")

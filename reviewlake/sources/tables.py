@@ -21,6 +21,16 @@ def scan(
     return df if limit is None else df.limit(limit)
 
 
+def spread_small_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Give per-row text work all the cores when the scan has fewer splits than that.
+
+    A small table in one file is one task however many cores there are. A table
+    with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def scan_jdbc(
     spark: SparkSession,
     url: str,
