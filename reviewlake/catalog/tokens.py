@@ -9,6 +9,7 @@ from reviewlake.functions.arrays import array_length, array_literal, empty_to_nu
 from reviewlake.functions.text import ascii_tokens
 from reviewlake.lexicons import CATEGORY_TERMS, HOTEL_STOPWORDS, STOPWORDS, category_frame, word_frame
 from reviewlake.operators import tokens as ops
+from reviewlake.operators.metrics import preview
 
 # Words that occur in the stand-in texts, in three topics.
 TOPICS = {
@@ -129,6 +130,18 @@ def token_totals(spark, sf_dir):
     return totals.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+@query(
+    "preview_tokens",
+    f"""WITH {_SIDES} SELECT doc_id, array_to_string(p, '|') AS positive_tokens,
+  array_to_string(n, '|') AS negative_tokens FROM sides WHERE len(p) > 0 OR len(n) > 0
+ORDER BY doc_id LIMIT 15""",
+)
+def preview_tokens(spark, sf_dir):
+    sides = ("positive_tokens", "negative_tokens")
+    first = preview(_sides(spark, sf_dir), 15, F.asc("doc_id"), non_empty=sides)
+    return first.select("doc_id", *[joined(c).alias(c) for c in sides])
+
+
 @query(
     "sentiment_slice",
     f"""WITH {_SIDES}, coded AS (SELECT *, CASE lang WHEN 'en' THEN -1 WHEN 'fr' THEN 0 ELSE 1 END AS code FROM sides)

@@ -136,9 +136,9 @@ LABELS = {
     NO_SIDE: "Empty",
 }
 
-#: Default domain vocabulary: every categorised term. Pass a longer one with
-#: ``vocabulary=read_word_list(...)``.
-DOMAIN_VOCABULARY = sorted({t for terms in CATEGORY_TERMS.values() for t in terms})
+#: Default domain vocabulary: the categorised terms that count as domain terms.
+#: Pass a longer one with ``vocabulary=read_word_list(...)``.
+DOMAIN_VOCABULARY = sorted({t for terms in CATEGORY_TERMS.values() for t in terms} - {"cafe", "wine"})
 
 #: A word list becomes a literal in the plan; longer lists must be joined.
 MAX_LITERAL_WORDS = 20_000

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from reviewlake.functions.labels import on_day, ratio_percent, season_matches, season_matches_part
 from reviewlake.lexicons import RUN_PRESETS
+from reviewlake.operators.metrics import side_by_side
 
 
 def pending_links(links: DataFrame, flag: str = "is_scraped") -> DataFrame:
@@ -51,10 +52,7 @@ def crawl_statistics(
         F.count("*").alias("total_hotels"),
         F.count_if(~done).alias("unscraped_hotels"),
     ).withColumn("completion_rate", ratio_percent(F.col("scraped_hotels"), F.col("total_hotels")))
-    # Two one-row frames side by side.
-    return per_review.withColumn("_one", F.lit(1)).join(
-        per_link.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    return side_by_side(per_review, per_link)
 
 
 def run_limits(preset: str) -> tuple[int | None, int | None]:

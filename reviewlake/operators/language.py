@@ -74,24 +74,17 @@ def fit_language_profiles(
     return profile.join(floors, "lang")
 
 
-def detect_language(
-    df: DataFrame, key: str, text: str, profiles: DataFrame, default: str = "en"
-) -> DataFrame:
-    """(key, lang) with the most probable language of each text.
-
-    Candidates are the languages that share a trigram with the text; ties go to
-    the smaller code. Texts of three or fewer characters and texts without a
-    known trigram get the default. ``key`` must be unique.
+def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
+    """(key, lang) for the texts that share a trigram with some profile.
 
     The profiles become one row per trigram with one gain per language. All
     trigrams of a text sit in one task, so its scores are added up before the only
     shuffle, which carries one row of whole numbers per text.
     """
     stored = persist_reliably(profiles)
-    floors = [tuple(r) for r in stored.groupBy("lang").agg(F.first("floor")).collect()]
-    floors.sort()
+    floors = sorted(tuple(r) for r in stored.groupBy("lang").agg(F.first("floor")).collect())
     if not floors:
-        return df.select(key, F.lit(default).alias("lang"))
+        return df.select(key, F.lit(None).cast("string").alias("lang")).limit(0)
     gains = [
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("gain"))), F.lit(0)).alias(f"_g{i}")
         for i, (lang, _) in enumerate(floors)
@@ -117,21 +110,37 @@ def detect_language(
         )
         for i, (lang, floor) in enumerate(floors)
     ]
-    best = scored.select(key, F.array_min(F.array(*candidates)).getField("lang").alias("lang"))
-    return df.select(key).join(best, key, "left").withColumn(
-        "lang", F.coalesce("lang", F.lit(default))
-    )
+    return scored.select(key, F.array_min(F.array(*candidates)).getField("lang").alias("lang"))
+
+
+def detect_language(
+    df: DataFrame, key: str, text: str, profiles: DataFrame, default: str = "en"
+) -> DataFrame:
+    """(key, lang) with the most probable language of each text.
+
+    Candidates are the languages that share a trigram with the text; ties go to
+    the smaller code. Texts of three or fewer characters and texts without a
+    known trigram get the default. ``key`` must be unique.
+    """
+    best = _best_language(df, key, text, profiles)
+    detected = df.select(key).join(best, key, "left")
+    return detected.withColumn("lang", F.coalesce("lang", F.lit(default)))
 
 
 def tag_language(
-    df: DataFrame, key: str, text: str, profiles: DataFrame, name: str = "lang"
+    df: DataFrame,
+    key: str,
+    text: str,
+    profiles: DataFrame,
+    name: str = "lang",
+    default: str = "en",
 ) -> DataFrame:
-    """F12 first, F13 only for the texts the shortcut does not settle."""
-    flagged = df.withColumn("_english", english_shortcut(F.col(text)))
-    unsettled = detect_language(flagged.where(~F.col("_english")), key, text, profiles)
-    detected = unsettled.select(key, F.col("lang").alias("_detected"))
-    return (
-        flagged.join(detected, key, "left")
-        .withColumn(name, F.when(F.col("_english"), "en").otherwise(F.col("_detected")))
-        .drop("_english", "_detected")
-    )
+    """F12 first, F13 only for the texts the shortcut does not settle.
+
+    Both sides of the join have one row per key, so no task sees a hot key; a
+    second tag on the same key finds the rows already partitioned.
+    """
+    unsettled = df.where(~english_shortcut(F.col(text)))
+    best = _best_language(unsettled, key, text, profiles)
+    tagged = df.join(best.select(key, F.col("lang").alias("_best")), key, "left")
+    return tagged.withColumn(name, F.coalesce("_best", F.lit(default))).drop("_best")

@@ -18,6 +18,22 @@ def table_counts(**tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without a cross join."""
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames
+    )
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def preview(df: DataFrame, n: int, *order: Column, non_empty: tuple[str, ...] = ()) -> DataFrame:
+    """T4: the first ``n`` rows in a given order; with ``non_empty``, only rows where
+    one of these list columns has an item."""
+    if non_empty:
+        df = df.where(reduce(lambda a, b: a | b, [F.size(c) > 0 for c in non_empty]))
+    return df.orderBy(*order).limit(n)
+
+
 def null_profile(df: DataFrame, *columns: str, empty: str = "") -> DataFrame:
     """Per column the rows that are present, missing and empty; one pass."""
     columns = columns or tuple(df.columns)
@@ -87,8 +103,7 @@ def crawl_report(outcome: DataFrame, reviews: DataFrame, links: DataFrame) -> Da
         F.sum(F.when(F.col("layer") == "links", F.col("rows"))).alias("total_hotels"),
         F.sum(F.when(F.col("layer") == "reviews", F.col("rows"))).alias("total_reviews"),
     )
-    joined = counts.withColumn("_one", F.lit(1)).join(outcome.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
+    return side_by_side(counts, outcome).select(
         "total_hotels", "processed", "failed", "success_rate", "total_reviews",
         crawl_status(F.col("failed"), F.col("total_reviews")).alias("status"),
     )
@@ -127,5 +142,4 @@ def gold_report(source: DataFrame, gold: DataFrame, inserted: DataFrame) -> Data
             for n in ("source", "final", "ingested")
         ]
     )
-    joined = counts.withColumn("_one", F.lit(1)).join(tokens.withColumn("_one", F.lit(1)), "_one")
-    return joined.drop("_one").withColumn("status", step_status(F.col("ingested_rows")))
+    return side_by_side(counts, tokens).withColumn("status", step_status(F.col("ingested_rows")))

@@ -18,7 +18,10 @@ from reviewlake.functions.text import (
     vectorizer_tokens,
 )
 from reviewlake.lexicons import STOPWORDS
-from reviewlake.session import broadcast_if_bounded, persist_reliably
+from reviewlake.session import persist_reliably
+
+#: A fitted vocabulary travels through the driver and is broadcast.
+MAX_FEATURES = 200_000
 
 #: Largest word list broadcast to prune bigrams; beyond it nothing is pruned.
 MAX_FREQUENT_WORDS = 100_000
@@ -51,6 +54,8 @@ def fit_vocabulary(
     word, so only bigrams of two words at or above the threshold can be features,
     and the rest are dropped before the shuffle. The result is exact.
     """
+    if not 0 < max_features <= MAX_FEATURES:
+        raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
     spark = df.sparkSession
     valid = df.where(is_analysable(F.col(text))).select(
         vectorizer_tokens(F.col(text), stopwords).alias("tokens")

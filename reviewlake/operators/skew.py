@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def key_digest(keys: Sequence[str]) -> Column:
@@ -18,11 +18,14 @@ def hot_digests(df: DataFrame, keys: Sequence[str], hot_fraction: float = 0.01)
     There are at most ``1 / hot_fraction`` of them, whatever the size of ``df``, so
     they fit in the plan as literals. Counting is map-side combined on 8-byte keys.
     """
-    counts = df.groupBy(key_digest(keys).alias("_digest")).agg(F.count("*").alias("_n"))
+    rows = Observation()
+    digests = df.select(key_digest(keys).alias("_digest")).observe(
+        rows, F.count(F.lit(1)).alias("total")
+    )
+    counts = digests.groupBy("_digest").agg(F.count("*").alias("_n"))
     most = math.ceil(1 / hot_fraction)
-    heaviest = counts.orderBy(F.desc("_n")).limit(most)
-    total = df.count()
-    return [r["_digest"] for r in heaviest.collect() if r["_n"] >= hot_fraction * total]
+    heaviest = counts.orderBy(F.desc("_n")).limit(most).collect()
+    return [r["_digest"] for r in heaviest if r["_n"] >= hot_fraction * rows.get["total"]]
 
 
 def salted_left_join(
