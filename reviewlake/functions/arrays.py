@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
-from reviewlake.lexicons import words_column
+from reviewlake.lexicons import literal_words, words_column
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,6 +56,13 @@ def members(tokens: Column, vocabulary: Iterable[str]) -> Column:
     return F.sort_array(F.array_intersect(tokens, words_column(vocabulary)))
 
 
+def sql_words(words: Iterable[str]) -> str:
+    """``('a', 'b')`` for a SQL expression; one call for a list of thousands of words,
+    where ``isin`` makes one call per word."""
+    escaped = (w.replace("\\", "\\\\").replace("'", "\\'") for w in literal_words(words))
+    return "(" + ", ".join(f"'{w}'" for w in escaped) + ")"
+
+
 def empty_to_null(tokens: Column) -> Column:
     """An empty list is stored as NULL."""
     return F.when(F.size(tokens) > 0, tokens)

@@ -10,22 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.functions.arrays import empty_strings, run_lengths
+from reviewlake.functions.arrays import empty_strings, run_lengths, sql_words
 from reviewlake.functions.text import (
     bigrams,
     is_analysable,
     unigrams_and_bigrams,
     vectorizer_tokens,
 )
-from reviewlake.lexicons import STOPWORDS
+from reviewlake.lexicons import MAX_LITERAL_WORDS, STOPWORDS
 from reviewlake.session import persist_reliably
 
 #: A fitted vocabulary travels through the driver and is broadcast.
 MAX_FEATURES = 200_000
 
-#: Largest word list broadcast to prune bigrams; beyond it nothing is pruned.
-MAX_FREQUENT_WORDS = 100_000
-
 VOCABULARY_SCHEMA = "term string, total long, df long, idf double"
 
 
@@ -38,6 +35,12 @@ def _term_stats(df: DataFrame, terms: Column) -> DataFrame:
     )
 
 
+def _short_list(terms: DataFrame) -> list[str] | None:
+    """The terms if they are few enough for a plan literal, else None."""
+    rows = terms.limit(MAX_LITERAL_WORDS + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= MAX_LITERAL_WORDS else None
+
+
 def fit_vocabulary(
     df: DataFrame,
     text: str,
@@ -77,17 +80,16 @@ def fit_vocabulary(
     top_words = kept.orderBy(*by_frequency).limit(max_features).collect()
     threshold = top_words[-1]["total"] if len(top_words) == max_features else 1
 
-    pairs = valid.select(F.explode(run_lengths(bigrams(F.col("tokens")))).alias("t"))
-    frequent = words.where((F.col("total") >= threshold) & (F.col("term") != "")).select("term")
-    if threshold > 1 and frequent.limit(MAX_FREQUENT_WORDS + 1).count() <= MAX_FREQUENT_WORDS:
-        for part in (1, -1):
-            side = frequent.withColumnRenamed("term", "_word")
-            word = F.substring_index("t.term", " ", part)
-            pairs = pairs.join(F.broadcast(side), word == F.col("_word"), "left_semi")
-    pair_stats = (
-        pairs.groupBy("t.term")
-        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
-        .where(allowed & (F.col("total") >= threshold))
+    pairs = bigrams(F.col("tokens"))
+    frequent = _short_list(
+        words.where((F.col("total") >= threshold) & (F.col("term") != "")).select("term")
+    )
+    if threshold > 1 and frequent is not None:
+        # A rare word becomes NULL, and so does every pair it is part of.
+        known = F.expr(f"transform(tokens, t -> CASE WHEN t IN {sql_words(frequent)} THEN t END)")
+        pairs = F.filter(bigrams(known), lambda p: p.isNotNull())
+    pair_stats = _term_stats(valid, run_lengths(pairs)).where(
+        allowed & (F.col("total") >= threshold)
     )
     # At most max_features rows on each side from here on.
     words_again = spark.createDataFrame(
@@ -116,8 +118,11 @@ def term_scores(
     Counts are made inside the row and the vocabulary has a fixed size, so this
     step does not shuffle.
     """
-    terms = run_lengths(unigrams_and_bigrams(vectorizer_tokens(F.col(text), stopwords)))
-    exploded = df.where(is_analysable(F.col(text))).select(key, F.explode(terms).alias("t"))
+    terms = unigrams_and_bigrams(vectorizer_tokens(F.col(text), stopwords))
+    rows = df.where(is_analysable(F.col(text))).select(key, terms.alias("terms"))
+    listed = _short_list(vocabulary.select("term"))
+    kept = F.expr(f"filter(terms, t -> t IN {sql_words(listed)})") if listed else F.col("terms")
+    exploded = rows.select(key, F.explode(run_lengths(kept)).alias("t"))
     return exploded.join(
         F.broadcast(vocabulary.select("term", "idf")), F.col("t.term") == F.col("term")
     ).select(key, "term", "t.tf", (F.col("t.tf") * F.col("idf")).alias("score"))

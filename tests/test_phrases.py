@@ -120,3 +120,9 @@ def test_attach_keeps_rows_without_phrases(spark):
     out = ops.attach_phrases(docs, "id", ops.tfidf_phrases(docs, "id", "text", stopwords=()), "p")
     assert {r["id"]: r["p"] for r in out.collect()}[4] == []
     assert out.where(F.col("p").isNull()).count() == 0
+
+
+def test_user_vocabulary_with_quotes(spark):
+    vocabulary = spark.createDataFrame([("it's", 1, 1, 1.0), ("pool", 1, 1, 2.0), ("a\\b", 1, 1, 1.0)], ops.VOCABULARY_SCHEMA)
+    scores = ops.term_scores(frame(spark, GOLDEN), "id", "text", vocabulary, ())
+    assert {(r["id"], r["tf"]) for r in scores.collect()} == {(1, 2), (3, 1)}
