@@ -8,7 +8,7 @@ from reviewlake.catalog.registry import query, table
 from reviewlake.functions.labels import season
 from reviewlake.operators import frontier
 from reviewlake.operators.metrics import crawl_report
-from reviewlake.sources.html import Field, attribute_of, extract_cards, extract_fields
+from reviewlake.sources.html import Field, attribute_of, extract_cards, extract_fields, nested_text
 
 _CARD = r"<li>.*?</li>"
 _CARD_FIELDS = [
@@ -52,6 +52,15 @@ def page_field_fallback(spark, sf_dir):
     return fields.select("page_id", "heading", "language", "author")
 
 
+@query(
+    "page_nested_text",
+    """SELECT page_id, nullif(trim(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)), '') AS notice
+FROM pages""",
+)
+def page_nested_text(spark, sf_dir):
+    return nested_text(table(spark, sf_dir, "pages"), "page_id", "html", "class", "ad", "notice")
+
+
 _SQL_LINKS = """links AS (SELECT url AS link, html,
   CASE page_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_scraped FROM pages)"""
 _SQL_OUTCOMES = """outcomes AS (SELECT link, contains(html, '<h2>') OR contains(html, 'lang="en"') AS ok

@@ -78,6 +78,23 @@ def new_rows(
     return winner if null_safe else winner.unionByName(batch.where(~_no_null(keys)))
 
 
+def relevant_keys(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], max_rows: int = 500_000
+) -> DataFrame:
+    """The target's keys that can matter for a stored ``batch``.
+
+    For a small increment the distinct batch keys, counted first, are broadcast and
+    only the target rows with one of them go on: the big table is scanned but not
+    shuffled. A larger batch gets all keys back.
+    """
+    keys = list(keys)
+    wanted = batch.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    if wanted.limit(max_rows + 1).count() > max_rows:
+        return target.select(*keys)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return target.select(*keys).join(F.broadcast(wanted), same, "left_semi")
+
+
 def duplicate_count(
     batch: DataFrame, target: DataFrame, keys: Sequence[str], null_safe: bool = False
 ) -> DataFrame:

@@ -199,13 +199,13 @@ def _rank_candidates(
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, phrases, scores = [], [], []
-            for row_key, text, found in zip(batch[key], batch["text"], batch["candidates"]):
+            for row_key, text, words in zip(batch[key], batch["text"], batch["words"]):
                 target = encoder([text])[0]
-                # Candidates arrive sorted and distinct; the running best list
-                # holds at most top_n of them.
+                found = sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+                # Encoded a chunk at a time; only the top_n best are kept.
                 best: list[tuple[float, str]] = []
                 for start in range(0, len(found), chunk):
-                    part = list(found[start : start + chunk])
+                    part = found[start : start + chunk]
                     cosine = np.round(_cosine(encoder(part), target), 9)
                     best = sorted([*best, *zip(cosine.tolist(), part)], reverse=True)[:top_n]
                 keys += [row_key] * len(best)
@@ -227,17 +227,17 @@ def embedding_phrases(
 ) -> DataFrame:
     """(key, phrases), the text's 1-2 grams closest to the whole text.
 
-    Candidates are cut in the JVM; Python only encodes them, batch by batch, on
-    the task that holds the row. The final ranking is the same as for TF-IDF.
+    Words are cut in the JVM; Python only pairs and encodes them, row by row of an
+    Arrow batch, on the task that holds the row. Pairs are not shipped: they are
+    many times the size of the text. The final ranking is the same as for TF-IDF.
     """
-    candidates = F.sort_array(
-        F.array_distinct(unigrams_and_bigrams(vectorizer_tokens(F.col(text), stopwords)))
-    )
     rows = df.where(is_analysable(F.col(text))).select(
-        key, F.lower(F.col(text)).alias("text"), candidates.alias("candidates")
+        key,
+        F.lower(F.col(text)).alias("text"),
+        vectorizer_tokens(F.col(text), stopwords).alias("words"),
     )
     key_type = df.schema[key].dataType.simpleString()
-    scored = rows.where(F.size("candidates") > 0).mapInPandas(
+    scored = rows.mapInPandas(
         _rank_candidates(key, encoder, top_n, chunk),
         schema=f"{key} {key_type}, phrase string, score double",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from reviewlake.functions.arrays import array_literal
-from reviewlake.operators.dedup import new_rows
+from reviewlake.operators.dedup import new_rows, relevant_keys
 from reviewlake.operators.metrics import reconcile
 from reviewlake.schemas import GOLD_KEYS, conform, missing_columns
 
@@ -79,12 +79,14 @@ def append_new(
 
     The rows to add are stored beside the table first. They are computed once,
     the counts do not see rows of their own run, and a retry of the append does
-    not compare against half of itself.
+    not compare against half of itself. ``batch`` is read twice, so it should be a
+    stored table.
     """
     spark = batch.sparkSession
     target = spark.read.parquet(path)
     staged_path = f"{path.rstrip('/')}__staged"
-    new_rows(batch, target, keys, order, null_safe).write.mode("overwrite").parquet(staged_path)
+    known = relevant_keys(target, batch, keys)
+    new_rows(batch, known, keys, order, null_safe).write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     before = target.agg(F.count("*").alias("n")).first()["n"]
     append(staged.select(*target.columns), path)

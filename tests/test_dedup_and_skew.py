@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators.dedup import dedup_rows, duplicate_count, new_rows
+from reviewlake.operators.dedup import dedup_rows, duplicate_count, new_rows, relevant_keys
 from reviewlake.operators.skew import hot_digests, salted_left_join
 
 KEYS = ["city", "hotel_name", "reviewer_name", "review_date"]
@@ -44,6 +44,17 @@ def test_hot_key_append_equals_brute_force(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter(first.values())
 
 
+@pytest.mark.parametrize("max_rows", [1, 1000])
+def test_relevant_keys_do_not_change_the_append(spark, max_rows):
+    batch, target = (spark.createDataFrame(r, SCHEMA) for r in (BATCH, TARGET))
+    target = target.union(spark.createDataFrame([(8, None, "h1", "R3", "d1", "x"), (7, "Luxor", "h", "R", "d", "y")], SCHEMA))
+    known = relevant_keys(target, batch, KEYS, max_rows)
+    assert known.count() == (3 if max_rows == 1 else 2)
+    for null_safe in (True, False):
+        full, narrow = (new_rows(batch, t, KEYS, null_safe=null_safe) for t in (target, known))
+        assert Counter(map(tuple, full.collect())) == Counter(map(tuple, narrow.collect()))
+
+
 def test_duplicate_count(spark):
     batch, target = (spark.createDataFrame(r, SCHEMA) for r in (BATCH, TARGET))
     assert tuple(duplicate_count(batch, target, KEYS).first()) == (5, 4, 1)
