@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlake.catalog.registry import joined, query, sql_tfidf, table
+from reviewlake.catalog.registry import (
+    joined,
+    query,
+    sql_strip,
+    sql_tfidf,
+    sql_vectorizer_tokens,
+    table,
+)
 from reviewlake.operators import phrases as ops
 
 _SOURCE = "docs AS (SELECT doc_id AS id, text FROM documents)"
@@ -46,7 +53,34 @@ def term_scores(spark, sf_dir):
     return scores.withColumn("score", F.round("score", 6))
 
 
-@query("embedding_top_phrases")
+def _sql_cells(source: str, key: str, text: str, name: str) -> str:
+    """Cell counts and their norm of each text: the default encoder in SQL."""
+    chars = f"string_split(' ' || {text} || ' ', '')"
+    code = "(unicode(c[i]) * 1000003 + unicode(c[i + 1]) * 8191 + unicode(c[i + 2]) * 131) % 256"
+    return f"""{name} AS MATERIALIZED (SELECT {key}, cell, count(*) AS n FROM (
+  SELECT {key}, unnest(list_transform(generate_series(1, len(c) - 2), lambda i: {code})) AS cell
+  FROM (SELECT {key}, {chars} AS c FROM {source})) GROUP BY ALL),
+{name}_norm AS (SELECT {key}, sqrt(sum(n * n)::DOUBLE) AS norm FROM {name} GROUP BY {key})"""
+
+
+_EMBEDDING_SQL = f"""WITH tok AS MATERIALIZED (SELECT doc_id, lower(text) AS t, {sql_vectorizer_tokens('text')} AS l
+  FROM documents WHERE length({sql_strip('text')}) > 10),
+cand AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(l) AS term FROM tok UNION ALL
+  SELECT doc_id, unnest(list_transform(generate_series(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1]))
+  FROM tok WHERE len(l) > 1)),
+terms AS (SELECT DISTINCT term FROM cand),
+{_sql_cells('tok', 'doc_id', 't', 'd')},
+{_sql_cells('terms', 'term', 'term', 'p')},
+dots AS (SELECT c.doc_id, c.term, sum(p.n * d.n)::DOUBLE AS dot
+  FROM cand c JOIN p ON p.term = c.term JOIN d ON d.doc_id = c.doc_id AND d.cell = p.cell GROUP BY ALL),
+scored AS (SELECT doc_id, x.term, round(dot / (p_norm.norm * d_norm.norm), 9) AS score
+  FROM dots x JOIN p_norm ON p_norm.term = x.term JOIN d_norm USING (doc_id)),
+best AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term DESC) AS rank
+  FROM scored WHERE score > 0)
+SELECT doc_id, string_agg(term, '|' ORDER BY rank) AS phrases FROM best WHERE rank <= 3 GROUP BY doc_id"""
+
+
+@query("embedding_top_phrases", _EMBEDDING_SQL)
 def embedding_top_phrases(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = ops.key_phrases(docs, "doc_id", "text", method="embedding")

@@ -16,6 +16,9 @@ from reviewlake.session import broadcast_if_bounded, persist_reliably
 #: Largest number of profile trigrams that is broadcast.
 MAX_PROFILE_ROWS = 200_000
 
+#: Scores are kept in one column per language.
+MAX_LANGUAGES = 500
+
 #: Log-probabilities are kept as whole millionths, so that sums do not depend on
 #: the order in which partitions are added up.
 SCALE = 1_000_000
@@ -82,7 +85,10 @@ def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> D
     shuffle, which carries one row of whole numbers per text.
     """
     stored = persist_reliably(profiles)
-    floors = sorted(tuple(r) for r in stored.groupBy("lang").agg(F.first("floor")).collect())
+    per_language = stored.groupBy("lang").agg(F.first("floor"))
+    floors = sorted(tuple(r) for r in per_language.limit(MAX_LANGUAGES + 1).collect())
+    if len(floors) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: check the labels of the profiles")
     if not floors:
         return df.select(key, F.lit(None).cast("string").alias("lang")).limit(0)
     gains = [

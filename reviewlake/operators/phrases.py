@@ -115,17 +115,18 @@ def term_scores(
 ) -> DataFrame:
     """(key, term, tf, score) of the vocabulary terms of each analysable text.
 
-    Counts are made inside the row and the vocabulary has a fixed size, so this
-    step does not shuffle.
+    Counts are made inside the row, and a vocabulary of up to ``MAX_LITERAL_WORDS``
+    terms is broadcast, so this step does not shuffle.
     """
     terms = unigrams_and_bigrams(vectorizer_tokens(F.col(text), stopwords))
     rows = df.where(is_analysable(F.col(text))).select(key, terms.alias("terms"))
     listed = _short_list(vocabulary.select("term"))
     kept = F.expr(f"filter(terms, t -> t IN {sql_words(listed)})") if listed else F.col("terms")
     exploded = rows.select(key, F.explode(run_lengths(kept)).alias("t"))
-    return exploded.join(
-        F.broadcast(vocabulary.select("term", "idf")), F.col("t.term") == F.col("term")
-    ).select(key, "term", "t.tf", (F.col("t.tf") * F.col("idf")).alias("score"))
+    weights = vocabulary.select("term", "idf")
+    if listed is not None:  # a longer vocabulary is left to the optimiser
+        weights = F.broadcast(weights)
+    return exploded.join(weights, F.col("t.term") == F.col("term")).select(key, "term", "t.tf", (F.col("t.tf") * F.col("idf")).alias("score"))
 
 
 def top_per_key(scores: DataFrame, key: str, item: str, score: str, k: int) -> DataFrame:

@@ -82,6 +82,13 @@ def test_scores_do_not_depend_on_partitioning(spark):
     assert one == many
 
 
+def test_junk_labels_are_refused(spark):
+    junk = spark.range(600).selectExpr("'l' || id AS lang", "'abc' AS trigram", "1L AS gain", "-1L AS floor")
+    rows = spark.createDataFrame([(1, "the house")], "id long, text string")
+    with pytest.raises(ValueError):
+        language.detect_language(rows, "id", "text", junk)
+
+
 def test_tag_uses_shortcut_first(spark):
     rows = spark.createDataFrame(
         [(1, "this was good and the chat"), (2, "le chien dans la maison"), (3, "no")], "id long, text string"
