@@ -5,6 +5,7 @@ from compare import compare, duck
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
+from reviewlake.catalog import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +13,13 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, SF_DIR, name) == ""
 
 
 @pytest.mark.parametrize(
-    "name", sorted(set(entry_points.queries()) - set(entry_points.oracle_sql()))
+    "name", sorted(set(QUERIES) - set(ORACLE))
 )
 def test_query_without_sql_has_rows(spark, name):
     assert entry_points.queries()[name](spark, SF_DIR).count() > 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from reviewlake.catalog import QUERIES
 from reviewlake.operators import dashboard, dedup, frontier, phrases
 from reviewlake.operators.tokens import corpus_vocabulary
 from reviewlake.functions.text import ascii_tokens
@@ -24,7 +25,7 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, sf_dir, name):
     text = plan(entry_points.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
