@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from uuid import uuid4
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewlake.llm import packing, rans
+from reviewlake.llm import containment, cross_parsing, packing, rans, secret_scan, simhash, successors
+from reviewlake.llm.shipping import ship_package
 from reviewlake.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +25,12 @@ FILE_END_ID = 2
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function
@@ -53,3 +60,58 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     rans.write_token_files(table(spark, sf_dir, "documents"), path, BYTE_BPE, FILE_END_ID)
     return rans.read_token_digests(spark, path)
+
+
+@query("op8_simhash_groups")
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document: 4-word shingles, up to 4 of 64 bits."""
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), n=4, max_distance=4)
+
+
+SQL_CONTAINED = r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+  WHERE text IS NOT NULL),
+item_sizes AS (SELECT item_id, w, least(5, len(w)) AS n FROM item_words WHERE len(w) > 0),
+item_shingles AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+  FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM item_sizes)),
+items AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+doc_sizes AS (SELECT doc_id, w, n FROM doc_words, (SELECT DISTINCT n FROM item_sizes) WHERE len(w) >= n),
+doc_shingles AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc_sizes)),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (n, s)
+  GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment
+FROM shared JOIN items USING (item_id) WHERE n_shared >= 0.8::DOUBLE * n_item"""
+
+
+@query("op10_benchmark_containment", SQL_CONTAINED)
+def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain to at least 0.8 of their 5-word shingles."""
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_secret_spans")
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and structurally confirmed encodings."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def learning_part(folds: int, held_out: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text, modulo ``folds``."""
+    rest = F.crc32(F.col("doc_id").cast("string")) % folds
+    return F.coalesce(rest == held_out, F.lit(False))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = cross_parsing.fit_profiles(docs.filter(~learning_part(5, 0)))
+    return cross_parsing.predict(docs, profiles).select("doc_id", learning_part(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_minhash_fingerprints")
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of every document and of its edited text."""
+    return successors.edited_fingerprints(table(spark, sf_dir, "documents"))
