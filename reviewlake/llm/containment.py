@@ -128,6 +128,21 @@ def candidates(words: Words, sketches: Sketches) -> set[tuple[int, int]]:
     return found
 
 
+def verified_pairs(texts: list[str], sketches: Sketches, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, shared shingles, shingles of the item) of every contained item."""
+    for lo, hi in groups(texts):
+        words = Words.of(texts[lo:hi])
+        held: dict[tuple[int, int], set[str]] = {}
+        for text, item in sorted(candidates(words, sketches)):
+            key = (text, sketches.lengths[item])
+            if key not in held:
+                held = {key: words.shingle_set(*key)}
+            shingles = sketches.shingles[item]
+            shared = len(shingles & held[key])
+            if shared >= threshold * len(shingles):
+                yield lo + text, item, shared, len(shingles)
+
+
 def _blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator[Sketches]:
     held, size = [], 0
     for row in benchmark.toLocalIterator():
@@ -159,19 +174,10 @@ def contained_items(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = []
-                for lo, hi in groups(texts):
-                    words = Words.of(texts[lo:hi])
-                    held: dict[tuple[int, int], set[str]] = {}
-                    for text, item in sorted(candidates(words, sketches)):
-                        key = (text, sketches.lengths[item])
-                        if key not in held:
-                            held = {key: words.shingle_set(*key)}
-                        shingles = sketches.shingles[item]
-                        shared = len(shingles & held[key])
-                        if shared >= threshold * len(shingles):
-                            share = shared / len(shingles)
-                            rows.append((doc_ids[lo + text], sketches.item_ids[item], shared, len(shingles), share))
+                rows = [
+                    (doc_ids[row], sketches.item_ids[item], shared, size, shared / size)
+                    for row, item, shared, size in verified_pairs(texts, sketches, threshold)
+                ]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.record_batch(
@@ -185,3 +191,25 @@ def contained_items(
     if not parts:
         return docs.sparkSession.createDataFrame([], PAIR_SCHEMA)
     return reduce(DataFrame.unionAll, parts)
+
+
+def without_contained_items(
+    docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``docs`` without the rows that contain an item; nothing else changes.
+
+    Rows are judged where they are, one pass for each block of items.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    at = docs.columns.index("text")
+
+    def clean(rows: DataFrame, sketches: Sketches) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                found = {row for row, *_ in verified_pairs(texts, sketches, threshold)}
+                yield batch.filter(pa.array([i not in found for i in range(len(texts))], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    return reduce(clean, _blocks(items, n, threshold), docs)

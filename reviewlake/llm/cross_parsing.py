@@ -33,6 +33,9 @@ ALL_SAMPLE_CHARS = 600_000
 SEGMENT = 512
 GROUP = 1 << 20
 UNDECIDED = "und"
+#: A text that costs more bits per sign is in none of the languages. Text of a learnt
+#: language costs 2 to 6; where every sign breaks the parse it costs log2 of the sample.
+MAX_BITS = 10.0
 SALT = 20
 
 
@@ -243,26 +246,27 @@ def predict(docs: DataFrame, profiles: tuple[Profile, ...]) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known_language(docs: DataFrame, profiles: tuple[Profile, ...], least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language is undecided or scores below ``least_score``.
+def keep_known_language(docs: DataFrame, profiles: tuple[Profile, ...], max_bits: float = MAX_BITS) -> DataFrame:
+    """``docs`` without the rows whose language is undecided or none of the learnt ones.
 
-    ``lang`` becomes the predicted language. All other columns stay as they are.
+    A text goes if it is NULL, has no letter, or costs more than ``max_bits`` per sign in
+    its best language, as text in another script does. A NULL ``lang`` is filled with the
+    predicted language; all other columns and values stay as they are.
     """
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            languages: list[str | None] = [None] * len(texts)
+            best = np.full(len(texts), -1)
             for lo, hi in groups(texts, GROUP) if profiles else ():
                 cost = costs(texts[lo:hi], profiles)
-                for i in np.flatnonzero(~np.isnan(cost[:, 0])).tolist():
-                    ordered = np.sort(cost[i])
-                    if len(ordered) < 2 or 1 - ordered[0] / ordered[1] >= least_score:
-                        languages[lo + i] = profiles[int(np.argmin(cost[i]))].language
+                known = np.flatnonzero(cost.min(axis=1) <= max_bits)  # NaN is not
+                best[lo + known] = np.argmin(cost[known], axis=1)
+            given = batch.column(lang_at).to_pylist()
+            filled = [profiles[k].language if g is None and k >= 0 else g for g, k in zip(given, best.tolist(), strict=True)]
             columns = list(batch.columns)
-            columns[lang_at] = pa.array(languages, batch.schema.field(lang_at).type)
-            kept = pa.array([x is not None for x in languages], pa.bool_())
-            yield pa.record_batch(columns, schema=batch.schema).filter(kept)
+            columns[lang_at] = pa.array(filled, batch.schema.field(lang_at).type)
+            yield pa.record_batch(columns, schema=batch.schema).filter(pa.array(best >= 0))
 
     return docs.mapInArrow(run, docs.schema)

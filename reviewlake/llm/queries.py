@@ -9,7 +9,9 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewlake.llm import containment, cross_parsing, packing, rans, secret_scan, simhash, successors
+from reviewlake.llm import (
+    chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
+)
 from reviewlake.llm.shipping import ship_package
 from reviewlake.session import ensure_checkpoint_dir
 
@@ -19,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PACK_END_ID = 1
 FILE_END_ID = 2
 
@@ -115,3 +118,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every document and of its edited text."""
     return successors.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_unigram_token_counts")
+def op2_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with one that speaks control strings."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], own.schema)
+    return chat_format.digests(chat_format.format_conversations(own.unionByName(added)))
+
+
+@query("op6_quality_score")
+def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels that are not held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), learning_part(4, 2)
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    vectors = quality.fit_vectors(docs)
+    scored = quality.score(docs, vectors, quality.fit_network(docs, labels, vectors))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
