@@ -28,6 +28,8 @@ DIMENSIONS = 64
 NONZERO = 4
 #: Words to each side that a word's vector takes up.
 CONTEXT = 2
+#: So many contexts can be added in a 16-bit lane.
+LANE_RUN = 65_535 // (4 * CONTEXT)
 #: The table of vectors travels in this many parts.
 PARTS = 64
 #: Bound of the sample that the network learns from.
@@ -52,8 +54,11 @@ def _kinds() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def index_vectors() -> np.ndarray:
-    """The random index vector of every row: ``NONZERO`` entries of +1 or -1."""
-    out = np.zeros((ROWS, DIMENSIONS), dtype=np.int8)
+    """The random index vector of every row: ``NONZERO`` entries of +1 or -1.
+
+    One more row of zeros stands for the places between texts.
+    """
+    out = np.zeros((ROWS + 1, DIMENSIONS), dtype=np.int8)
     draws = mix(np.arange(1, ROWS * NONZERO + 1, dtype=np.uint64)).reshape(ROWS, NONZERO)
     place = (draws % np.uint64(DIMENSIONS)).astype(np.int64)
     sign = np.where(draws >> np.uint64(63), 1, -1).astype(np.int8)
@@ -81,16 +86,30 @@ def add_contexts(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> No
     """Add to each word's row the index vectors of the words around it in its text."""
     if not len(rows):
         return
-    vectors, context = index_vectors()[rows], np.zeros((len(rows), DIMENSIONS), dtype=np.int16)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    texts = len(offsets) - 1
+    place = np.arange(len(rows)) + CONTEXT * (1 + np.repeat(np.arange(texts), np.diff(offsets)))
+    spaced = np.full(len(rows) + CONTEXT * (texts + 1), ROWS)
+    spaced[place] = rows
+    vectors = index_vectors()[spaced]
+    context = np.zeros((len(spaced) - 2 * CONTEXT, DIMENSIONS), dtype=np.int8)
     for k in range(1, CONTEXT + 1):
-        together = (text[k:] == text[:-k]).astype(np.int8)[:, None]
-        context[k:] += vectors[:-k] * together
-        context[:-k] += vectors[k:] * together
+        context += vectors[CONTEXT - k : len(spaced) - CONTEXT - k]
+        context += vectors[CONTEXT + k : len(spaced) - CONTEXT + k]
+    # Rows in order; their contexts, made positive, are added in 16-bit lanes, four to a word,
+    # over runs short enough for a lane.
     order = np.argsort(rows.astype(np.uint16) if ROWS_BITS <= 16 else rows, kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.diff(ordered, prepend=-1))
-    table[ordered[first]] += np.add.reduceat(context[order].astype(np.int32), first)
+    sizes = np.diff(np.append(first, len(rows)))
+    runs = -(-sizes // LANE_RUN)
+    starts = np.repeat(first - LANE_RUN * (np.cumsum(runs) - runs), runs) + LANE_RUN * np.arange(runs.sum())
+    positive = (context[place[order] - CONTEXT] + np.int8(2 * CONTEXT)).astype(np.uint16)
+    sums = np.add.reduceat(positive.view(np.uint64), starts).view(np.uint16).astype(np.int64)
+    sums -= 2 * CONTEXT * np.diff(np.append(starts, len(rows)))[:, None]
+    if len(starts) == len(first):
+        table[ordered[first]] += sums
+    else:  # a word with several runs
+        np.add.at(table, ordered[starts], sums)
 
 
 def fit_vectors(docs: DataFrame) -> np.ndarray:
@@ -142,12 +161,13 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
         if not len(full):
             continue
         found = vectors[rows]
-        starts, n = offsets[:-1][full], counts[full][:, None]
-        mean = np.add.reduceat(found, starts, dtype=np.float64) / n
-        square = np.add.reduceat(np.square(found, out=found), starts, dtype=np.float64) / n
-        out[lo + full, :DIMENSIONS] = mean
-        out[lo + full, DIMENSIONS:-1] = np.sqrt(np.maximum(square - mean**2, 0))
-        out[lo + full, -1] = np.log1p(n[:, 0])
+        for text in full.tolist():
+            own = found[offsets[text] : offsets[text + 1]]
+            mean = own.mean(axis=0, dtype=np.float64)
+            square = np.einsum("ij,ij->j", own, own, dtype=np.float64) / len(own)
+            out[lo + text, :DIMENSIONS] = mean
+            out[lo + text, DIMENSIONS:-1] = np.sqrt(np.maximum(square - mean**2, 0))
+            out[lo + text, -1] = np.log1p(len(own))
     return out
 
 
