@@ -15,38 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm import containment, cross_parsing, packing, secret_scan, simhash
 from reviewlake.llm.queries import BYTE_BPE, PACK_END_ID, learning_part, scratch, table
-from reviewlake.llm.shipping import ship_package
+from reviewlake.llm.shipping import prepare_session
 
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled documents teach."""
-    ship_package(spark)
+    prepare_session(spark)
     return cross_parsing.keep_known_language(docs, cross_parsing.fit_profiles(docs.filter(~learning_part(5, 0))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: 4-word shingles, up to 4 differing bits."""
-    ship_package(spark)
+    prepare_session(spark)
     return simhash.keep_one_of_each_group(docs, n=4, max_distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    ship_package(spark)
+    prepare_session(spark)
     return containment.without_contained_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced."""
-    ship_package(spark)
+    prepare_session(spark)
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens, mixed by source."""
-    ship_package(spark)
+    prepare_session(spark)
     return packing.pack(docs, BYTE_BPE, PACK_END_ID)
 
 

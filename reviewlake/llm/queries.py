@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reviewlake.llm import (
     chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
 )
-from reviewlake.llm.shipping import ship_package
+from reviewlake.llm.shipping import prepare_session
 from reviewlake.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare_session(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run

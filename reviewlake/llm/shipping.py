@@ -1,4 +1,4 @@
-"""Make this package importable in the Python workers of a running session."""
+"""Prepare a running session: the package in its Python workers, and batches bounded by bytes."""
 
 from __future__ import annotations
 
@@ -10,14 +10,21 @@ from pyspark.sql import SparkSession
 
 import reviewlake
 
+#: Ten thousand long texts would not fit in a worker; a batch ends at this size as well.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send the package's sources to the workers, once for each application.
+def prepare_session(spark: SparkSession) -> None:
+    """Send the package's sources to the workers and bound the batches they get.
 
-    Spark's own file server distributes them; nothing is read from the driver's folders.
+    Spark's own file server distributes the sources, once for each application; nothing is
+    read from the driver's folders. A batch size that the session sets itself is kept.
     """
+    if spark.conf.get(_BATCH_SETTING, None) in (None, str(2**31 - 1), "-1"):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

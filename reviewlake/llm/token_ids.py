@@ -28,7 +28,7 @@ SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSTABLE, _EDGE = range(6)
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -259,7 +259,7 @@ def with_token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, group: s
         for batch in batches:
             names = batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
-            for lo, hi in groups(texts, 8 * GROUP_CHARS):
+            for lo, hi in groups(texts, 4 * GROUP_CHARS):
                 ids, offsets = encode.encode(texts[lo:hi])
                 counts = np.diff(offsets)
                 starts = []
