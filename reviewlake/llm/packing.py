@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from reviewlake.llm.staging import staged
 from reviewlake.llm.token_ids import binary_rows, id_width, with_token_ids
 from reviewlake.session import broadcast_if_bounded, persist_reliably
 
@@ -224,7 +225,7 @@ def pack(
     An empty table gives no rows.
     """
     chosen = docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit(_NULL_SOURCE)).alias("source"))
-    stored = persist_reliably(with_token_ids(chosen, tokenizer, end_id, group="source"))
+    stored = staged(with_token_ids(chosen, tokenizer, end_id, group="source"))
     totals = persist_reliably(stored.groupBy("group", "task").agg(F.sum("n_tokens").alias("n")))
     starts, plan = _queues(totals, weights, max_queues)
     width = id_width(tokenizer)

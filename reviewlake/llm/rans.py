@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.llm.offsets import running_start
+from reviewlake.llm.staging import staged
 from reviewlake.llm.token_ids import id_width, with_token_ids
-from reviewlake.session import persist_reliably
 
 MAGIC = b"RANSIDS1"
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 2048
 CHECKPOINT_STEPS = 128
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 BLOCK_DOCS = 1 << 16
 SHARD_IDS = 1 << 22
 
@@ -55,7 +55,8 @@ class Frequencies:
     def symbols(self) -> np.ndarray:
         """The id of each of the ``2**SCALE_BITS`` slots."""
         if self._symbols is None:
-            self._symbols = np.repeat(np.arange(len(self.frequency)), self.frequency.astype(np.int64))
+            kind = np.uint16 if len(self.frequency) <= 1 << 16 else np.uint32
+            self._symbols = np.repeat(np.arange(len(self.frequency), dtype=kind), self.frequency.astype(np.int64))
         return self._symbols
 
 
@@ -215,7 +216,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     """
     spark = docs.sparkSession
     width = id_width(tokenizer)
-    stored = persist_reliably(with_token_ids(docs, tokenizer, end_id).select("doc_id", "n_tokens", "ids"))
+    stored = staged(with_token_ids(docs, tokenizer, end_id).select("doc_id", "n_tokens", "ids"))
     counted = stored.select("ids").mapInArrow(lambda it: _count_ids(it, width), "id long, n long")
     rows = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     ids, counts = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
