@@ -8,7 +8,17 @@ from reviewlake.catalog.registry import query, table
 from reviewlake.functions.labels import season
 from reviewlake.operators import frontier
 from reviewlake.operators.metrics import crawl_report
-from reviewlake.sources.html import Field, attribute_of, extract_cards, extract_fields, nested_text
+from reviewlake.sources.html import (
+    Field,
+    Pick,
+    Picked,
+    attribute_of,
+    cards_to_bronze,
+    extract_cards,
+    extract_fields,
+    nested_text,
+    read_cards,
+)
 
 _CARD = r"<li>.*?</li>"
 _CARD_FIELDS = [
@@ -61,6 +71,61 @@ def page_nested_text(spark, sf_dir):
     return nested_text(table(spark, sf_dir, "pages"), "page_id", "html", "class", "ad", "notice")
 
 
+def _sql_shown(c: str) -> str:
+    """What a reader sees of inline text: entities decoded, blanks collapsed."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "page_nested_fields",
+    f"""WITH cut AS (SELECT page_id, html, split_part(split_part(html, '<nav>', 2), '</nav>', 1) AS nav,
+  split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS h1 FROM pages WHERE contains(html, '<html'))
+SELECT page_id, 0::INTEGER AS card_no, split_part(split_part(html, ' lang="', 2), '"', 1) AS language,
+  coalesce(nullif(array_to_string(list_filter(list_transform(string_split(nav, '<li>')[2:], lambda x:
+    {_sql_shown("split_part(split_part(x, '>', 2), '<', 1)")}), lambda x: x <> ''), chr(10)), ''), '') AS menu,
+  {_sql_shown('h1')} AS heading, 'No Author' AS author FROM cut""",
+)
+def page_nested_fields(spark, sf_dir):
+    fields = [
+        Picked("menu", (Pick("nav"),), ""),
+        Picked("heading", (Pick("h1"),), ""),
+        Picked("author", (Pick("span", "class", "author"),), "No Author"),
+    ]
+    page = [Picked("language", (Pick("html", take="lang"),), "")]
+    return read_cards(table(spark, sf_dir, "pages"), "html", ["page_id"], Pick("html"), fields, page)
+
+
+# A page of cards around the stand-in page's first link and heading, with markup inside them.
+_CARD_PAGE = (
+    "<nav aria-label='Breadcrumb'><a class=\"x breadcrumb\">City <b>", "</b></a></nav>"
+    '<div data-testid="review-card"><div class="b08850ce41 f546354b44"><span></span><i>', "</i></div>"
+    "<div class='b99b6ef58f d14152e7c3'><span>Great</span> ", " &amp; pool<br>near <b>beach</b></div></div>"
+)
+
+
+@query(
+    "bronze_from_pages",
+    """SELECT 'City ' || (page_id % 7) AS city, url AS hotel_name, 'R' || page_id AS reviewer_name,
+  'Unknown Nationality' AS reviewer_nationality, 'No Type' AS travel_type,
+  'Great <' || (page_id % 5) || '> & pool' || chr(10) || 'near beach' AS positive_review,
+  'No Negative Feedback' AS negative_review, TRUE AS has_id, 13::INTEGER AS n_columns FROM pages""",
+)
+def bronze_from_pages(spark, sf_dir):
+    number = lambda n: (F.col("page_id") % n).cast("string")
+    head, name, text, end = (F.lit(part) for part in _CARD_PAGE)
+    html = F.concat(
+        head, number(7), name, F.lit("R"), F.col("page_id").cast("string"), text, F.lit("&lt;"), number(5), F.lit("&gt;"), end
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    bronze = cards_to_bronze(pages, "page_id", "html", "url")
+    return bronze.select(
+        "city", "hotel_name", "reviewer_name", "reviewer_nationality", "travel_type", "positive_review", "negative_review",
+        F.col("id").isNotNull().alias("has_id"), F.lit(len(bronze.columns)).alias("n_columns"),
+    )
+
+
 _SQL_LINKS = """links AS (SELECT url AS link, html,
   CASE page_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_scraped FROM pages)"""
 _SQL_OUTCOMES = """outcomes AS (SELECT link, contains(html, '<h2>') OR contains(html, 'lang="en"') AS ok

@@ -1,12 +1,16 @@
-"""J1, K6, K7, K8 and the whole bronze -> gold run (E2 + E3)."""
+"""J1, K6, K7, K8, the gold job (E3) and the whole bronze -> gold run."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from reviewlake.catalog.language import PROFILES_SQL, SHORTCUT_SQL, sql_detect
 from reviewlake.catalog.registry import (
     joined,
     query,
+    reviews,
     silver,
     sql_ascii_tokens,
     sql_cleaned,
@@ -19,8 +23,12 @@ from reviewlake.catalog.registry import (
 from reviewlake.lexicons import HOTEL_STOPWORDS, NO_TRANSLATION_NEGATIVE, NO_TRANSLATION_POSITIVE, STOPWORDS
 from reviewlake.operators.dedup import duplicate_count, new_rows
 from reviewlake.operators.translate import apply_memory
+from reviewlake.operators.language import fit_language_profiles
+from reviewlake.plans.cleaning import clean_columns
 from reviewlake.plans.gold import build_gold
-from reviewlake.session import persist_reliably
+from reviewlake.plans.layers import Layers, run_layers
+from reviewlake.schemas import BRONZE_REVIEWS, conform
+from reviewlake.session import ensure_checkpoint_dir, persist_reliably
 
 _KEYS = ["o_custkey", "status", "o_orderpriority"]
 _ORDERS = """orders_n AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS status, o_orderpriority,
@@ -89,7 +97,7 @@ def gold_duplicate_count(spark, sf_dir):
     return duplicate_count(batch, target, _KEYS)
 
 
-# --- the whole run ----------------------------------------------------------
+# --- the gold job -----------------------------------------------------------
 
 # Words that come up as key phrases of the stand-in texts.
 GOLD_VOCABULARY = """
@@ -169,3 +177,87 @@ FROM sides WHERE len(pl) > 0 OR len(nl) > 0""",
 def reviews_gold(spark, sf_dir):
     gold = build_gold(_translated(spark, sf_dir), GOLD_VOCABULARY)
     return gold.withColumns({c: joined(c) for c in ("positive_tokens", "negative_tokens")})
+
+
+# --- the whole run ----------------------------------------------------------
+
+_COPY = 10_000_000
+
+
+def _bronze(spark, sf_dir):
+    """Reviews from every document; a tenth of them was collected twice."""
+    once = reviews(spark, sf_dir).drop("lang")
+    again = once.where(F.col("id") % 10 == 3).withColumn("id", F.col("id") + _COPY)
+    return conform(once.unionByName(again), BRONZE_REVIEWS)
+
+
+def _known_translations(spark, sf_dir):
+    """A stand-in memory: the cleaned texts of the labelled foreign reviews."""
+    labelled = reviews(spark, sf_dir).join(
+        table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi"
+    )
+    cleaned = clean_columns(labelled.where(F.col("lang") != "en"))
+    texts = cleaned.select("lang", F.explode(F.array("positive_review", "negative_review")).alias("text"))
+    return texts.where(F.col("text").isNotNull()).distinct().withColumn(
+        "translated", F.concat(F.lit("translated "), "text")
+    )
+
+
+def _sql_side(side: str, lang: str, sentinels) -> str:
+    return f"""coalesce(CASE WHEN {lang} <> 'en' AND length({sql_strip(f'k.{side}')}) > 3
+  AND k.{side} NOT IN {sql_in(sentinels)} THEN coalesce(
+  (SELECT any_value(translated) FROM memory m WHERE m.lang = {lang} AND m.text = k.{side}), k.{side})
+  ELSE k.{side} END, '')"""
+
+
+@query(
+    "reviews_pipeline_gold",
+    f"""WITH {sql_cleaned(False)},
+bronze AS (SELECT * EXCLUDE (lang) FROM reviews UNION ALL
+  SELECT * EXCLUDE (lang) REPLACE (id + {_COPY} AS id) FROM reviews WHERE id % 10 = 3),
+uniq AS (SELECT min(id) AS id FROM bronze GROUP BY city, hotel_name, reviewer_name, duration, travel_type,
+  review_date, positive_review, negative_review),
+{PROFILES_SQL},
+src AS (SELECT 'p:' || id AS id, positive_review AS text FROM reviews
+  UNION ALL SELECT 'n:' || id, negative_review FROM reviews),
+hits AS (SELECT id, coalesce({SHORTCUT_SQL}, TRUE) AS english FROM src),
+{sql_detect('src')},
+tagged AS MATERIALIZED (SELECT hits.id, CASE WHEN english THEN 'en' ELSE detected.lang END AS lang
+  FROM hits JOIN detected ON detected.id = hits.id),
+labelled AS (SELECT c.* FROM cleaned c JOIN labels l ON l.doc_id = c.id),
+memory AS MATERIALIZED (SELECT DISTINCT lang, text, 'translated ' || text AS translated FROM (
+  SELECT lang, positive_review AS text FROM labelled UNION ALL SELECT lang, negative_review FROM labelled)
+  WHERE lang <> 'en' AND text IS NOT NULL),
+k AS (SELECT c.*, p.lang AS pos_lang, n.lang AS neg_lang FROM cleaned c JOIN uniq ON uniq.id = c.id
+  JOIN tagged p ON p.id = 'p:' || c.id JOIN tagged n ON n.id = 'n:' || c.id),
+silver AS MATERIALIZED (SELECT k.*, {_sql_side('positive_review', 'k.pos_lang', NO_TRANSLATION_POSITIVE)} AS pos,
+  {_sql_side('negative_review', 'k.neg_lang', NO_TRANSLATION_NEGATIVE)} AS neg FROM k),
+pos_src AS (SELECT id, pos AS text FROM silver), neg_src AS (SELECT id, neg AS text FROM silver),
+{sql_tfidf('p', 'pos_src')},
+{sql_tfidf('n', 'neg_src')},
+{_sql_tokens('p')},
+{_sql_tokens('n')},
+sides AS (SELECT s.*, coalesce(p.l, []) AS pl, coalesce(n.l, []) AS nl
+  FROM silver s LEFT JOIN p_tokens p ON p.id = s.id LEFT JOIN n_tokens n ON n.id = s.id),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY city, hotel_name, reviewer_name, review_date ORDER BY id) AS r
+  FROM sides WHERE len(pl) > 0 OR len(nl) > 0)
+SELECT city, hotel_name, reviewer_name, duration, review_date, travel_type, pos AS positive_review,
+  neg AS negative_review, sentiment_classification,
+  CASE WHEN len(pl) > 0 THEN array_to_string(pl, '|') END AS positive_tokens,
+  CASE WHEN len(nl) > 0 THEN array_to_string(nl, '|') END AS negative_tokens, TRUE AS stamped
+FROM fresh WHERE r = 1""",
+)
+def reviews_pipeline_gold(spark, sf_dir):
+    """Every stage through ``run_layers`` in a new folder: dedup, languages, cleaning, memory,
+    phrases, tokens, append."""
+    layers = Layers(f"{ensure_checkpoint_dir(spark)}/layers-{uuid4().hex}")
+    _known_translations(spark, sf_dir).write.parquet(layers.memory)
+    profiles = fit_language_profiles(table(spark, sf_dir, "documents"), "text", "lang")
+    run_layers(spark, persist_reliably(_bronze(spark, sf_dir)), layers, profiles, vocabulary=GOLD_VOCABULARY)
+    stored = spark.read.parquet(layers.gold)
+    stamped = F.col("id").isNotNull() & F.col("inserted_at").isNotNull()
+    return stored.select(
+        "city", "hotel_name", "reviewer_name", "duration", "review_date", "travel_type", "positive_review",
+        "negative_review", "sentiment_classification", joined("positive_tokens").alias("positive_tokens"),
+        joined("negative_tokens").alias("negative_tokens"), stamped.alias("stamped"),
+    )

@@ -12,6 +12,10 @@ _LOW = f"lower({sql_strip('text')})"
 _HITS = " + ".join(f"contains({_LOW}, {sql_text(p)})::INTEGER" for p in ENGLISH_PATTERNS)
 
 
+#: Whether a column ``text`` needs no detector; NULL for a NULL text.
+SHORTCUT_SQL = f"(length({sql_strip('text')}) < 4 OR ({_HITS}) >= 2)"
+
+
 @query(
     "english_shortcut",
     f"""WITH h AS (SELECT doc_id, text, {_HITS} AS hits FROM documents)
@@ -32,16 +36,15 @@ def _sql_trigrams(key: str, source: str, extra: str = "") -> str:
   FROM (SELECT {key}{extra}, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM {source}))"""
 
 
-_PROFILES = f"""counts AS (SELECT lang, trigram, count(*) AS n FROM {_sql_trigrams('lang', 'documents')}
+PROFILES_SQL = f"""counts AS (SELECT lang, trigram, count(*) AS n FROM {_sql_trigrams('lang', 'documents')}
   WHERE lang IS NOT NULL GROUP BY lang, trigram),
 floors AS (SELECT lang, round(-ln((sum(n) + (SELECT count(DISTINCT trigram) FROM counts))::DOUBLE) * 1000000)::BIGINT
   AS floor FROM counts GROUP BY lang),
-profiles AS (SELECT lang, trigram, round(ln((n + 1)::DOUBLE) * 1000000)::BIGINT AS gain, floor FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, trigram) AS r FROM counts)
-  JOIN floors USING (lang) WHERE r <= 1000)"""
+profiles AS (SELECT lang, trigram, round(ln((n + 1)::DOUBLE) * 1000000)::BIGINT AS gain, floor
+  FROM counts JOIN floors USING (lang))"""
 
 
-def _sql_detect(source: str) -> str:
+def sql_detect(source: str) -> str:
     """CTE ``detected`` (id, lang) for a relation (id, text)."""
     return f"""grams AS (SELECT id, trigram FROM {_sql_trigrams('id', source)}
   WHERE id IN (SELECT id FROM {source} WHERE length({sql_strip('text')}) > 3)),
@@ -59,7 +62,7 @@ def _profiles(spark, sf_dir):
 
 @query(
     "language_profiles",
-    f"WITH {_PROFILES} SELECT lang, trigram, gain, floor FROM profiles",
+    f"WITH {PROFILES_SQL} SELECT lang, trigram, gain, floor FROM profiles",
 )
 def language_profiles(spark, sf_dir):
     return _profiles(spark, sf_dir)
@@ -67,8 +70,8 @@ def language_profiles(spark, sf_dir):
 
 @query(
     "language_id_trigram",
-    f"""WITH {_PROFILES}, turns AS (SELECT conv_id || ':' || turn AS id, text FROM conversations),
-{_sql_detect('turns')} SELECT id, lang FROM detected""",
+    f"""WITH {PROFILES_SQL}, turns AS (SELECT conv_id || ':' || turn AS id, text FROM conversations),
+{sql_detect('turns')} SELECT id, lang FROM detected""",
 )
 def language_id_trigram(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
@@ -79,7 +82,7 @@ def language_id_trigram(spark, sf_dir):
 
 @query(
     "language_id_accuracy",
-    f"""WITH {_PROFILES}, docs AS (SELECT doc_id AS id, text FROM documents), {_sql_detect('docs')}
+    f"""WITH {PROFILES_SQL}, docs AS (SELECT doc_id AS id, text FROM documents), {sql_detect('docs')}
 SELECT d.lang AS labelled, t.lang AS detected, count(*) AS n
 FROM documents d JOIN detected t ON d.doc_id = t.id GROUP BY d.lang, t.lang""",
 )
@@ -94,9 +97,9 @@ def language_id_accuracy(spark, sf_dir):
 
 @query(
     "language_tag",
-    f"""WITH {_PROFILES}, turns AS (SELECT conv_id || ':' || turn AS id, text FROM conversations),
+    f"""WITH {PROFILES_SQL}, turns AS (SELECT conv_id || ':' || turn AS id, text FROM conversations),
 hits AS (SELECT id, length({sql_strip('text')}) < 4 OR ({_HITS}) >= 2 AS english FROM turns),
-{_sql_detect('turns')}
+{sql_detect('turns')}
 SELECT hits.id, CASE WHEN english THEN 'en' ELSE lang END AS lang FROM hits JOIN detected USING (id)""",
 )
 def language_tag(spark, sf_dir):

@@ -76,15 +76,18 @@ dots AS (SELECT c.doc_id, c.term, sum(p.n * d.n)::DOUBLE AS dot
 scored AS (SELECT doc_id, x.term, round(dot / (p_norm.norm * d_norm.norm), 9) AS score
   FROM dots x JOIN p_norm ON p_norm.term = x.term JOIN d_norm USING (doc_id)),
 best AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term DESC) AS rank
-  FROM scored WHERE score > 0)
-SELECT doc_id, string_agg(term, '|' ORDER BY rank) AS phrases FROM best WHERE rank <= 3 GROUP BY doc_id"""
+  FROM scored WHERE score > 0),
+lists AS (SELECT doc_id, string_agg(term, '|' ORDER BY rank) AS phrases FROM best WHERE rank <= 3 GROUP BY doc_id)
+SELECT doc_id, coalesce(phrases, '') AS phrases FROM documents LEFT JOIN lists USING (doc_id)"""
 
 
 @query("embedding_top_phrases", _EMBEDDING_SQL)
 def embedding_top_phrases(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = ops.key_phrases(docs, "doc_id", "text", method="embedding")
-    return found.withColumn("phrases", joined("phrases"))
+    return ops.attach_phrases(docs.select("doc_id"), "doc_id", found, "phrases").withColumn(
+        "phrases", joined("phrases")
+    )
 
 
 @query(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlake.catalog.registry import joined, query, sql_ascii_tokens, sql_in, sql_list, table
-from reviewlake.functions.arrays import array_length, array_literal, empty_to_null, item
+from reviewlake.functions.arrays import array_length, array_literal, compute_once, empty_to_null, item
 from reviewlake.functions.text import ascii_tokens
-from reviewlake.lexicons import CATEGORY_TERMS, HOTEL_STOPWORDS, STOPWORDS, category_frame, word_frame
+from reviewlake.lexicons import CATEGORY_TERMS, DOMAIN_VOCABULARY, HOTEL_STOPWORDS, STOPWORDS, word_frame
 from reviewlake.operators import tokens as ops
 from reviewlake.operators.metrics import preview
 
@@ -39,8 +39,7 @@ def corpus_vocabulary(spark, sf_dir):
     f"SELECT DISTINCT token FROM {_TOKENS} WHERE {_INFORMATIVE} AND token IN {sql_in(VOCABULARY)}",
 )
 def domain_tokens_of_corpus(spark, sf_dir):
-    corpus = ops.corpus_vocabulary(_documents(spark, sf_dir), F.col("tokens"))
-    return ops.domain_tokens_of_corpus(corpus, word_frame(spark, VOCABULARY))
+    return ops.domain_tokens_of_corpus(_documents(spark, sf_dir), F.col("tokens"), VOCABULARY)
 
 
 @query(
@@ -61,13 +60,14 @@ def token_count_distribution(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    return docs.select(
-        "doc_id",
-        "lang",
-        ops.row_domain_tokens(F.col("tokens"), VOCABULARY).alias("positive_tokens"),
-        ops.row_domain_tokens(F.col("tokens"), SECOND_VOCABULARY).alias("negative_tokens"),
+    docs = compute_once(
+        table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), tokens=ascii_tokens(F.col("text"))
     )
+    return compute_once(
+        docs.select("doc_id", "lang", "tokens"),
+        positive_tokens=ops.row_domain_tokens(F.col("tokens"), VOCABULARY),
+        negative_tokens=ops.row_domain_tokens(F.col("tokens"), SECOND_VOCABULARY),
+    ).drop("tokens")
 
 
 def _sql_members(words) -> str:
@@ -90,6 +90,29 @@ def row_domain_tokens(spark, sf_dir):
     )
 
 
+@query(
+    "domain_tokens_default",
+    f"SELECT doc_id, array_to_string({_sql_members(DOMAIN_VOCABULARY)}, '|') AS tokens FROM documents",
+)
+def domain_tokens_default(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs.select("doc_id", joined(ops.row_domain_tokens(F.col("tokens"))).alias("tokens"))
+
+
+@query(
+    "domain_tokens_by_table",
+    f"SELECT doc_id, array_to_string({_sql_members(VOCABULARY)}, '|') AS tokens FROM documents",
+)
+def domain_tokens_by_table(spark, sf_dir):
+    docs = compute_once(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), tokens=ascii_tokens(F.col("text"))
+    )
+    found = ops.domain_tokens_by_table(
+        docs.select("doc_id", "tokens"), "doc_id", "tokens", word_frame(spark, VOCABULARY), "found"
+    )
+    return found.select("doc_id", joined("found").alias("tokens"))
+
+
 def _literal(c: str) -> str:
     return f"""CASE WHEN len({c}) > 0 THEN '{{' || array_to_string(
   list_transform({c}, lambda w: '"' || w || '"'), ',') || '}}' END"""
@@ -173,15 +196,13 @@ FROM found GROUP BY category, priority"""
 
 @query("token_categories", _categories_sql(TOPICS, _TOKENS))
 def token_categories(spark, sf_dir):
-    corpus = ops.corpus_vocabulary(
-        _documents(spark, sf_dir), F.col("tokens"), stopwords=(), domain_stopwords=(), min_length=1
+    found = ops.token_categories(
+        _documents(spark, sf_dir), F.col("tokens"), TOPICS, stopwords=(), domain_stopwords=(), min_length=1
     )
-    found = ops.token_categories(corpus, category_frame(spark, TOPICS))
     return found.withColumn("first_tokens", joined("first_tokens"))
 
 
 @query("token_categories_default", _categories_sql(CATEGORY_TERMS, _TOKENS))
 def token_categories_default(spark, sf_dir):
-    corpus = ops.corpus_vocabulary(_documents(spark, sf_dir), F.col("tokens"))
-    found = ops.token_categories(corpus, category_frame(spark))
+    found = ops.token_categories(_documents(spark, sf_dir), F.col("tokens"))
     return found.withColumn("first_tokens", joined("first_tokens"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.lexicons import literal_words, words_column
 
@@ -18,6 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections read instead of computing again.
+
+    A filter on a computed column moves below the projection and takes a copy of the
+    expression along. It does not move below a generator, and a generator over an array of
+    one struct gives one row for each row.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(made)))
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 

@@ -1,8 +1,8 @@
 """Fixed word lists, patterns and placeholders, and their DataFrame form.
 
 Every operator takes its lists as arguments; the values here are only the
-defaults. Lists too long to be fixed values (the full domain vocabulary, a
-person-name list, a longer stop list) are parameters: put one word per line in
+defaults. Lists too long to be fixed values (a person-name
+list, a longer stop list or vocabulary) are parameters: put one word per line in
 a file and load it with :func:`read_word_list`.
 """
 
@@ -32,9 +32,6 @@ shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn
 wouldn't
 """.split()
 
-# Used where no stop list is available.
-FALLBACK_STOPWORDS = "the a an and or but in on at to for of with by".split()
-
 # Words too common in this domain to be informative.
 HOTEL_STOPWORDS = """
 hotel room stay night day time place location area staff service
@@ -72,6 +69,38 @@ CATEGORY_TERMS = {
     " disappointing".split(),
 }
 
+# Words of the domain, by topic; a token that is none of them is dropped.
+DOMAIN_VOCABULARY = """
+accommodation suite apartment villa cottage cabin chalet hostel guesthouse resort
+bedroom bathroom kitchen balcony terrace patio garden pool jacuzzi spa
+wifi internet television minibar refrigerator airconditioning heating fireplace
+bed pillow mattress linen towel amenities toiletries hairdryer safe wardrobe
+reception concierge housekeeping maintenance security valet bellhop porter
+checkin checkout reservation booking availability upgrade complimentary inclusive
+restaurant dining breakfast lunch dinner buffet menu cuisine bar lounge
+gym fitness sauna massage wellness relaxation treatment therapy
+conference meeting business events wedding banquet catering
+parking garage transportation shuttle airport transfer taxi rental
+sightseeing tour excursion adventure exploration hiking walking cycling biking
+museum gallery exhibition theater cinema entertainment nightlife shopping
+beach ocean sea lake river mountain forest park nature landscape
+historic cultural heritage architecture monument castle church temple
+festival event celebration carnival market fair concert performance
+comfortable luxury elegant modern traditional authentic unique spectacular
+clean spacious cozy quiet peaceful relaxing convenient accessible
+friendly helpful professional courteous attentive responsive efficient
+delicious tasty fresh quality variety selection choice option
+expensive affordable reasonable value price cost budget cheap
+recommend satisfaction experience memorable enjoyable pleasant disappointing
+downtown center district neighborhood vicinity nearby walking distance
+view scenery panoramic overlooking facing waterfront beachfront hillside
+accessibility transportation connection proximity convenience central
+problem issue complaint dissatisfied unhappy poor worst terrible
+dirty noisy crowded outdated broken damaged faulty
+rude unfriendly unprofessional slow delayed cancelled overbooked
+overpriced overrated disappointing unacceptable uncomfortable
+""".split()
+
 # In matching order: the first city found in the text wins.
 CITIES = ["Alexandria", "Sharm El Sheikh", "Luxor", "Aswan", "Hurghada", "Cairo"]
 
@@ -136,11 +165,7 @@ LABELS = {
     NO_SIDE: "Empty",
 }
 
-#: Default domain vocabulary: the categorised terms that count as domain terms.
-#: Pass a longer one with ``vocabulary=read_word_list(...)``.
-DOMAIN_VOCABULARY = sorted({t for terms in CATEGORY_TERMS.values() for t in terms} - {"cafe", "wine"})
-
-#: A word list becomes a literal in the plan; longer lists must be joined.
+#: A word list becomes a literal in the plan; operators join a longer one as a table.
 MAX_LITERAL_WORDS = 20_000
 
 
@@ -163,7 +188,8 @@ def literal_words(words: Iterable[str]) -> list[str]:
 
 
 def word_frame(spark: SparkSession, words: Iterable[str], name: str = "token") -> DataFrame:
-    return spark.createDataFrame([(w,) for w in literal_words(words)], f"{name} string")
+    """The distinct words as a table, however many they are."""
+    return spark.createDataFrame([(w,) for w in dict.fromkeys(words)], f"{name} string")
 
 
 def category_frame(
@@ -175,7 +201,6 @@ def category_frame(
         for term in terms:
             first.setdefault(term.lower(), (category, priority))
     rows = [(token, category, priority) for token, (category, priority) in first.items()]
-    literal_words(first)
     return spark.createDataFrame(rows, "token string, category string, priority int")
 
 

@@ -8,16 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.functions.arrays import let
+from reviewlake.functions.arrays import let, run_lengths
 from reviewlake.functions.text import letter_trigrams, strip
 from reviewlake.lexicons import ENGLISH_PATTERNS
 from reviewlake.session import broadcast_if_bounded, persist_reliably
 
-#: Largest number of profile trigrams that is broadcast.
-MAX_PROFILE_ROWS = 200_000
+#: Largest number of profile cells (trigrams times languages, 8 bytes each) that is broadcast.
+MAX_BROADCAST_CELLS = 4_000_000
 
-#: Scores are kept in one column per language.
-MAX_LANGUAGES = 500
+#: Up to so many languages a text's scores are columns of one row.
+MAX_LANGUAGE_COLUMNS = 100
 
 #: Log-probabilities are kept as whole millionths, so that sums do not depend on
 #: the order in which partitions are added up.
@@ -43,14 +43,16 @@ def english_shortcut(
 
 
 def fit_language_profiles(
-    df: DataFrame, text: str, lang: str, profile_size: int = 1000
+    df: DataFrame, text: str, lang: str, profile_size: int | None = None
 ) -> DataFrame:
-    """(lang, trigram, gain, floor) for the most frequent trigrams of each language.
+    """(lang, trigram, gain, floor) for the trigrams of each language.
+
+    All trigrams belong to a profile, or the ``profile_size`` most frequent ones.
 
     ``floor`` is the add-one log-probability of an unseen trigram and ``gain``
     what a known one adds to it. The alphabet bounds the number of distinct
-    trigrams, so map-side aggregation leaves little to shuffle; the window drops
-    all but ``profile_size`` rows per language on each task.
+    trigrams, so map-side aggregation leaves little to shuffle; with a size, the window
+    drops all but that many rows per language on each task.
     """
     counts = persist_reliably(
         df.where(F.col(lang).isNotNull())
@@ -64,51 +66,48 @@ def fit_language_profiles(
         "lang",
         F.round(-F.log((F.col("total") + distinct).cast("double")) * SCALE).cast("long").alias("floor"),
     )
-    frequent_first = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("trigram"))
-    profile = (
-        counts.withColumn("_rank", F.row_number().over(frequent_first))
-        .where(F.col("_rank") <= profile_size)
-        .select(
-            "lang",
-            "trigram",
-            F.round(F.log((F.col("n") + 1).cast("double")) * SCALE).cast("long").alias("gain"),
-        )
-    )
+    if profile_size is not None:
+        frequent_first = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("trigram"))
+        ranked = counts.withColumn("_rank", F.row_number().over(frequent_first))
+        counts = ranked.where(F.col("_rank") <= profile_size)
+    gain = F.round(F.log((F.col("n") + 1).cast("double")) * SCALE).cast("long").alias("gain")
+    profile = counts.select("lang", "trigram", gain)
     return profile.join(floors, "lang")
 
 
+def _trigram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, trigram, tf) of the texts long enough to detect, counted inside the row."""
+    long_enough = F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
+    counted = F.explode(run_lengths(letter_trigrams(F.col(text)))).alias("_t")
+    return df.where(long_enough).select(key, counted).select(key, F.col("_t.term").alias("trigram"), "_t.tf")
+
+
 def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """(key, lang) for the texts that share a trigram with some profile.
 
     The profiles become one row per trigram with one gain per language. All
     trigrams of a text sit in one task, so its scores are added up before the only
-    shuffle, which carries one row of whole numbers per text.
+    shuffle, which carries one row of whole numbers per text. More languages than
+    make a sensible number of columns are scored as rows instead.
     """
     stored = persist_reliably(profiles)
     per_language = stored.groupBy("lang").agg(F.first("floor"))
-    floors = sorted(tuple(r) for r in per_language.limit(MAX_LANGUAGES + 1).collect())
-    if len(floors) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: check the labels of the profiles")
+    floors = sorted(tuple(r) for r in per_language.limit(MAX_LANGUAGE_COLUMNS + 1).collect())
     if not floors:
         return df.select(key, F.lit(None).cast("string").alias("lang")).limit(0)
+    counted = _trigram_counts(df, key, text)
+    if len(floors) > MAX_LANGUAGE_COLUMNS:
+        return _best_of_many_languages(counted, key, stored)
     gains = [
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("gain"))), F.lit(0)).alias(f"_g{i}")
         for i, (lang, _) in enumerate(floors)
     ]
     wide = broadcast_if_bounded(
-        persist_reliably(stored.groupBy("trigram").agg(*gains)), MAX_PROFILE_ROWS
-    )
-    long_enough = F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
-    sums = [F.sum(f"_g{i}").alias(f"_g{i}") for i in range(len(floors))]
-    # The left join keeps unknown trigrams, so that the same pass counts them all;
-    # carrying the array's size along would copy the array into every row.
-    scored = (
-        df.where(long_enough)
-        .select(key, F.explode(letter_trigrams(F.col(text))).alias("trigram"))
-        .join(wide, "trigram", "left")
-        .groupBy(key)
-        .agg(F.count("*").alias("_n"), *sums)
+        persist_reliably(stored.groupBy("trigram").agg(*gains)), MAX_BROADCAST_CELLS // len(floors)
     )
+    sums = [F.sum(F.col(f"_g{i}") * F.col("tf")).alias(f"_g{i}") for i in range(len(floors))]
+    # The left join keeps unknown trigrams, so that the same pass counts them all.
+    scored = counted.join(wide, "trigram", "left").groupBy(key).agg(F.sum("tf").alias("_n"), *sums)
     candidates = [
         F.when(
             F.col(f"_g{i}") > 0,
@@ -119,6 +118,18 @@ def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> D
     return scored.select(key, F.array_min(F.array(*candidates)).getField("lang").alias("lang"))
 
 
+def _best_of_many_languages(counted: DataFrame, key: str, profiles: DataFrame) -> DataFrame:
+    """The same with one row per text and language; any number of languages."""
+    stored = persist_reliably(counted)
+    sizes = stored.groupBy(key).agg(F.sum("tf").alias("_n"))
+    scored = stored.join(profiles, "trigram").groupBy(key, "lang", "floor").agg(
+        F.sum(F.col("gain") * F.col("tf")).alias("_g")
+    )
+    cost = F.struct((-F.col("_g") - F.col("_n") * F.col("floor")).alias("cost"), "lang")
+    best = scored.where(F.col("_g") > 0).join(sizes, key).groupBy(key).agg(F.min(cost).alias("_best"))
+    return best.select(key, F.col("_best.lang").alias("lang"))
+
+
 def detect_language(
     df: DataFrame, key: str, text: str, profiles: DataFrame, default: str = "en"
 ) -> DataFrame:

@@ -57,12 +57,17 @@ def fit_vocabulary(
     word, so only bigrams of two words at or above the threshold can be features,
     and the rest are dropped before the shuffle. The result is exact.
     """
-    if not 0 < max_features <= MAX_FEATURES:
-        raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
-    spark = df.sparkSession
     valid = df.where(is_analysable(F.col(text))).select(
         vectorizer_tokens(F.col(text), stopwords).alias("tokens")
     )
+    return _vocabulary_of(valid, max_features, max_df, min_df)
+
+
+def _vocabulary_of(valid: DataFrame, max_features: int, max_df: float, min_df: int) -> DataFrame:
+    """The vocabulary of a column ``tokens``, which is read twice."""
+    if not 0 < max_features <= MAX_FEATURES:
+        raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
+    spark = valid.sparkSession
     # One extra entry per document counts the documents in the same pass; a
     # token is never the empty string.
     per_document = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
@@ -118,8 +123,12 @@ def term_scores(
     Counts are made inside the row, and a vocabulary of up to ``MAX_LITERAL_WORDS``
     terms is broadcast, so this step does not shuffle.
     """
-    terms = unigrams_and_bigrams(vectorizer_tokens(F.col(text), stopwords))
-    rows = df.where(is_analysable(F.col(text))).select(key, terms.alias("terms"))
+    tokens = vectorizer_tokens(F.col(text), stopwords).alias("tokens")
+    return _scores_of(df.where(is_analysable(F.col(text))).select(key, tokens), key, vocabulary)
+
+
+def _scores_of(valid: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    rows = valid.select(key, unigrams_and_bigrams(F.col("tokens")).alias("terms"))
     listed = _short_list(vocabulary.select("term"))
     kept = F.expr(f"filter(terms, t -> t IN {sql_words(listed)})") if listed else F.col("terms")
     exploded = rows.select(key, F.explode(run_lengths(kept)).alias("t"))
@@ -156,10 +165,16 @@ def tfidf_phrases(
     top_n: int = 3,
     **fit: float,
 ) -> DataFrame:
-    """(key, phrases) for the rows that have any; ``key`` must be unique."""
+    """(key, phrases) for the rows that have any; ``key`` must be unique.
+
+    Texts are cut into tokens once: the stored lists serve both counts and the scores.
+    """
+    tokens = vectorizer_tokens(F.col(text), stopwords).alias("tokens")
+    valid = persist_reliably(df.where(is_analysable(F.col(text))).select(key, tokens))
     if vocabulary is None:
-        vocabulary = fit_vocabulary(df, text, stopwords, **fit)
-    return top_per_key(term_scores(df, key, text, vocabulary, stopwords), key, "term", "score", top_n)
+        settings = {"max_features": 1000, "max_df": 0.8, "min_df": 1, **fit}
+        vocabulary = _vocabulary_of(valid.select("tokens"), **settings)
+    return top_per_key(_scores_of(valid, key, vocabulary), key, "term", "score", top_n)
 
 
 def attach_phrases(df: DataFrame, key: str, phrases: DataFrame, name: str) -> DataFrame:

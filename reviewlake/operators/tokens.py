@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from reviewlake.functions.arrays import members
+from reviewlake.functions.arrays import empty_strings, members
 from reviewlake.functions.labels import ratio_percent
 from reviewlake.functions.text import ascii_tokens
-from reviewlake.lexicons import DOMAIN_VOCABULARY, HOTEL_STOPWORDS, STOPWORDS, literal_words
+from reviewlake.lexicons import (
+    CATEGORY_TERMS,
+    DOMAIN_VOCABULARY,
+    HOTEL_STOPWORDS,
+    MAX_LITERAL_WORDS,
+    STOPWORDS,
+    category_frame,
+    literal_words,
+    word_frame,
+)
 
 
 def informative_tokens(
@@ -41,9 +49,26 @@ def corpus_vocabulary(df: DataFrame, tokens: Column, **filters: Iterable[str]) -
     return df.select(F.explode(kept).alias("token")).distinct()
 
 
-def domain_tokens_of_corpus(vocabulary: DataFrame, domain: DataFrame) -> DataFrame:
-    """The corpus tokens that are domain terms."""
-    return vocabulary.join(domain.select("token"), "token", "left_semi")
+def _corpus_members(df: DataFrame, tokens: Column, words: Iterable[str], filters: dict) -> DataFrame:
+    """(token): the distinct informative tokens of the corpus that are in the list.
+
+    Tokens are tested inside the row, or against a broadcast of a list too long for the
+    plan, so only tokens of the list take part in the distinct.
+    """
+    words = list(dict.fromkeys(words))
+    kept = informative_tokens(tokens, **filters)
+    if len(words) <= MAX_LITERAL_WORDS:
+        return df.select(F.explode(members(kept, words)).alias("token")).distinct()
+    listed = F.broadcast(word_frame(df.sparkSession, words))
+    every = df.select(F.explode(F.array_distinct(kept)).alias("token"))
+    return every.join(listed, "token", "left_semi").distinct()
+
+
+def domain_tokens_of_corpus(
+    df: DataFrame, tokens: Column, words: Iterable[str] = DOMAIN_VOCABULARY, **filters: Iterable[str]
+) -> DataFrame:
+    """The corpus tokens that are domain terms, one per row."""
+    return _corpus_members(df, tokens, words, filters)
 
 
 def row_domain_tokens(
@@ -64,27 +89,42 @@ def row_domain_tokens(
     return members(tokens, sorted(terms))
 
 
+def domain_tokens_by_table(df: DataFrame, key: str, tokens: str, words: DataFrame, name: str) -> DataFrame:
+    """J5 with a word table (token) of any length instead of a list in the plan.
+
+    ``key`` must be unique. The distinct tokens of each row meet the words in a join and
+    come back as one sorted list per row, empty where there is none.
+    """
+    rows = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    found = rows.join(words.select("token").distinct(), "token", "left_semi")
+    lists = found.groupBy(key).agg(F.sort_array(F.collect_list("token")).alias(name))
+    return df.join(lists, key, "left").withColumn(name, F.coalesce(name, empty_strings()))
+
+
 def drop_without_tokens(df: DataFrame, first: str, second: str) -> DataFrame:
     """Keep rows with a token on either side."""
     return df.where((F.size(first) > 0) | (F.size(second) > 0))
 
 
-def token_categories(tokens: DataFrame, categories: DataFrame, first: int = 10) -> DataFrame:
+def token_categories(
+    df: DataFrame,
+    tokens: Column,
+    categories: Mapping[str, Iterable[str]] = CATEGORY_TERMS,
+    first: int = 10,
+    **filters: Iterable[str],
+) -> DataFrame:
     """Per category the number of distinct tokens and the first few, sorted.
 
-    ``categories`` is (token, category, priority) with one row per token. The
-    window keeps ``first`` rows per category on each task before the shuffle.
+    A token counts for the first category that lists it. Only listed tokens are shuffled,
+    and a category's tokens are at most its list.
     """
-    found = tokens.select("token").distinct().join(categories, "token")
-    by_token = Window.partitionBy("category").orderBy("token")
-    head = (
-        found.withColumn("_rank", F.row_number().over(by_token))
-        .where(F.col("_rank") <= first)
-        .groupBy("category")
-        .agg(F.sort_array(F.collect_list("token")).alias("first_tokens"))
+    listed = category_frame(df.sparkSession, categories)
+    words = [term.lower() for terms in categories.values() for term in terms]
+    found = _corpus_members(df, tokens, words, filters).join(F.broadcast(listed), "token")
+    return found.groupBy("category", "priority").agg(
+        F.count("*").alias("n_tokens"),
+        F.slice(F.sort_array(F.collect_list("token")), 1, first).alias("first_tokens"),
     )
-    counts = found.groupBy("category", "priority").agg(F.count("*").alias("n_tokens"))
-    return counts.join(head, "category").select("category", "priority", "n_tokens", "first_tokens")
 
 
 def token_totals(df: DataFrame, positive: str, negative: str) -> DataFrame:

@@ -6,10 +6,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlake.functions.arrays import empty_to_null
-from reviewlake.lexicons import DOMAIN_VOCABULARY, STOPWORDS
+from reviewlake.functions.arrays import compute_once, empty_to_null
+from reviewlake.lexicons import DOMAIN_VOCABULARY, MAX_LITERAL_WORDS, STOPWORDS, word_frame
 from reviewlake.operators.phrases import attach_phrases, key_phrases
-from reviewlake.operators.tokens import drop_without_tokens, phrase_tokens, row_domain_tokens
+from reviewlake.operators.tokens import (
+    domain_tokens_by_table,
+    drop_without_tokens,
+    informative_tokens,
+    phrase_tokens,
+    row_domain_tokens,
+)
 from reviewlake.schemas import GOLD_REVIEWS, keep_known
 
 TRANSLATED = {"positive": "positive_review_translated", "negative": "negative_review_translated"}
@@ -34,14 +40,20 @@ def with_phrases(
 def with_domain_tokens(
     df: DataFrame, vocabulary: Iterable[str] = DOMAIN_VOCABULARY, **filters
 ) -> DataFrame:
-    vocabulary = list(vocabulary)
-    return df.withColumns(
-        {
-            f"{side}_tokens": row_domain_tokens(
-                phrase_tokens(F.col(f"{side}_phrases")), vocabulary, **filters
-            )
+    """J5 on both sides; a vocabulary too long for the plan is joined as a table."""
+    vocabulary = list(dict.fromkeys(vocabulary))
+    if len(vocabulary) > MAX_LITERAL_WORDS:
+        words = word_frame(df.sparkSession, vocabulary)
+        for side in TRANSLATED:
+            tokens = informative_tokens(phrase_tokens(F.col(f"{side}_phrases")), **filters)
+            df = domain_tokens_by_table(df.withColumn("_tokens", tokens), "id", "_tokens", words, f"{side}_tokens")
+        return df.drop("_tokens")
+    return compute_once(
+        df,
+        **{
+            f"{side}_tokens": row_domain_tokens(phrase_tokens(F.col(f"{side}_phrases")), vocabulary, **filters)
             for side in TRANSLATED
-        }
+        },
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.lexicons import (
     DOMAIN_VOCABULARY,
@@ -17,7 +17,7 @@ from reviewlake.operators.language import tag_language
 from reviewlake.operators.metrics import gold_report, table_counts, translation_report
 from reviewlake.operators.translate import (
     Translator,
-    apply_memory,
+    apply_memory_to_sides,
     memory_misses,
     run_translator,
     translation_candidates,
@@ -51,9 +51,14 @@ def new_translations(df: DataFrame, memory: DataFrame, translator: Translator) -
 
 def translate_sides(df: DataFrame, memory: DataFrame) -> DataFrame:
     """F17 on both sides; needs the ``<side>_lang`` columns."""
-    for side, sentinels in SIDES.items():
-        df = apply_memory(df, "id", side, f"{side}_lang", memory, sentinels, f"{side}_translated")
-    return keep_known(df, SILVER_TRANSLATED)
+    return keep_known(apply_memory_to_sides(df, "id", SIDES, memory), SILVER_TRANSLATED)
+
+
+def check_unique(df: DataFrame, key: str = "id") -> None:
+    """Raise ValueError if two rows share a key or have none: texts are put back by it."""
+    counted = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).first()
+    if counted["rows"] != counted["keys"]:
+        raise ValueError(f"{counted['rows']} rows have {counted['keys']} different values of {key!r}")
 
 
 @dataclass(frozen=True)
@@ -103,6 +108,7 @@ def run_layers(
     unique_path, tagged_path = layers.path("bronze_unique"), layers.path("tagged")
     overwrite(unique_reviews(bronze, parity), unique_path)
     unique = spark.read.parquet(unique_path)
+    check_unique(unique)
     if parity:
         overwrite(to_silver(unique, parity, stopwords), layers.silver)
         overwrite(with_languages(spark.read.parquet(layers.silver), profiles), tagged_path)
@@ -131,7 +137,7 @@ def run_layers(
     overwrite(build_gold(translated, vocabulary, stopwords, method), batch_path)
     batch = spark.read.parquet(batch_path)
     # The batch's own id orders duplicates; the stored id is a hash of the key.
-    ordered = with_generated(batch.withColumnRenamed("id", "_order"))
+    ordered = with_generated(batch.withColumnRenamed("id", "_order"), order="_order")
     load = append_new(ordered, layers.gold, order="_order", null_safe=not parity)
     inserted = spark.read.parquet(f"{layers.gold}__staged")
     return {

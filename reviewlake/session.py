@@ -8,6 +8,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Folders of stored intermediate tables.
+_staged: list[str] = []
+
+
 def build_session(master: str | None = None, app: str = "reviewlake", **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
 
@@ -59,10 +63,24 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     optimiser whether it is small enough to broadcast.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that :func:`persist_reliably` has stored; returns their number.
+
+    Call it between jobs, when no frame that reads them is used any more.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _staged:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting the rows of an already stored frame.
 

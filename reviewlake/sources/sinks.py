@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -49,13 +51,32 @@ def overwrite(
     hold a third of the table, and would then be written by one task.
     ``sort_by`` orders rows within each file, for row-group skipping.
 
-    The source must not read from ``path``; write to a new path and switch
-    readers over instead.
+    The new table is written beside the old one and renamed over it when it is whole: a
+    job that fails leaves the old table as it was, and the source may read from ``path``.
     """
     if partition_by or sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    fresh = f"{path.rstrip('/')}__next-{uuid4().hex}"
+    writer = df.write.option("maxRecordsPerFile", max_records_per_file)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+    swap(df.sparkSession, fresh, path)
+
+
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path``; the old one goes last."""
+    fs, target = _file_system(spark, path)
+    source = _file_system(spark, fresh)[1]
+    old = _file_system(spark, f"{path.rstrip('/')}__old-{uuid4().hex}")[1]
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(source, target):
+        if replaced:
+            fs.rename(old, target)
+        raise OSError(f"cannot move {fresh} to {path}")
+    if replaced:
+        fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def overwrite_known(df: DataFrame, path: str, schema: StructType) -> None:
@@ -102,9 +123,17 @@ def append_new(
     )
 
 
-def with_generated(df: DataFrame, keys: Sequence[str] = GOLD_KEYS) -> DataFrame:
-    """A key that is the same on every run, and the load time."""
-    return df.withColumn("id", F.xxhash64(*keys)).withColumn("inserted_at", F.current_timestamp())
+def with_generated(df: DataFrame, keys: Sequence[str] = GOLD_KEYS, order: str | None = None) -> DataFrame:
+    """A key that is the same on every run, and the load time.
+
+    A NULL counts as a value of its own. Rows with a NULL key column can be stored several
+    times, so ``order``, if given, is part of their key.
+    """
+    parts = [p for k in keys for p in (F.col(k).isNull(), F.col(k))]
+    if order is not None:
+        no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        parts.append(F.when(no_key, F.col(order)))
+    return df.withColumn("id", F.xxhash64(*parts)).withColumn("inserted_at", F.current_timestamp())
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -56,7 +56,7 @@ def brute_detect(texts, size):
     return out
 
 
-def profiles(spark, size=50):
+def profiles(spark, size=None):
     return language.fit_language_profiles(
         spark.createDataFrame(TRAIN, "lang string, text string"), "text", "lang", size
     )
@@ -75,6 +75,7 @@ def test_scores_do_not_depend_on_partitioning(spark):
     texts = [(i, TRAIN[i % 3][1] * (1 + i % 4)) for i in range(60)]
     rows = spark.createDataFrame(texts, "id long, text string")
     fitted = profiles(spark)
+    assert fitted.count() > 50
     one, many = (
         {tuple(r) for r in language.detect_language(rows.repartition(n), "id", "text", fitted).collect()}
         for n in (1, 13)
@@ -82,11 +83,12 @@ def test_scores_do_not_depend_on_partitioning(spark):
     assert one == many
 
 
-def test_junk_labels_are_refused(spark):
-    junk = spark.range(600).selectExpr("'l' || id AS lang", "'abc' AS trigram", "1L AS gain", "-1L AS floor")
-    rows = spark.createDataFrame([(1, "the house")], "id long, text string")
-    with pytest.raises(ValueError):
-        language.detect_language(rows, "id", "text", junk)
+def test_many_languages_are_scored_as_rows(spark, monkeypatch):
+    texts = [(1, "the house"), (2, "die katze im haus"), (3, "le chien dans la maison"), (4, "xyzq"), (5, "et"), (6, "")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    monkeypatch.setattr(language, "MAX_LANGUAGE_COLUMNS", 1)
+    got = language.detect_language(rows, "id", "text", profiles(spark, None))
+    assert {r["id"]: r["lang"] for r in got.collect()} == brute_detect(texts, None)
 
 
 def test_tag_uses_shortcut_first(spark):
@@ -141,3 +143,27 @@ def test_hit_rate_and_coverage(spark):
     assert row["hit_rate"] == pytest.approx(100 / 7)
     assert translate.memory_hit_rate(reviews(spark).limit(0), "lang", "t").first()["hit_rate"] == 0.0
     assert translate.translation_coverage(reviews(spark), "t").first()["with_translation"] == 8
+
+
+def test_repeated_memory_rows_do_not_multiply_reviews(spark):
+    memory = spark.createDataFrame(
+        [("fr", "bonjour tout", "b"), ("fr", "bonjour tout", "a"), ("de", "guten tag", "good day")],
+        "lang string, text string, translated string",
+    )
+    out = translate.apply_memory(reviews(spark), "id", "t", "lang", memory, NO_TRANSLATION_NEGATIVE, "e")
+    got = sorted((r["id"], r["e"]) for r in out.collect())
+    assert len(got) == len(ROWS) and dict(got)[1] == "a" and dict(got)[5] == "good day"
+
+
+def test_two_sides_take_one_scan_and_one_join(spark, tmp_path):
+    rows = [(1, "bonjour tout", "fr", "hello", "en", 5), (2, None, None, "guten tag", "de", 6), (3, "oui", "fr", "bonjour tout", "fr", 7)]
+    spark.createDataFrame(rows, "id long, n string, n_lang string, p string, p_lang string, extra int").write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("fr", "bonjour tout", "hi all"), ("de", "guten tag", "good day")],
+                          "lang string, text string, translated string").write.parquet(f"{tmp_path}/memory")
+    df, memory = spark.read.parquet(f"{tmp_path}/in"), spark.read.parquet(f"{tmp_path}/memory")
+    out = translate.apply_memory_to_sides(df, "id", {"n": NO_TRANSLATION_NEGATIVE, "p": ["hello"]}, memory)
+    assert out.columns == [*df.columns, "n_translated", "p_translated"]
+    got = {r["id"]: (r["n_translated"], r["p_translated"], r["extra"]) for r in out.collect()}
+    assert got == {1: ("hi all", "hello", 5), 2: (None, "good day", 6), 3: ("oui", "hi all", 7)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("Join") == 1

@@ -85,3 +85,9 @@ def test_stream_appends_each_review_once(spark, tmp_path):
     bronze(spark).where("id < 10").write.mode("append").parquet(source)
     assert drain() == 40
     assert spark.read.parquet(target).where("sentiment_classification = -1").count() > 0
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    repeated = bronze(spark).withColumn("id", F.lit(1).cast("long"))
+    with pytest.raises(ValueError, match="different values of 'id'"):
+        run_layers(spark, repeated, Layers(str(tmp_path / "lake")), profiles(spark))

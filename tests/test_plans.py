@@ -60,3 +60,16 @@ def test_scans_read_only_what_is_used(docs):
     assert "text" not in text.split("ReadSchema")[1]
     words = plan(corpus_vocabulary(docs, ascii_tokens(F.col("text"))))
     assert words.split("ReadSchema: ")[1].strip().startswith("struct<text:string>")
+
+
+def test_tokens_are_cut_once(spark, sf_dir):
+    for name in ("row_domain_tokens", "drop_without_tokens", "preview_tokens", "sentiment_slice"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.count("regexp_extract_all") == 1, name
+
+
+def test_words_are_tested_before_the_distinct(spark, sf_dir):
+    for name in ("token_categories", "domain_tokens_of_corpus"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.count("Scan parquet") == 1, name
+        assert text.index("HashAggregate") < text.index("array_intersect"), name

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.lexicons import CATEGORY_TERMS, category_frame
+from reviewlake import lexicons
+from reviewlake.lexicons import CATEGORY_TERMS, DOMAIN_VOCABULARY, word_frame
 from reviewlake.operators import dashboard, frontier, metrics, tokens
 
 LINKS = [("a", True), ("b", False), ("c", None), ("d", None)]
@@ -115,9 +116,28 @@ def test_token_operators(spark):
     assert [r["x"] for r in row] == [["pool"], ["wine"]]
     assert tokens.drop_without_tokens(df.withColumn("a", F.array().cast("array<string>")), "a", "b").count() == 1
     assert tokens.sentiment_slice(df.withColumn("c", F.lit(-1)), -1, "b", "c").count() == 1
-    every = spark.createDataFrame([(t,) for terms in CATEGORY_TERMS.values() for t in terms], "token string")
-    found = {r["category"]: r for r in tokens.token_categories(every, category_frame(spark)).collect()}
+    every = spark.createDataFrame([(list(terms),) for terms in CATEGORY_TERMS.values()], "t array<string>")
+    found = {r["category"]: r for r in tokens.token_categories(every, F.col("t")).collect()}
     assert len(found) == 7 and found["accommodation"]["n_tokens"] == 12
     assert found["accommodation"]["first_tokens"] == sorted(CATEGORY_TERMS["accommodation"])[:10]
+    assert {r["token"] for r in tokens.domain_tokens_of_corpus(every, F.col("t")).collect()} <= set(DOMAIN_VOCABULARY)
     phrases = spark.createDataFrame([(["cold pool", "spa5"],)], "p array<string>")
     assert phrases.select(tokens.phrase_tokens(F.col("p"))).first()[0] == ["cold", "pool"]
+
+
+def test_default_vocabulary_keeps_every_domain_word(spark):
+    assert len(set(DOMAIN_VOCABULARY)) >= 215 and {"wifi", "menu", "garden", "airport"} <= set(DOMAIN_VOCABULARY)
+    df = spark.createDataFrame([(1, ["wifi"], []), (2, ["zzz"], [])], "id int, a array<string>, b array<string>")
+    found = df.select("id", *[tokens.row_domain_tokens(F.col(c)).alias(c) for c in "ab"])
+    assert [r["id"] for r in tokens.drop_without_tokens(found, "a", "b").collect()] == [1]
+
+
+def test_long_word_lists_are_joined(spark, monkeypatch):
+    rows = [(1, ["pool", "wifi", "pool"]), (2, ["zzz"]), (3, [])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    words = ["pool", "wifi", *(f"w{i}" for i in range(25_000))]
+    found = tokens.domain_tokens_by_table(df, "id", "t", word_frame(spark, words), "x")
+    assert {r["id"]: r["x"] for r in found.collect()} == {1: ["pool", "wifi"], 2: [], 3: []}
+    corpus = tokens.domain_tokens_of_corpus(df, F.col("t"), words)
+    assert {r["token"] for r in corpus.collect()} == {"pool", "wifi"}
+    assert lexicons.MAX_LITERAL_WORDS < len(words)

@@ -116,7 +116,7 @@ def test_review_cards(spark):
         "page_id": 0, "card_no": 0, "reviewer_name": "Mona", "reviewer_nationality": "Egypt",
         "duration": "3 nights ·", "check_in_date": "No Check-in Date", "travel_type": "No Type",
         "room_type": "Double Room", "review_date": "No Date", "positive_review": "Nice pool",
-        "negative_review": "No Negative Feedback",
+        "negative_review": "No Negative Feedback", "city": "Unknown City",
     }
     assert rows[1]["reviewer_nationality"] == "France" and rows[1]["reviewer_name"] == "No Name"
 
@@ -126,3 +126,57 @@ def test_nested_text(spark):
     rows = spark.createDataFrame([(1, page), (2, None), (3, "<p>")], "id long, html string")
     got = {r["id"]: r["x"] for r in html.nested_text(rows, "id", "html", "id", "a", "x").collect()}
     assert got == {1: "inner and more", 2: None, 3: None}
+
+
+NESTED = """<nav aria-label='Breadcrumb'><a class='x'>Home</a><a class="big breadcrumb">Sharm <b>El</b> Sheikh</a></nav>
+<div data-testid='review-card'><div class="b08850ce41 f546354b44"><span></span><i>Mona</i> &eacute;</div>
+<div class="b99b6ef58f d14152e7c3"><span>Great</span> location &amp; pool<br>near <b>beach</b></div>
+<div data-testid="review-negative-text"><div>in<div>ner</div></div></div><span data-testid='review-date'></span></div>"""
+
+
+def test_cards_keep_nested_text_either_quote_and_entities(spark):
+    pages = spark.createDataFrame([(7, "Hotel", NESTED), (8, "None", None), (9, "Open", "<div data-testid=review-card><p>x")], "k long, name string, html string")
+    bronze = html.cards_to_bronze(pages, "k", "html", "name")
+    assert bronze.columns == schemas.BRONZE_REVIEWS.names
+    rows = {r["hotel_name"]: r for r in bronze.collect()}
+    first = rows["Hotel"]
+    assert first["city"] == "Sharm El Sheikh" and first["reviewer_name"] == "Mona é"
+    assert first["positive_review"] == "Great location & pool\nnear beach"
+    assert first["negative_review"] == "in\nner" and first["review_date"] == ""
+    assert set(rows) == {"Hotel", "Open"} and rows["Open"]["positive_review"] == "No Positive Feedback"
+    assert first["id"] != rows["Open"]["id"] and first["scraped_at"] is not None
+    deep = html.read_page("<p>one<p>two<ul><li>a<li>b</ul>" + "<div>" * 5000 + "end")
+    assert deep.text() == "one\ntwo\na\nb\nend" and deep.written() == "onetwoabend"
+    masked = spark.createDataFrame([(1, "h", '<a class="bui_breadcrumb__link_masked">Luxor</a>' + NESTED)], pages.schema)
+    assert html.cards_to_bronze(masked, "k", "html", "name").first()["city"] == "Luxor"
+
+
+def test_failed_overwrite_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.overwrite(spark.range(5), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.overwrite(broken, path)
+    assert spark.read.parquet(path).count() == 5
+    sinks.overwrite(spark.read.parquet(path).where("id < 2"), path)
+    assert spark.read.parquet(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if "__old" in p.name] == []
+
+
+def test_generated_ids_differ_where_keys_are_missing(spark):
+    rows = [gold_row(1, city=None), gold_row(1, city=None), gold_row(3), gold_row(3)]
+    df = gold(spark, rows).withColumn("_order", F.monotonically_increasing_id())
+    ids = [r["id"] for r in sinks.with_generated(df, order="_order").collect()]
+    assert len(set(ids)) == 3
+    swapped = spark.createDataFrame([(None, "x"), ("x", None)], "a string, b string")
+    assert sinks.with_generated(swapped, ["a", "b"]).select("id").distinct().count() == 2
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from reviewlake.session import drop_staged, persist_reliably
+
+    stored = persist_reliably(spark.range(3))
+    folder = Path(stored.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and drop_staged(spark) >= 1 and not folder.exists()
