@@ -126,7 +126,32 @@ def op2_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
-@query("op3_chat_format")
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_escaped(c: str) -> str:
+    """A backslash doubled, and one after the first character of every control string."""
+    c = f"replace({c}, '\\', '\\\\')"
+    for control in chat_format.CONTROLS:
+        c = f"replace({c}, {_sql_text(control)}, {_sql_text(control[0] + chr(92) + control[1:])})"
+    return c
+
+
+_MARKS = len(chat_format.OPEN + chat_format.SEP + chat_format.CLOSE)
+SQL_CHAT = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+joined AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+  CAST(sum({_MARKS} + length({_sql_escaped('role')}) + length({_sql_escaped('text')})) AS BIGINT) AS formatted_chars
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars FROM joined"""
+
+
+@query("op3_chat_format", SQL_CHAT)
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, with one that speaks control strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from compare import compare, duck
 from hypothesis import given, settings, strategies as st
 
 from reviewlake.llm import chat_format as chat
@@ -82,6 +83,11 @@ def test_query_equals_plain(spark, sf_dir):
     assert len(got) == len({r[0] for r in rows}) + 1
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_equals_sql(spark, sf):
+    assert compare(spark, duck(sf), sf, "op3_chat_format") == ""
+
+
 RECORDS = [
     {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
     {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 5},
