@@ -83,16 +83,17 @@ def relevant_keys(
 ) -> DataFrame:
     """The target's keys that can matter for a stored ``batch``.
 
-    For a small increment the distinct batch keys, counted first, are broadcast and
-    only the target rows with one of them go on: the big table is scanned but not
-    shuffled. A larger batch gets all keys back.
+    For a small increment the digests of its distinct keys, 8 bytes each and counted
+    first, are broadcast and only the target rows with one of them go on: the big table
+    is scanned but not shuffled. Two keys of one digest only let a row more through. A
+    larger batch gets all keys back.
     """
     keys = list(keys)
-    wanted = batch.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    wanted = batch.select(F.xxhash64(*keys).alias("_digest")).distinct()
     if wanted.limit(max_rows + 1).count() > max_rows:
         return target.select(*keys)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return target.select(*keys).join(F.broadcast(wanted), same, "left_semi")
+    digested = target.select(*keys, F.xxhash64(*keys).alias("_digest"))
+    return digested.join(F.broadcast(wanted), "_digest", "left_semi").select(*keys)
 
 
 def duplicate_count(
