@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from heapq import nlargest
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -204,30 +206,61 @@ def hashed_trigram_encoder(texts: list[str], dimensions: int = 256) -> np.ndarra
     return counts.reshape(len(texts), dimensions).astype(np.float64)
 
 
-def _cosine(vectors: np.ndarray, target: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(target)
-    return np.divide(vectors @ target, norms, out=np.zeros(len(vectors)), where=norms > 0)
+def _cosines(vectors: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Cosine of each vector with the target in the same row; 0 for a zero vector."""
+    norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(targets, axis=1)
+    dots = np.einsum("ij,ij->i", vectors, targets)
+    return np.divide(dots, norms, out=np.zeros(len(vectors)), where=norms > 0)
+
+
+#: Texts encoded together hold about this many characters.
+ENCODED_CHARS = 1 << 20
 
 
 def _rank_candidates(
     key: str, encoder: Encoder, top_n: int, chunk: int
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Encode texts together, and the candidates of all of them ``chunk`` at a time."""
+
+    def rank_rows(rows: list[tuple]) -> Iterator[tuple]:
+        targets = encoder([text for _, text, _ in rows])
+        best: list[list[tuple[float, str]]] = [[] for _ in rows]
+        owners: list[int] = []
+        phrases: list[str] = []
+
+        def flush() -> None:
+            scores = np.round(_cosines(encoder(phrases), targets[owners]), 9)
+            for owner, found in groupby(zip(owners, scores.tolist(), phrases), key=lambda x: x[0]):
+                fresh = [(score, phrase) for _, score, phrase in found]
+                best[owner] = nlargest(top_n, best[owner] + fresh)
+            owners.clear()
+            phrases.clear()
+
+        for owner, (_, _, words) in enumerate(rows):
+            for phrase in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}:
+                owners.append(owner)
+                phrases.append(phrase)
+                if len(phrases) == chunk:
+                    flush()
+        if phrases:
+            flush()
+        for (row_key, _, _), found in zip(rows, best):
+            yield from ((row_key, phrase, score) for score, phrase in found)
+
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, phrases, scores = [], [], []
-            for row_key, text, words in zip(batch[key], batch["text"], batch["words"]):
-                target = encoder([text])[0]
-                found = sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
-                # Encoded a chunk at a time; only the top_n best are kept.
-                best: list[tuple[float, str]] = []
-                for start in range(0, len(found), chunk):
-                    part = found[start : start + chunk]
-                    cosine = np.round(_cosine(encoder(part), target), 9)
-                    best = sorted([*best, *zip(cosine.tolist(), part)], reverse=True)[:top_n]
-                keys += [row_key] * len(best)
-                scores += [s for s, _ in best]
-                phrases += [p for _, p in best]
-            yield pd.DataFrame({key: keys, "phrase": phrases, "score": scores})
+            out: list[tuple] = []
+            held: list[tuple] = []
+            size = 0
+            for row in zip(batch[key], batch["text"], batch["words"]):
+                if held and size + len(row[1]) > ENCODED_CHARS:
+                    out += rank_rows(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[1])
+            if held:
+                out += rank_rows(held)
+            yield pd.DataFrame(out, columns=[key, "phrase", "score"])
 
     return rank
 
@@ -243,8 +276,8 @@ def embedding_phrases(
 ) -> DataFrame:
     """(key, phrases), the text's 1-2 grams closest to the whole text.
 
-    Words are cut in the JVM; Python only pairs and encodes them, row by row of an
-    Arrow batch, on the task that holds the row. Pairs are not shipped: they are
+    Words are cut in the JVM; Python only pairs and encodes them, many rows of an Arrow
+    batch at a time, on the task that holds the rows. Pairs are not shipped: they are
     many times the size of the text. The final ranking is the same as for TF-IDF.
     """
     rows = df.where(is_analysable(F.col(text))).select(
