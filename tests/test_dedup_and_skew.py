@@ -72,6 +72,13 @@ def test_dedup(spark):
     assert dedup_rows(df.union(df), df.columns).count() == 5
 
 
+def test_rows_without_an_order_come_last(spark):
+    df = spark.createDataFrame([(None, "a", "x"), (2, "a", "y"), (None, "b", "z")], "id long, t string, n string")
+    assert {tuple(r) for r in dedup_rows(df, ["t"]).collect()} == {(2, "a", "y"), (None, "b", "z")}
+    got = new_rows(df, spark.createDataFrame([("c",)], "t string"), ["t"])
+    assert {tuple(r) for r in got.collect()} == {(2, "a", "y"), (None, "b", "z")}
+
+
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(5000).select(
         "id",

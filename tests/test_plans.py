@@ -54,6 +54,15 @@ def test_append_is_one_shuffle(docs):
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
 
 
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_rows_are_ranked_not_aggregated(docs, null_safe):
+    batch = docs.select("doc_id", "lang", "source", "n_chars")
+    appended = dedup.new_rows(batch, docs.select("lang", "source"), ["lang", "source"], "doc_id", null_safe)
+    for df in (appended, dedup.dedup_rows(batch, ["lang", "source"], "doc_id")):
+        text = plan(df)
+        assert "SortAggregate" not in text and text.count("WindowGroupLimit") == 2
+
+
 def test_scans_read_only_what_is_used(docs):
     text = plan(dashboard.filter_in(docs, {"lang": ["fr"], "source": ["src1"]}).select("doc_id"))
     assert "PushedFilters: [In(lang" in text or "EqualTo(lang,fr)" in text
