@@ -177,4 +177,5 @@ _PROFILED = ["city", "travel_type", "duration", "positive_review", "negative_rev
 
 @query("data_quality_profile", _profile_sql(_PROFILED))
 def data_quality_profile(spark, sf_dir):
-    return null_profile(silver(spark, sf_dir, *_PROFILED), *_PROFILED)
+    # Only aggregates read the cleaned columns, so each text is cleaned once, and nothing is stored.
+    return null_profile(clean_columns(reviews(spark, sf_dir)).select(*_PROFILED), *_PROFILED)

@@ -82,3 +82,10 @@ def test_words_are_tested_before_the_distinct(spark, sf_dir):
         text = plan(QUERIES[name](spark, sf_dir))
         assert text.count("Scan parquet") == 1, name
         assert text.index("HashAggregate") < text.index("array_intersect"), name
+
+
+def test_profile_cleans_each_text_once_and_stores_none(spark, sf_dir):
+    text = plan(QUERIES["data_quality_profile"](spark, sf_dir))
+    assert "documents.parquet" in text and "stage-" not in text
+    stored = [c for c in ("positive_review", "negative_review") if f"partial_count({c}" in text]
+    assert len(stored) == 2 and text.count("b(can(?=not") == 2
