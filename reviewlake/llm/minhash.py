@@ -14,6 +14,7 @@ similarity of the shingle sets of what collides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,11 @@ PERMUTATIONS = 128
 BANDS = 32
 #: Each place of a signature is this many hex digits.
 DIGITS = 4
+#: Signatures this much less alike than the threshold are not compared further: at 0.8 and
+#: 128 places that is 5.6 standard deviations.
+MARGIN = 0.2
+#: A larger bucket is compared in blocks of about this many rows, a pair of blocks at a time.
+BLOCK_ROWS = 2048
 #: Shingles that are permuted at a time, so that the table stays in the processor's cache.
 CHUNK = 1024
 
@@ -95,45 +101,130 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, permutations: int = PE
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = SHINGLE_WORDS, threshold: float = THRESHOLD, bands: int = BANDS
+    docs: DataFrame,
+    n: int = SHINGLE_WORDS,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(doc_id, class_id, component_id): documents linked by a Jaccard similarity of ``threshold``.
 
-    Rows with one fingerprint and one text are a class, named by its smallest doc_id, and
-    stand for one node however many they are. Classes that agree in a band are
-    candidates. To keep their number in proportion to the band's size, each class is
-    compared, in each of the bands, with the one before it in the order of signatures and
-    with the first; a pair is linked when the exact similarity of its shingle sets reaches
-    ``threshold``. Two similar classes that stand apart in every band are linked only
-    through the classes between them. ``component_id`` is the smallest doc_id reachable.
+    Rows with one text are a class, named by its smallest doc_id, and stand for one node
+    however many they are. Classes that agree in a band are candidates; a pair is linked
+    when the exact similarity of its shingle sets reaches ``threshold``. Each class is
+    first compared, in each band, with the one before it in the order of signatures and
+    with the first, which joins most groups. What a band still holds apart is then
+    compared throughout: all its pairs of different components, of which those with like
+    signatures are verified. ``component_id`` is the smallest doc_id reachable.
+
+    NULL texts are empty, and texts without words are linked to their copies only. A
+    doc_id is one node, even if its rows differ; texts of which no row has a doc_id have
+    neither class nor component. Other columns are ignored; no rows give no rows.
     """
     marked = _texts(docs).withColumn("digest", F.sha2("text", 256))
     classes = persist_reliably(marked.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text")))
-    signed = persist_reliably(
-        fingerprints(classes.select(F.col("class_id").alias("doc_id"), "text"), n).withColumnRenamed("doc_id", "class_id")
-    )
+    texts = classes.select(F.col("class_id").alias("doc_id"), "text")
+    signed = persist_reliably(fingerprints(texts, n).withColumnRenamed("doc_id", "class_id"))
+    shingled = persist_reliably(shingle_sets(texts, n))
+    banded = _banded(signed, bands)
+    links = persist_reliably(_verified(_beside(banded), shingled, threshold))
+    roots = connected_components(links)
+    named = banded.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+    apart = _pairs_apart(named.withColumn("root", F.coalesce("root", "class_id")), threshold - MARGIN, block_rows)
+    late = persist_reliably(_verified(apart, shingled, threshold))
+    if not late.isEmpty():
+        roots = connected_components(links.unionAll(late))
+    members = marked.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest")
+    out = members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+    return out.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+
+
+def _banded(signed: DataFrame, bands: int) -> DataFrame:
+    """(class_id, fingerprint, k, part): one row per band; classes without words or id have none."""
     width = PERMUTATIONS // bands * DIGITS
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * width + 1, width).alias("part")) for k in range(bands)]))
-    banded = signed.select("class_id", "fingerprint", band.alias("b")).select("class_id", "fingerprint", "b.k", "b.part")
+    parts = [
+        F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * width + 1, width).alias("part"))
+        for k in range(bands)
+    ]
+    some = signed.filter((F.col("fingerprint") != "f" * (PERMUTATIONS * DIGITS)) & F.col("class_id").isNotNull())
+    return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
+
+
+def _beside(banded: DataFrame) -> DataFrame:
+    """(node, other): each class with the one before it in its band's order and with the first."""
     order = Window.partitionBy("k", "part").orderBy("fingerprint", "class_id")
     beside = banded.withColumn("before", F.lag("class_id").over(order)).withColumn("first", F.first("class_id").over(order))
-    pairs = (
+    return (
         beside.select("class_id", F.explode(F.array("before", "first")).alias("other"))
         .filter("other IS NOT NULL AND other != class_id")
         .select(F.greatest("class_id", "other").alias("node"), F.least("class_id", "other").alias("other"))
         .distinct()
     )
-    shingled = persist_reliably(shingle_sets(classes.select(F.col("class_id").alias("doc_id"), "text"), n))
+
+
+def _verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (node, other) whose shingle sets have a Jaccard similarity of ``threshold``."""
     left = shingled.select(F.col("doc_id").alias("node"), F.col("shingles").alias("a"))
     right = shingled.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
-    both = pairs.join(left, "node").join(right, "other")
     shared = F.size(F.array_intersect("a", "b"))
     whole = F.size("a") + F.size("b") - shared
-    links = persist_reliably(both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other"))
-    roots = connected_components(links)
-    named = marked.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest")
-    out = named.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    both = pairs.join(left, "node").join(right, "other")
+    return both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other")
+
+
+def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
+    """(node, other): classes of one band and different roots whose signatures are alike.
+
+    Bands that are of one root already take no part. Rows of a large band are dealt to
+    blocks, and every pair of blocks is a group of its own, so that none is larger than two
+    blocks; the rows of a group are compared in numpy and only pairs that are alike leave it.
+    """
+    sizes = banded.groupBy("k", "part").agg(
+        F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
+    )
+    mixed = sizes.filter("least < most").select("k", "part", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    dealt = banded.join(mixed, ["k", "part"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("k", "part", F.least("block", "with"), F.greatest("block", "with"))
+    rows = met.select(group.alias("group"), "class_id", "root", F.unhex("fingerprint").alias("signature"))
+
+    def compare(node: np.ndarray, root: np.ndarray, signature: np.ndarray) -> np.ndarray:
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for i in range(len(node) - 1):
+            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            others = node[rest[(signature[rest] == signature[i]).mean(axis=1) >= alike]]
+            found.append(np.stack([np.maximum(others, node[i]), np.minimum(others, node[i])], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                if held[0]["group"][0] == batch["group"][-1]:
+                    continue
+            if not held:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks()
+            group = whole["group"].to_numpy()
+            starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            ends = np.append(starts[1:], len(group))
+            held = []
+            if batch is not None:
+                held = whole.slice(starts[-1]).to_batches()
+                starts, ends = starts[:-1], ends[:-1]
+            node, root = whole["class_id"].to_numpy(), whole["root"].to_numpy()
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                raw = b"".join(whole["signature"].slice(lo, hi - lo).to_pylist())
+                pairs = compare(node[lo:hi], root[lo:hi], np.frombuffer(raw, dtype="<u2").reshape(hi - lo, -1))
+                if len(pairs):
+                    columns = [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
+                    yield pa.record_batch(columns, names=["node", "other"])
+
+    ordered = rows.repartition("group").sortWithinPartitions("group")
+    return ordered.mapInArrow(run, "node long, other long").distinct()
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:

@@ -95,3 +95,42 @@ def test_near_duplicates(spark):
     columns = minhash.fingerprints(docs).alias("a").crossJoin(minhash.fingerprints(docs.filter("doc_id = 0")).alias("b"))
     alike = columns.select("a.doc_id", minhash.similarity("a.fingerprint", "b.fingerprint").alias("s")).collect()
     assert {r["doc_id"] for r in alike if r["s"] > 0.7} == {d for d in truth[0]}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(40):
+            words, start, size = list(base), rng.randrange(100), rng.randint(0, 30)
+            words[start : start + size] = [f"x{rng.random()}" for _ in range(size)]
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, texts[3]), (501, texts[3]), (502, " "), (503, None), (None, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {d: d for d, _ in rows if d is not None}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    known = [(d, t) for d, t in rows if d is not None and (t or "").strip()]
+    for i, (d, t) in enumerate(known):
+        for e, u in known[:i]:
+            if find(d) != find(e) and jaccard(t, u) >= 0.8:
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    for block_rows in (2048, 8):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, block_rows=block_rows).collect()}
+        assert got.pop(None) is None
+        assert got == {d: find(d) for d in root}
+
+
+def test_like_pairs_across_roots_are_all_found(spark):
+    texts = [" ".join(f"w{i}" for i in range(100)) + f" end{k}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = minhash.fingerprints(docs).withColumnRenamed("doc_id", "class_id")
+    banded = minhash._banded(signed, 32).selectExpr("*", "class_id % 3 AS root")
+    expected = {(a, b) for a in range(60) for b in range(a) if a % 3 != b % 3}
+    for block_rows in (2048, 7):
+        got = [tuple(r) for r in minhash._pairs_apart(banded, 0.6, block_rows).collect()]
+        assert len(got) == len(expected) and set(got) == expected
