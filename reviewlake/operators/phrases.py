@@ -57,11 +57,11 @@ def fit_vocabulary(
     runs in two steps. Words are counted first; the last word that could still be
     a feature sets a threshold. A bigram is never more frequent than its rarer
     word, so only bigrams of two words at or above the threshold can be features,
-    and the rest are dropped before the shuffle. The result is exact.
+    and the rest are dropped before the shuffle. The result is exact. Both steps read
+    stored token lists, so texts are cut once.
     """
-    valid = df.where(is_analysable(F.col(text))).select(
-        vectorizer_tokens(F.col(text), stopwords).alias("tokens")
-    )
+    tokens = vectorizer_tokens(F.col(text), stopwords).alias("tokens")
+    valid = persist_reliably(df.where(is_analysable(F.col(text))).select(tokens))
     return _vocabulary_of(valid, max_features, max_df, min_df)
 
 
