@@ -1,8 +1,10 @@
 """Secrets in texts: pattern matches, and encoded keys confirmed by their structure.
 
 Three base kinds are plain patterns (``assign``, ``access``, ``hex``). The structural kinds
-are candidates that a pattern only proposes: a run of base64 or hex signs is decoded, and
-it is reported if the bytes parse as what they claim to be.
+are candidates that a pattern only proposes: base64 or hex signs are decoded, and they are
+reported if the bytes parse as what they claim to be. A key may be broken into lines in any
+of the usual layouts (indents, quotes, escaped line breaks, one line, between PEM dashes);
+its own length fields say how many signs belong to it, and it has to end where a line does.
 
 ``der``      DER whose nested lengths fill each other exactly: a SEQUENCE that opens with a
              version number or an algorithm identifier, as private and public keys do
@@ -39,16 +41,35 @@ KINDS = BASE_KINDS + STRUCTURAL_KINDS
 # Fixed values of the key formats.
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 SSH_KEY_TYPES = [b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"]
-#: Shortest base64 or hex run that is decoded; the smallest key encodings are longer.
+#: Fewest base64 or hex signs that are a key; the smallest key encodings are longer.
 CANDIDATE_CHARS = 40
+#: Signs decoded at first, to see if a key can begin here.
+HEAD_CHARS = 32
+#: Fields of an SSH public key, its type name included.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2}
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 #: Longest runs, so the length can be asked for in the pattern.
 _HEX = re.compile(rf"[0-9a-f]{{{HEX_CHARS},}}")
-_ENCODED = re.compile(rf"[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}(?:\r?\n[A-Za-z0-9+/]{{2,}})*={{0,2}}")
+#: The first signs of DER, SSH public keys and OpenSSH keys, in base64 and in hex.
+_OPENING = re.compile(
+    r"M(?:[A-H]|I[E-T])[A-Za-z0-9+/_-]|AAAA[BCE]|b3Bl|30(?:8[1-4]|[0-7][0-9A-Fa-f])|000000(?:07|0[Bb]|13)|6[Ff]70"
+)
+#: What stands before the first sign of a key; the signs of an escape are not part of a run.
+_BORDER = re.compile(r"(?:\A|[^A-Za-z0-9+/_-]|-----|\\[nrt]|\\u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2})\Z")
+#: Signs up to a border, one sign that is written as an escape, or what may part two lines.
+_PART = re.compile(
+    r"""(?P<run>[A-Za-z0-9+/_]+(?:-(?!----)[A-Za-z0-9+/_]*)*|-(?!----)[A-Za-z0-9+/_]*(?:-(?!----)[A-Za-z0-9+/_]*)*)"""
+    r"""|(?:\\+u00|%)(?P<sign>2[BbDdFf]|5[Ff])"""
+    r"""|(?P<gap>(?:["'][ \t]*\+\s*["']|\\+(?:[nrt]|u00(?:0[9AaDd]|20|22|27))|%(?:0[9AaDd]|20|22|27)|<br\s*/?>|&\#(?:1[03]|[Xx][AaDd]);"""
+    r"""|[\s"'`,;>#|*\\])+)"""
+)
+_PADDING = re.compile(r"(?:=|\\+u003[Dd]|%3[Dd]){0,2}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 _JWT = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_JWT_RUN = re.compile(rf"(?<![A-Za-z0-9_-]){_JWT.pattern}")
+_ESCAPE = re.compile(r"\\[nrt]|\\u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2}")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
 Span = tuple[int, int, str]
@@ -161,20 +182,119 @@ def is_ssh_public_key(data: bytes) -> bool:
     return fields is not None and len(fields) >= 2 and fields[0] in SSH_KEY_TYPES and all(fields[1:])
 
 
-def _decoded(run: str) -> Iterator[bytes]:
-    """What a run of base64 or hex signs stands for; either alphabet of base64."""
-    signs = "".join(run.split()).rstrip("=")
-    if _HEX_ANY.fullmatch(signs) and len(signs) % 2 == 0:
-        yield bytes.fromhex(signs)
-    if len(signs) % 4 != 1:
-        try:
-            plain = signs.replace("-", "+").replace("_", "/")
-            yield base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-        except binascii.Error:
-            return
+def _der_need(data: bytes) -> int | None:
+    """Bytes of the DER element that ``data`` begins with, or None if it cannot be a key.
+
+    A key opens with a version number, a large number or an algorithm.
+    """
+    if len(data) < 8:
+        return 8
+    if data[0] != 0x30:
+        return None
+    count = data[1] & 0x7F if data[1] >= 0x80 else 0
+    at = 2 + count
+    size = int.from_bytes(data[2:at], "big") if count else data[1]
+    if count > 4 or data[at] not in (0x02, 0x30):
+        return None
+    return at + size
+
+
+def _strings_need(data: bytes, at: int, count: int) -> int:
+    """Where ``count`` length-prefixed strings end, or how far to read to know more."""
+    for _ in range(count):
+        if at + 4 > len(data):
+            return at + 4
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def _openssh_need(data: bytes) -> int | None:
+    if data[: len(OPENSSH_MAGIC)] != OPENSSH_MAGIC[: len(data)]:
+        return None
+    at = _strings_need(data, len(OPENSSH_MAGIC), 3)
+    if at + 4 > len(data):
+        return at + 4
+    keys = int.from_bytes(data[at : at + 4], "big")
+    return _strings_need(data, at + 4, keys + 1) if 1 <= keys <= 16 else None
+
+
+def _ssh_need(data: bytes) -> int | None:
+    size = int.from_bytes(data[:4], "big")
+    if len(data) < 4 + size:
+        return 4 + size if size <= 32 else None
+    name = data[4 : 4 + size]
+    return _strings_need(data, 0, SSH_FIELDS.get(name, 3)) if name in SSH_KEY_TYPES else None
+
+
+#: For each kind how many bytes it takes, as far as the bytes at hand tell, and the whole check.
+_CHECKS: dict[str, tuple[Callable[[bytes], int | None], Callable[[bytes], bool]]] = {
+    "der": (_der_need, is_der_key),
+    "openssh": (_openssh_need, is_openssh_key),
+    "sshpub": (_ssh_need, is_ssh_public_key),
+}
+
+
+def _gather(text: str, at: int, count: int) -> tuple[str, int, bool]:
+    """Up to ``count`` signs from ``at`` on across lines, where they end, and if at a border."""
+    parts, have, end = [], 0, at
+    while have < count:
+        m = _PART.match(text, at)
+        if m is None:
+            break
+        at = m.end()
+        if m["gap"] is None:
+            run = m["run"] or chr(int(m["sign"], 16))
+            taken = run[: count - have]
+            parts.append(taken)
+            have += len(taken)
+            end = at if len(taken) == len(run) else m.start() + len(taken)
+    following = _PART.match(text, end)
+    return "".join(parts), end, following is None or following["gap"] is not None
+
+
+def _decode(signs: str, is_hex: bool) -> bytes | None:
+    """What whole signs of hex or of either alphabet of base64 stand for."""
+    if is_hex:
+        return bytes.fromhex(signs[: len(signs) // 2 * 2]) if _HEX_ANY.fullmatch(signs) else None
+    plain = signs.replace("-", "+").replace("_", "/")
+    plain = plain[:-1] if len(plain) % 4 == 1 else plain
+    try:
+        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
+    except binascii.Error:
+        return None
 
 
-_CHECKS: dict[str, Callable[[bytes], bool]] = {"der": is_der_key, "openssh": is_openssh_key, "sshpub": is_ssh_public_key}
+def _key_at(text: str, start: int, is_hex: bool) -> tuple[int, str] | None:
+    """Where the key that begins at ``start`` ends, and its kind."""
+    head = _decode(_gather(text, start, HEAD_CHARS)[0], is_hex)
+    for kind, (needed, test) in _CHECKS.items():
+        need = needed(head) if head else None
+        while need is not None:
+            count = 2 * need if is_hex else -(-need * 4 // 3)
+            if count > len(text) - start:
+                break
+            signs, end, whole = _gather(text, start, count)
+            data = _decode(signs, is_hex) if len(signs) == count else None
+            known, need = need, needed(data) if data else None
+            if need == known:
+                if whole and count >= CANDIDATE_CHARS and test(data):
+                    return (end if is_hex else _PADDING.match(text, end).end()), kind
+                break
+    return None
+
+
+def _key_spans(text: str) -> list[Span]:
+    spans: list[Span] = []
+    m = _OPENING.search(text)
+    while m:
+        at, after = m.start(), m.start() + 1
+        if _BORDER.search(text[max(0, at - 6) : at]):
+            found = _key_at(text, at, m.group()[0] in "306")
+            if found:
+                after = found[0]
+                spans.append((at, after, found[1]))
+        m = _OPENING.search(text, after)
+    return spans
 
 
 def _is_signed_token(token: str) -> bool:
@@ -186,21 +306,28 @@ def _is_signed_token(token: str) -> bool:
     return isinstance(found, dict) and isinstance(found.get("alg"), str)
 
 
-def structural_spans(text: str) -> list[Span]:
-    """Encoded keys and signed tokens whose decoded structure holds.
-
-    A run that does not parse whole is tried again by its first line, so a key is found
-    although other signs follow on the next line.
-    """
+def _token_spans(text: str) -> list[Span]:
+    """Signed tokens, tested from every part of a dotted run on, and after an escape before it."""
     spans: list[Span] = []
-    for m in _ENCODED.finditer(text):
-        for run in dict.fromkeys((m.group(), m.group().split("\n")[0].rstrip("\r"))):
-            kind = next((k for data in _decoded(run) for k, test in _CHECKS.items() if test(data)), None)
-            if kind:
-                spans.append((m.start(), m.start() + len(run), kind))
+    m = _JWT_RUN.search(text)
+    while m:
+        after = text.index(".", m.start()) + 1
+        escape = _ESCAPE.match(text, m.start() - 1) if m.start() else None
+        for start in (m.start(), escape.end()) if escape else (m.start(),):
+            token = _JWT.match(text, start)
+            if token and _is_signed_token(token.group()):
+                spans.append((start, token.end(), "jwt"))
+                after = token.end()
                 break
+        m = _JWT_RUN.search(text, after)
+    return spans
+
+
+def structural_spans(text: str) -> list[Span]:
+    """Encoded keys and signed tokens whose decoded structure holds."""
+    spans = _key_spans(text)
     if "ey" in text:  # how every encoded JSON object with a quoted name begins
-        spans += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _is_signed_token(m.group())]
+        spans += _token_spans(text)
     return spans
 
 

@@ -79,6 +79,34 @@ def test_keys_are_confirmed():
     assert kinds(f"Bearer {JWT}, ok") == [("jwt", JWT)]
 
 
+def test_keys_are_found_in_every_layout():
+    for kind, data in [("der", RSA), ("der", PKCS8), ("der", SPKI), ("openssh", OPENSSH), ("sshpub", SSH_PUBLIC)]:
+        plain = base64.b64encode(data).decode()
+        bare = plain.rstrip("=")
+        lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+        for layout in ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    ", "\n> ", " ", '\\n" +\n  "', "%0A", "\\u000a"]:
+            block = layout.join(lines)
+            assert kinds(f"é {{x: {begin}{layout}{block}{layout}{end}{layout}") == [(kind, block)], layout
+        assert kinds(json.dumps({"private_key": "\n".join([begin, *lines, end, ""])})) == [(kind, "\\n".join(lines))]
+        assert kinds(f"{begin}{plain}{end}") == [(kind, plain)]
+        assert kinds(f"{begin}{bare}{end}") == [(kind, bare)]
+        slashed = plain.replace("/", "\\/").replace("+", "\\u002b")
+        assert kinds(f'"{slashed}"') == [(kind, slashed)]
+        for unpadded in (bare, "\n".join(bare[i : i + 76] for i in range(0, len(bare), 76))):
+            assert kinds(f"Key:\n{unpadded}\nThen go on") == [(kind, unpadded)]
+        assert kinds(f"see\nMany\n{plain}\n{plain}\n") == [(kind, plain)] * 2
+    for before in ["header.part.", "\\n", "%22", "aaaaaaaaaaaaaaaaaaaa.bb."]:
+        assert kinds(f"x {before}{JWT} y") == [("jwt", JWT)], before
+
+
+def test_keys_in_escaped_text_are_redacted():
+    lines = "\\n".join(base64.b64encode(PKCS8).decode()[i : i + 64] for i in range(0, 2000, 64)).rstrip("\\n")
+    text = f'{{"private_key": "-----BEGIN PRIVATE KEY-----\\n{lines}\\n-----END PRIVATE KEY-----\\n"}}'
+    clean = s.redacted(text, s.base_spans(text) + s.structural_spans(text))
+    assert clean == '{"private_key": "-----BEGIN PRIVATE KEY-----\\n[SECRET]\\n-----END PRIVATE KEY-----\\n"}'
+
+
 def test_look_alikes_are_not_reported():
     cut = base64.b64encode(PKCS8[:-5]).decode()
     longer = base64.b64encode(PKCS8 + b"zzz").decode()
