@@ -4,7 +4,7 @@ A byte-level BPE never merges across pre-tokens, so a pre-token's ids do not dep
 its neighbours. Texts are cut into pre-tokens with numpy, ids of known ones come from a
 dictionary, and each new one is encoded once by the library. A tokenizer file with any
 other pipeline, and a text with a character whose class differs between Unicode
-versions, goes to the library whole.
+versions or with the content of an added token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -134,9 +134,13 @@ class WordMemo:
 
 
 class IdEncoder:
-    """Ids of whole texts, ``end_id`` (if any) after each."""
+    """Ids of whole texts, ``end_id`` (if any) after each.
 
-    def __init__(self, path: str, end_id: int | None, memo_words: int = MEMO_WORDS):
+    Special tokens that a text spells out stay text, or get their own ids with
+    ``match_special``, which is the library's default and what the operators use.
+    """
+
+    def __init__(self, path: str, end_id: int | None, memo_words: int = MEMO_WORDS, match_special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,7 +154,9 @@ class IdEncoder:
             and spec["model"]["type"] == "BPE"
         )
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not match_special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if match_special or not t.special]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = [] if end_id is None else [end_id]
@@ -175,9 +181,10 @@ class IdEncoder:
         kinds = _classes()[points]
         odd = (kinds == _UNSTABLE) | (kinds == _EDGE)
         odd[text_starts[1:] - 1] = False
-        if not odd.any():
+        added = np.array([any(a in t for a in self.added) for t in texts])
+        if not odd.any() and not added.any():
             return self._words(texts, points, kinds, text_starts)
-        hard = np.add.reduceat(odd, text_starts[:-1]) > 0
+        hard = added | (np.add.reduceat(odd, text_starts[:-1]) > 0)
         if hard.all():
             return self._library(texts)
         sides = {True: self._library([t for t, h in zip(texts, hard, strict=True) if h])}
@@ -236,7 +243,7 @@ def _byte_signs() -> dict[int, str]:
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None = None) -> IdEncoder:
     """One encoder for each Python worker."""
-    return IdEncoder(path, end_id)
+    return IdEncoder(path, end_id, match_special=True)
 
 
 def with_token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, group: str | None = None) -> DataFrame:

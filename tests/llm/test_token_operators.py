@@ -51,6 +51,22 @@ def test_memo_encoder_equals_library(library):
         assert got == [[*library(t), 2] for t in texts]
 
 
+def test_operators_equal_the_unaltered_library(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(queries.BYTE_BPE)
+    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> \n<|endoftext|><|endoftext|>it's", "<|endoftext|", "the end"]
+    texts += ["\U0001fae8 <|endoftext|>", "the cat " * 900 + "<|endoftext|>"]
+    assert plain(texts[0]) == [64, 50256, 65]
+    encode = IdEncoder(queries.BYTE_BPE, 2, match_special=True)
+    ids, offsets = encode.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*plain(t), 2] for t in texts]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    check_pieces(packing.pack(docs, queries.BYTE_BPE, 1).collect(), list(enumerate(texts)), plain, 1)
+    rans.write_token_files(docs, str(tmp_path / "files"), queries.BYTE_BPE, 2)
+    got = {r["doc_id"]: r["ids"] for r in rans.read_token_files(spark, str(tmp_path / "files")).collect()}
+    assert got == {i: [*plain(t), 2] for i, t in enumerate(texts)}
+
+
 def check_pieces(pieces, texts, library, end_id, window=2048):
     """Each id in one piece, sequences gapless and full but for the last."""
     by_doc = {}
