@@ -12,6 +12,10 @@ before. All arithmetic on one block takes the same path wherever it runs.
 Queues are never gathered. A task numbers its own ids per source when it encodes them
 (``with_token_ids``), one small table adds up the tasks, and each document then finds its
 windows from its place in its queue. Neither ids nor texts are shuffled.
+
+Of very many sources the small ones are dealt to shared queues. Within a shared queue the
+grains of its sources come in the order of their virtual finishing times, so each source has
+its share of the queue as the queue has its share of the windows.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from reviewlake.session import broadcast_if_bounded, persist_reliably
 WINDOW = 2048
 GRAIN = 64
 BLOCK_WINDOWS = 256
-#: Sources beyond this number share the last queue, the smallest ones first.
+#: From this many sources on, half of the queues are shared by the smaller sources.
 MAX_QUEUES = 4096
 MAX_BROADCAST_ROWS = 1_000_000
 #: A task keeps the blocks it has computed up to this many (window, queue) cells.
 CACHED_CELLS = 1 << 21
+#: Cells (grain, source) of a shared queue that are compared at once.
+COMPARED_CELLS = 1 << 20
 
 _NULL_SOURCE = "\0"
 
@@ -176,32 +182,131 @@ class Plan:
         return out
 
 
-def _queues(totals: DataFrame, weights: Mapping[str, float] | None, max_queues: int) -> tuple[DataFrame, Plan]:
-    """The queue and first place in it of each (group, task), and the plan.
+class SharedQueue:
+    """Where the ids of each source of a shared queue stand in it.
+
+    Grain ``k`` of a source is due at ``(k + 1/2) / tokens``; the grains of all sources are
+    in the order of these times, equal times in the order of the sources. What is left of
+    each source, less than a grain, follows the last grain.
+    """
+
+    def __init__(self, tokens: np.ndarray, grain: int = GRAIN):
+        self.grain = grain
+        self.weights = tokens.astype(np.float64)
+        self.grains = tokens // grain
+        tails = tokens - self.grains * grain
+        self.tail_start = int(self.grains.sum()) * grain + np.cumsum(tails) - tails
+
+    def _ranks(self, member: int, first: int, last: int) -> np.ndarray:
+        """How many grains of the queue come before each of the source's grains."""
+        due = ((np.arange(first, last) + 0.5) / self.weights[member])[:, None]
+        count = np.clip(np.ceil(due * self.weights - 0.5), 0, self.grains).astype(np.int64)
+        # The rounded product may be off by one; the times themselves decide.
+        count -= (count > 0) & ((count - 0.5) / self.weights >= due)
+        following = (count + 0.5) / self.weights
+        count += (count < self.grains) & (following < due)
+        ties = (count < self.grains) & ((count + 0.5) / self.weights == due)
+        ties[:, member:] = False
+        return (count + ties).sum(axis=1)
+
+    def pieces(self, member: int, begin: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, length, place in the queue) of the source's ids; ``start`` counts from ``begin``."""
+        out: list[tuple[int, int, int]] = []
+        main = int(self.grains[member]) * self.grain
+        until, step = min(end, main), max(1, COMPARED_CELLS // len(self.grains))
+        last = -(-until // self.grain)
+        for first in range(begin // self.grain, last, step):
+            for k, rank in enumerate(self._ranks(member, first, min(first + step, last)).tolist(), first):
+                low, high = max(begin, k * self.grain), min(until, (k + 1) * self.grain)
+                out.append((low - begin, high - low, rank * self.grain + low - k * self.grain))
+        if end > max(begin, main):
+            low = max(begin, main)
+            out.append((low - begin, end - low, int(self.tail_start[member]) + low - main))
+        return out
+
+
+def _pieces_by_time(plan: Plan, shared: dict[int, SharedQueue], keys: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+    """The pieces of many rows (queue, begin, count, member).
+
+    Grains are looked up in the order in which the blocks serve them, so no block is
+    computed twice although few of them are kept.
+    """
+    grains = []
+    for row, (queue, begin, count, member) in enumerate(keys.T.tolist()):
+        if member >= 0:
+            spans = shared[queue].pieces(member, begin, begin + count)
+        else:
+            edges = [begin, *range((begin // plan.grain + 1) * plan.grain, begin + count, plan.grain), begin + count]
+            spans = [(low - begin, high - low, low) for low, high in zip(edges, edges[1:]) if high > low]
+        grains += [(place, queue, row, start, length) for start, length, place in spans]
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in range(keys.shape[1])]
+    recent = 0
+    for place, queue, row, start, length in sorted(grains, key=lambda g: (g[0] // plan.grain + 0.5) / plan.weights[g[1]]):
+        plan._last[queue] = recent
+        for at, size, sequence, offset in plan.pieces(queue, place, place + length):
+            found[row].append((start + at, size, sequence, offset))
+        recent = plan._last[queue]
+    merged: list[list[tuple[int, int, int, int]]] = []
+    for pieces in found:
+        out: list[tuple[int, int, int, int]] = []
+        for piece in sorted(pieces):
+            last = out[-1] if out else None
+            if last and last[2] == piece[2] and last[3] + last[1] == piece[3]:
+                out[-1] = (last[0], last[1] + piece[1], *last[2:])
+            else:
+                out.append(piece)
+        merged.append(out)
+    return merged
+
+
+def _queues(
+    totals: DataFrame, weights: Mapping[str, float] | None, max_queues: int
+) -> tuple[DataFrame, Plan, dict[int, SharedQueue]]:
+    """The queue, member and first place of each (group, task), the plan, and the shared queues.
 
-    ``totals`` is stored: (group, task, n).
+    ``totals`` is stored: (group, task, n). ``member`` is the source's number in a shared
+    queue, -1 in a queue of its own.
     """
-    by_source = totals.groupBy("group").agg(F.sum("n").alias("n"))
-    largest = by_source.filter(F.col("n") > 0).orderBy(F.desc("n"), "group").limit(max_queues).collect()
-    names = sorted(r["group"] for r in largest[: max_queues - 1])
     spark = totals.sparkSession
-    known = spark.createDataFrame([(g, i) for i, g in enumerate(names)], "group string, queue int")
-    queued = totals.join(F.broadcast(known), "group", "left").withColumn(
-        "queue", F.coalesce("queue", F.lit(len(names)))
+    by_source = totals.groupBy("group").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    largest = [r["group"] for r in by_source.orderBy(F.desc("n"), "group").limit(max_queues).collect()]
+    share_out = max(1, max_queues // 2) if len(largest) >= max_queues else 0
+    own = set(largest[: max_queues - share_out])
+    if share_out and weights:
+        given = spark.createDataFrame([(_NULL_SOURCE if g is None else g,) for g in weights], "group string")
+        own |= {r["group"] for r in by_source.join(F.broadcast(given), "group", "left_semi").collect()}
+    names = sorted(own)
+    known = spark.createDataFrame([(g, i, -1) for i, g in enumerate(names)], "group string, queue int, member int")
+    groups_ = known
+    if share_out:
+        rest = by_source.join(F.broadcast(known), "group", "left_anti").withColumn(
+            "queue", (F.pmod(F.xxhash64("group"), F.lit(share_out)) + len(names)).cast("int")
+        )
+        number = F.row_number().over(Window.partitionBy("queue").orderBy("group")) - 1
+        groups_ = known.unionByName(rest.select("group", "queue", number.alias("member")))
+    groups_ = persist_reliably(groups_)
+    # The last queue is that of sources without any id.
+    queued = totals.join(broadcast_if_bounded(groups_, MAX_BROADCAST_ROWS), "group", "left").withColumns(
+        {"queue": F.coalesce("queue", F.lit(len(names) + share_out)), "member": F.coalesce("member", F.lit(-1))}
     )
-    before = Window.partitionBy("queue").orderBy("task", "group").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("queue", "member").orderBy("task", "group").rowsBetween(Window.unboundedPreceding, -1)
     placed = persist_reliably(queued.withColumn("queue_start", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    tokens = np.zeros(len(names) + 1, dtype=np.int64)
-    for row in placed.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        tokens[row["queue"]] = row["n"]
+    tokens = np.zeros(len(names) + share_out + 1, dtype=np.int64)
+    sums = placed.groupBy("queue", "member").agg(F.sum("n").alias("n")).toArrow()
+    queue, member, n = (sums.column(c).to_numpy().astype(np.int64) for c in ("queue", "member", "n"))
+    np.add.at(tokens, queue, n)
+    order = np.lexsort((member, queue))
+    order = order[member[order] >= 0]
+    edges = np.flatnonzero(np.diff(queue[order])) + 1
+    shared = {int(queue[part[0]]): SharedQueue(n[part]) for part in np.split(order, edges) if len(part)}
     if weights is None:
         share = tokens.astype(np.float64)
     else:
         named = [weights.get(None if g == _NULL_SOURCE else g, 0.0) for g in names]
-        share = np.array([*named, 0.0], dtype=np.float64)
+        share = np.array([*named, *[0.0] * (share_out + 1)], dtype=np.float64)
     # A queue without a target comes as late as possible; nothing is left out.
     least = share[share > 0].min(initial=1.0)
-    return placed.drop("n"), Plan(tokens, np.where(share > 0, share, least * 1e-9))
+    return placed.drop("n"), Plan(tokens, np.where(share > 0, share, least * 1e-9)), shared
 
 
 def pack(
@@ -220,25 +325,27 @@ def pack(
     piece, and all windows but the last are full. ``weights`` are target
     shares of the sources; by default each source's share of all tokens, so that all queues
     end together. With other weights a queue that has run out stops taking part and the
-    others share its part. The sources beyond ``max_queues`` share one queue. NULL texts
-    are empty, NULL is a source like any other, and rows with equal doc_id are packed each.
+    others share its part. From ``max_queues`` sources on, the smaller ones without a given
+    weight are dealt to shared queues and keep their shares of them. NULL texts are empty, NULL is a source like any other, and rows with equal doc_id are packed each.
     An empty table gives no rows.
     """
     chosen = docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit(_NULL_SOURCE)).alias("source"))
     stored = staged(with_token_ids(chosen, tokenizer, end_id, group="source"))
     totals = persist_reliably(stored.groupBy("group", "task").agg(F.sum("n_tokens").alias("n")))
-    starts, plan = _queues(totals, weights, max_queues)
+    starts, plan, shared = _queues(totals, weights, max_queues)
     width = id_width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_of = batch.column(5).to_pylist()
-            keys = np.array([batch.column(k).to_numpy() for k in (2, 3, 4)], dtype=np.int64)
+            keys = np.array([batch.column(k).to_numpy() for k in (2, 3, 4, 6)], dtype=np.int64)
             rows, chunks, columns = [], [], []
+            by_time = _pieces_by_time(plan, shared, keys) if shared else None
             for row in np.lexsort(keys[1::-1]).tolist():
-                queue, begin, count = keys[:, row].tolist()
+                queue, begin, count = keys[:3, row].tolist()
+                places = by_time[row] if shared else plan.pieces(queue, begin, begin + count)
                 ids = np.frombuffer(ids_of[row], width)
-                for start, length, sequence, offset in plan.pieces(queue, begin, begin + count):
+                for start, length, sequence, offset in places:
                     piece = ids[start : start + length]
                     rows.append(row)
                     chunks.append(piece if keep_ids else piece[:0])
@@ -270,5 +377,6 @@ def pack(
         (F.col("queue_start") + F.col("start_in_task")).alias("begin"),
         "n_tokens",
         "ids",
+        "member",
     )
     return placed.mapInArrow(run, PIECE_SCHEMA)

@@ -148,6 +148,35 @@ def test_many_sources_share_the_last_queue(odd_docs, library):
     check_pieces(pieces, texts, library, 1)
 
 
+def test_small_sources_keep_their_shares(spark, library):
+    rows = [(i, "the cat sat " * 60, "big" if i % 6 < 5 else f"s{i // 6 % 12}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, queries.BYTE_BPE, 1, max_queues=4)
+    check_pieces(pieces.collect(), [r[:2] for r in rows], library, 1)
+    held = pieces.toPandas().pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    assert held.shape[1] == 13
+    ideal = held.to_numpy().sum(axis=1).cumsum()[:, None] * (held.sum() / held.to_numpy().sum()).to_numpy()
+    assert np.abs(held.cumsum().to_numpy() - ideal)[:-3].max() <= 4 * packing.GRAIN
+    given = packing.pack(docs, queries.BYTE_BPE, 1, weights={"big": 1, "s3": 1}, max_queues=3, keep_ids=False).toPandas()
+    early = given[given.sequence_id < 3].groupby("source").length.sum()
+    assert abs(early["s3"] - early["big"]) <= 2 * packing.GRAIN and early.sum() == 3 * packing.WINDOW
+
+
+def test_grains_of_a_shared_queue_are_dealt_once():
+    tokens = np.array([64 * 300 + 5, 7, 64 * 300 + 5, 64, 64 * 7 + 63, 999])
+    shared = packing.SharedQueue(tokens)
+    seen = np.zeros(int(tokens.sum()), dtype=int)
+    for member, n in enumerate(tokens.tolist()):
+        for begin in range(0, n, 100):
+            at = 0
+            for start, length, place in shared.pieces(member, begin, min(n, begin + 100)):
+                assert start == at and length > 0
+                seen[place : place + length] += 1
+                at += length
+            assert at == min(n, begin + 100) - begin
+    assert (seen == 1).all()
+
+
 def test_token_files_round_trip(spark, odd_docs, library, tmp_path):
     path = str(tmp_path / "files")
     rans.write_token_files(odd_docs, path, queries.BYTE_BPE, 2)
