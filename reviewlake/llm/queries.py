@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
     chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
+    whitening,
 )
 from reviewlake.llm.shipping import prepare_session
 from reviewlake.session import ensure_checkpoint_dir
@@ -168,3 +169,10 @@ def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quality.fit_vectors(docs)
     scored = quality.score(docs, vectors, quality.fit_network(docs, labels, vectors))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of every embedding."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
