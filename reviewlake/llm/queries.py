@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
     chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
-    whitening,
+    prefix_trie, whitening,
 )
 from reviewlake.llm.shipping import prepare_session
 from reviewlake.session import ensure_checkpoint_dir
@@ -176,3 +176,43 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 32 leading whitened components of every embedding."""
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+_BIT = "[0, 0, 0, 0, 0, 0, 0, 0]"
+#: CRC-32 of a decimal id: the bits of each character shifted through the polynomial.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), "
+    "lambda ch: ascii(ch)::BIGINT)), lambda crc, byte: "
+    f"list_reduce(list_prepend(xor(crc, byte), {_BIT}::BIGINT[]), "
+    "lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+)
+SQL_TRIE = f"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 5 AS lender, {_CRC} % 9 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (SELECT ids.c, place, role, text FROM ids JOIN turns ON turns.c = ids.lender AND place <= h
+  UNION ALL SELECT ids.c, place, role, text FROM ids JOIN turns USING (c) WHERE place > h),
+paths AS (SELECT ids.c, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (place IS NOT NULL), []) AS path
+  FROM ids LEFT JOIN rebuilt USING (c) GROUP BY ids.c),
+members AS (SELECT c, path[1:d] AS node, d, d = len(path) AS ends
+  FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(node[d].text) END AS own_saved
+  FROM members GROUP BY node, d),
+children AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+filled AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT node[1:k] AS node, own_saved, (n_children = 0)::BIGINT AS leaf
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM filled)),
+subtrees AS (SELECT node, sum(own_saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM above GROUP BY node)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM filled f JOIN subtrees s USING (node) LEFT JOIN nodes p ON f.d > 0 AND p.node = f.node[1:f.d - 1]"""
+
+
+@query("op12_prefix_trie", SQL_TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations with lent openings."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.with_lent_openings(turns))
