@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
     chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
-    prefix_trie, whitening,
+    prefix_trie, repeats, whitening,
 )
 from reviewlake.llm.shipping import prepare_session
 from reviewlake.session import ensure_checkpoint_dir
@@ -216,3 +216,24 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations with lent openings."""
     turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie_nodes(prefix_trie.with_lent_openings(turns))
+
+
+SQL_REPEATS = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, k, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT r, k, w, unnest(range(1, len(w) - 11)) AS i FROM docs)),
+firsts AS (SELECT s, min(k) AS first_k FROM windows GROUP BY s HAVING min(k) < max(k)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (s) WHERE first_k < k),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op11_substring_dedup", SQL_REPEATS)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 13 words that an earlier one holds."""
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
