@@ -18,7 +18,8 @@ they come from. Four jobs run over a stored copy of the texts, dealt to blocks o
    different runs, streams all of them, and answers the blocks.
 4. Blocks mark the covered words.
 
-Words are compared by 64-bit hashes of their bytes.
+Words are compared by 48-bit hashes of their bytes, so two different windows are taken for equal
+only if every word in which they differ collides.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ AUTOMATON_WORDS = 100_000
 HOT = 1 << 14
 #: Longer runs of windows with one anchor are cut.
 MAX_RUN = 64
+#: A word's hash is sent in so many bytes.
+WORD_BYTES = 6
 #: Stands for a NULL doc_id: later than all others.
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
@@ -72,7 +75,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and the texts' offsets in them."""
+    """48-bit hashes of all words of the texts, and the texts' offsets in them."""
     hashes, counts, at = [np.zeros(0, _U64)], [np.zeros(0, np.int64)], 0
     while at < len(texts):
         size, end = len(texts[at]), at + 1
@@ -81,7 +84,7 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts[at:end]), dtype=np.int64, count=end - at)
         data = np.frombuffer(b"".join(texts[at:end]), dtype=np.uint8)
         starts, ends, offsets = word_spans(data, np.concatenate(([0], np.cumsum(lengths))))
-        hashes.append(span_hashes(data, starts, ends))
+        hashes.append(span_hashes(data, starts, ends) >> _U64(8 * (8 - WORD_BYTES)))
         counts.append(np.diff(offsets))
         at = end
     return np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
@@ -210,6 +213,16 @@ def _bytes(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def _packed_words(words: np.ndarray) -> bytes:
+    return _bytes(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+
+
+def _unpacked_words(parts: Sequence[bytes]) -> np.ndarray:
+    out = np.zeros((sum(map(len, parts)) // WORD_BYTES, 8), dtype=np.uint8)
+    out[:, :WORD_BYTES] = _joined(parts, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8")[:, 0]
+
+
 def _joined(parts: Sequence[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind)
 
@@ -322,7 +335,7 @@ def _repeated_anchors(texts: DataFrame, buckets: int, window: int, hot: int) ->
         send,
         "bucket long, block long, anchors binary, lows binary, spans binary, counts binary",
     )
-    met = sent.repartition(_tasks(texts, buckets), "bucket").sortWithinPartitions("bucket")
+    met = sent.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return _map(met, answer, "block long, cold binary, hot binary")
 
 
@@ -377,8 +390,9 @@ def _runs(texts: DataFrame, answers: DataFrame, shards: int, tasks: int, window:
             order, begins = _grouped(shard)
             for a, b in zip(begins, np.append(begins[1:], len(order)), strict=True):
                 some = order[a:b]
-                packed = (key[some], size[some].astype(np.uint8), words[_ranges(at[some], size[some] + window - 1)])
-                yield int(shard[some[0]]), block, *map(_bytes, (*packed, low[some], high[some] - low[some]))
+                sent = _packed_words(words[_ranges(at[some], size[some] + window - 1)])
+                ends_of = map(_bytes, (low[some], high[some] - low[some]))
+                yield int(shard[some[0]]), block, _bytes(key[some]), _bytes(size[some].astype(np.uint8)), sent, *ends_of
 
     rows = _beside(texts, answers, ["cold", "hot"], tasks)
     return _map(rows, run, "shard long, block long, keys binary, sizes binary, words binary, lows binary, spans binary")
@@ -423,9 +437,10 @@ def _covered_windows(runs: DataFrame, shards: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, rows in _by_key(batches):
-            key, size, words, low, span = (
-                _joined([r[k] for r in rows], kind) for k, kind in ((1, _U64), (2, np.uint8), (3, _U64), (4, np.int64), (5, np.int64))
+            key, size, low, span = (
+                _joined([r[k] for r in rows], kind) for k, kind in ((1, _U64), (2, np.uint8), (4, np.int64), (5, np.int64))
             )
+            words = _unpacked_words([r[3] for r in rows])
             entries = np.fromiter((len(r[2]) for r in rows), dtype=np.int64, count=len(rows))
             length = size.astype(np.int64) + window - 1
             ends = np.cumsum(length)
@@ -458,7 +473,7 @@ def _covered_windows(runs: DataFrame, shards: int, window: int) -> DataFrame:
                 if len(whole) or len(part):
                     yield rows[block[some[0]]][0], _bytes(name[whole]), _bytes(name[part]), _bytes(found[part])
 
-    met = runs.repartition(_tasks(runs, shards), "shard").sortWithinPartitions("shard")
+    met = runs.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     return _map(met, run, "block long, gone binary, split binary, firsts binary")
 
 
@@ -486,7 +501,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
     spark = docs.sparkSession
     texts = _blocks(docs)
     total = texts.agg(F.sum("size")).first()[0] or 0
-    buckets, shards = -(-total // BUCKET_BYTES) or 1, -(-total // SHARD_BYTES) or 1
+    # A bucket and a shard is a task.
+    buckets, shards = (_tasks(texts, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES))
     with shuffle_files_removed(spark):
         answers = staged(_repeated_anchors(texts, buckets, window, hot))
         found = staged(_covered_windows(_runs(texts, answers, shards, shards, window), shards, window))
