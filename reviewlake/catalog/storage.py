@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from reviewlake.catalog.registry import query, table
 from reviewlake.schemas import conform, normalize_columns
-from reviewlake.session import ensure_checkpoint_dir
+from reviewlake.session import scratch_path
 from reviewlake.sources import sinks, tables
 
 _DOCS = "doc_id, text, lang, source, n_chars"
 
 
 def _path(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def _documents(spark, sf_dir):
@@ -68,6 +68,18 @@ def csv_round_trip(spark, sf_dir):
     return tables.scan_csv(spark, path, "`Doc Id` long, text string, `Both Names` string")
 
 
+@query(
+    "csv_scan_one_file",
+    r"""SELECT doc_id, replace(text, '.', '."' || chr(10) || '",') AS text, lang FROM documents""",
+)
+def csv_scan_one_file(spark, sf_dir):
+    """One file of all texts, with quotes, commas and line breaks in them, read by all tasks."""
+    broken = F.replace("text", F.lit("."), F.lit('."\n",'))
+    path = _path(spark, "one-csv")
+    sinks.export_csv(_documents(spark, sf_dir).select("doc_id", broken.alias("text"), "lang").coalesce(1), path)
+    return tables.scan_csv(spark, path, "doc_id long, text string, lang string")
+
+
 @query(
     "generated_keys",
     """SELECT count(*) AS rows, count(DISTINCT (source, lang)) FILTER (lang IS NOT NULL) + count(*) FILTER (lang IS NULL) AS keys,

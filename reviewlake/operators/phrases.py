@@ -20,7 +20,7 @@ from reviewlake.functions.text import (
     vectorizer_tokens,
 )
 from reviewlake.lexicons import MAX_LITERAL_WORDS, STOPWORDS
-from reviewlake.session import persist_reliably
+from reviewlake.session import persist_reliably, ship_package
 
 #: A fitted vocabulary travels through the driver and is broadcast.
 MAX_FEATURES = 200_000
@@ -280,6 +280,7 @@ def embedding_phrases(
     batch at a time, on the task that holds the rows. Pairs are not shipped: they are
     many times the size of the text. The final ranking is the same as for TF-IDF.
     """
+    ship_package(df.sparkSession)
     rows = df.where(is_analysable(F.col(text))).select(
         key,
         F.lower(F.col(text)).alias("text"),

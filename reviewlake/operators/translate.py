@@ -11,6 +11,7 @@ from reviewlake.functions.arrays import let
 from reviewlake.functions.labels import ratio_percent
 from reviewlake.functions.text import strip
 from reviewlake.operators.skew import salted_left_join
+from reviewlake.session import ship_package
 
 #: Translator hook: texts and their language -> translations (None = failed).
 Translator = Callable[[list[str], list[str]], list[str | None]]
@@ -46,6 +47,7 @@ def run_translator(misses: DataFrame, translator: Translator, batch: int = 50) -
                 out = translator(part["text"].tolist(), part["lang"].tolist())
                 yield part.assign(translated=out).dropna(subset=["translated"])
 
+    ship_package(misses.sparkSession)
     return misses.select("lang", "text").mapInPandas(
         call, schema="lang string, text string, translated string"
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders of stored intermediate tables.
 _staged: list[str] = []
+#: Applications whose Python workers have the package.
+_shipped: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "reviewlake", **conf: str) -> SparkSession:
@@ -55,6 +60,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder, which :func:`drop_staged` removes."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package's sources to the Python workers, once for each application.
+
+    An operator that runs Python on the workers calls this first: executors do not have the
+    driver's import path. The sources are packed in the shared checkpoint folder, which stays as
+    long as the application does.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, str(source.relative_to(root.parent)))
+    path = f"{ensure_checkpoint_dir(spark)}/package-{uuid4().hex}/reviewlake-sources.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def persist_reliably(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
@@ -62,8 +98,7 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     later steps read only the columns they use, and its size on disk tells the
     optimiser whether it is small enough to broadcast.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid4().hex}"
-    _staged.append(path)
+    path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

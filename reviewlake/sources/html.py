@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewlake.functions.text import strip
 from reviewlake.lexicons import CARD_PLACEHOLDERS
 from reviewlake.schemas import BRONZE_REVIEWS, conform
+from reviewlake.session import ship_package
 
 _TAG = r"<[^>]*>"
 _BLOCKS = {"address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "footer", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -252,6 +253,7 @@ def read_cards(
     Returns ``keep``, ``card_no`` and the ``page`` and card fields, whole texts each. A page is
     read as a tree on the task that holds it; a NULL page has no cards.
     """
+    ship_package(df.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for c in keep}
     names = [f.name for f in (*page, *fields)]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "card_no int", *(f"`{n}` string" for n in names)])
@@ -292,6 +294,7 @@ def cards_to_bronze(pages: DataFrame, key: str, html: str, hotel_name: str, scra
 def nested_text(df: DataFrame, key: str, html: str, attribute: str, value: str, name: str) -> DataFrame:
     """(key, ``name``): text of the first element with the attribute, nested elements included,
     white space as in the source."""
+    ship_package(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from reviewlake.schemas import normalize_columns
+from reviewlake.sources.csv_records import parsed_csv
 
 
 def scan(
@@ -60,9 +61,11 @@ def scan_jdbc(
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Header row, explicit schema, review texts that span lines; snake_case names."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return normalize_columns(reader.schema(schema).csv(path))
+    """Header row, explicit schema, review texts that span lines; snake_case names.
+
+    A file is read by as many tasks as it has splits, whatever its values hold.
+    """
+    return normalize_columns(parsed_csv(spark, path, schema))
 
 
 def scan_links(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
