@@ -18,10 +18,10 @@ Spans are code-point positions of the whole match, end exclusive.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,8 +43,8 @@ OPENSSH_MAGIC = b"openssh-key-v1\0"
 SSH_KEY_TYPES = [b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"]
 #: Fewest base64 or hex signs that are a key; the smallest key encodings are longer.
 CANDIDATE_CHARS = 40
-#: Signs decoded at first, to see if a key can begin here.
-HEAD_CHARS = 32
+#: Elements of a DER key, nested ones included; real keys have a few dozen.
+MAX_ELEMENTS = 128
 #: Fields of an SSH public key, its type name included.
 SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2}
 
@@ -91,26 +91,105 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def _der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+class _Region:
+    """The signs of a stretch of text in order, without what parts its lines.
+
+    A stretch is normalised once, whatever number of keys seem to begin in it.
+    """
+
+    def __init__(self, text: str, start: int) -> None:
+        self.start = self.end = start
+        self.offsets, self.places, self.ends = [], [], []
+        parts, have = [], 0
+        while m := _PART.match(text, self.end):
+            self.end = m.end()
+            if m["gap"] is None:
+                run = m["run"] or chr(int(m["sign"], 16))
+                self.offsets.append(have)
+                self.places.append(m.start())
+                self.ends.append(m.end())
+                parts.append(run)
+                have += len(run)
+        self.signs = "".join(parts)
+        self.plain = self.signs.replace("-", "+").replace("_", "/")
+        self._hex: tuple[list[int], list[int]] | None = None
+
+    def index(self, place: int) -> int | None:
+        """The number of the sign at a place of the text, or None if none begins there."""
+        k = bisect_right(self.places, place) - 1
+        if k < 0 or place >= self.ends[k] or (place > self.places[k] and self._escaped(k)):
+            return None
+        return self.offsets[k] + place - self.places[k]
+
+    def _escaped(self, k: int) -> bool:
+        size = (self.offsets[k + 1] if k + 1 < len(self.offsets) else len(self.signs)) - self.offsets[k]
+        return self.ends[k] - self.places[k] != size
+
+    def end_of(self, last: int) -> tuple[int, bool]:
+        """Where sign ``last`` ends in the text, and whether no sign follows it without a gap."""
+        k = bisect_right(self.offsets, last) - 1
+        end = self.ends[k] if self._escaped(k) else self.places[k] + last - self.offsets[k] + 1
+        if end < self.ends[k]:
+            return end, False
+        return end, k + 1 == len(self.places) or self.places[k + 1] > end
+
+    def hex_end(self, first: int) -> int:
+        """Up to where the signs from ``first`` on are hex digits."""
+        if self._hex is None:
+            runs = list(_HEX_ANY.finditer(self.signs))
+            self._hex = [m.start() for m in runs], [m.end() for m in runs]
+        k = bisect_right(self._hex[0], first) - 1
+        return max(first, self._hex[1][k]) if k >= 0 else first
+
+
+class _Encoded:
+    """The bytes that the signs of a region stand for from one of them on, decoded where they are read."""
+
+    def __init__(self, region: _Region, first: int, is_hex: bool) -> None:
+        self.region, self.first, self.is_hex = region, first, is_hex
+        signs = (region.hex_end(first) if is_hex else len(region.signs)) - first
+        self.size = signs // 2 if is_hex else signs * 3 // 4
+
+    def read(self, at: int, count: int) -> bytes:
+        """Up to ``count`` bytes, fewer at the end."""
+        count = min(count, self.size - at)
+        if count <= 0:
+            return b""
+        if self.is_hex:
+            return bytes.fromhex(self.region.signs[self.first + 2 * at : self.first + 2 * (at + count)])
+        lo, hi = at // 3, (at + count + 2) // 3
+        quads = self.region.plain[self.first + 4 * lo : self.first + 4 * hi]
+        return base64.b64decode(quads + "=" * (-len(quads) % 4))[at - 3 * lo : at - 3 * lo + count]
+
+    def signs(self, count: int) -> int:
+        """Signs that ``count`` bytes take."""
+        return 2 * count if self.is_hex else -(-count * 4 // 3)
+
+
+Element = tuple[int, int, int]
+
+
+def _der_element(data: _Encoded, at: int, end: int) -> Element | None:
     """(tag, content start, content end) of the element at ``at`` if it fits before ``end``."""
-    if at + 2 > end:
+    head = data.read(at, 6)
+    if len(head) < 2 or at + 2 > end:
         return None
-    tag, size, at = data[at], data[at + 1], at + 2
+    tag, size, begin = head[0], head[1], at + 2
     if size >= 0x80:
         count = size & 0x7F
-        if not 1 <= count <= 4 or at + count > end or data[at] == 0:
+        if not 1 <= count <= 4 or begin + count > end or len(head) < 2 + count or head[2] == 0:
             return None
-        size, at = int.from_bytes(data[at : at + count], "big"), at + count
+        size, begin = int.from_bytes(head[2 : 2 + count], "big"), begin + count
         if size < 0x80:
             return None
-    return (tag, at, at + size) if at + size <= end else None
+    return (tag, begin, begin + size) if begin + size <= end else None
 
 
-def _der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill ``data[start:end]`` exactly, or None."""
+def _der_children(data: _Encoded, start: int, end: int, most: int) -> list[Element] | None:
+    """The elements that fill a stretch exactly, or None; also None if they are more than ``most``."""
     out, at = [], start
     while at < end:
-        element = _der_element(data, at, end)
+        element = _der_element(data, at, end) if len(out) < most else None
         if element is None:
             return None
         out.append(element)
@@ -118,181 +197,107 @@ def _der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A DER SEQUENCE that is a private key, an encrypted one, or a public key.
+def der_key_size(data: _Encoded) -> int | None:
+    """Bytes of the DER SEQUENCE at the start if it is a private, an encrypted or a public key.
 
-    Every constructed element has to be filled exactly by its children, level by level.
+    Every constructed element has to be filled exactly by its children, level by level, which is
+    read from the lengths alone. A key has at most ``MAX_ELEMENTS`` elements.
     """
-    top = _der_element(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
-    fields = _der_children(data, top[1], top[2])
-    if not fields or len(fields) < 2:
-        return False
-    level = list(fields)
+    top = _der_element(data, 0, data.size)
+    if top is None or top[0] != 0x30:
+        return None
+    fields = _der_children(data, top[1], top[2], MAX_ELEMENTS)
+    if not fields or len(fields) < 2 or not _is_key(data, fields):
+        return None
+    level, left = list(fields), MAX_ELEMENTS - len(fields)
     while level:
         tag, start, end = level.pop()
         if tag & 0x20:
-            children = _der_children(data, start, end)
+            children = _der_children(data, start, end, left)
             if children is None:
-                return False
+                return None
+            left -= len(children)
             level += children
+    return top[2]
+
+
+def _is_key(data: _Encoded, fields: list[Element]) -> bool:
     tags = [tag for tag, _, _ in fields]
-    first = data[fields[0][1] : fields[0][2]]
-    if tags[0] == 0x02 and len(first) == 1 and first[0] <= 3:
+    _, start, end = fields[0]
+    if tags[0] == 0x02 and end - start == 1 and data.read(start, 1)[0] <= 3:
         integers = len(tags) >= 4 and all(t == 0x02 for t in tags[1:4])
         wrapped = len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04
         curve = tags[1] == 0x04
         return integers or wrapped or curve
     if tags[0] == 0x30 and len(tags) == 2 and tags[1] in (0x03, 0x04):
-        algorithm = _der_children(data, fields[0][1], fields[0][2])
-        return bool(algorithm) and algorithm[0][0] == 0x06
-    return tags == [0x02, 0x02] and len(first) >= 64
+        first = _der_element(data, start, end)
+        return first is not None and first[0] == 0x06
+    return tags == [0x02, 0x02] and end - start >= 64
 
 
-def _ssh_strings(data: bytes, at: int, count: int | None) -> list[bytes] | None:
-    """``count`` length-prefixed strings from ``at`` on, or all up to the exact end."""
-    out: list[bytes] = []
-    while (count is None and at < len(data)) or (count is not None and len(out) < count):
-        if at + 4 > len(data):
+def _after_strings(data: _Encoded, at: int, count: int, least: int = 0) -> int | None:
+    """Where ``count`` length-prefixed strings of at least ``least`` bytes end, or None."""
+    for _ in range(count):
+        size = data.read(at, 4)
+        if len(size) < 4 or int.from_bytes(size, "big") < least:
             return None
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        if at > len(data):
+        at += 4 + int.from_bytes(size, "big")
+        if at > data.size:
             return None
-        out.append(data[at - size : at])
-    return out
-
-
-def is_openssh_key(data: bytes) -> bool:
-    if not data.startswith(OPENSSH_MAGIC):
-        return False
-    head = _ssh_strings(data, len(OPENSSH_MAGIC), 3)
-    if head is None:
-        return False
-    at = len(OPENSSH_MAGIC) + sum(4 + len(s) for s in head)
-    keys = int.from_bytes(data[at : at + 4], "big")
-    return 1 <= keys <= 16 and _ssh_strings(data, at + 4, keys + 1) is not None
-
-
-def is_ssh_public_key(data: bytes) -> bool:
-    if len(data) < 11 or int.from_bytes(data[:4], "big") > 32:
-        return False
-    fields = _ssh_strings(data, 0, None)
-    return fields is not None and len(fields) >= 2 and fields[0] in SSH_KEY_TYPES and all(fields[1:])
-
-
-def _der_need(data: bytes) -> int | None:
-    """Bytes of the DER element that ``data`` begins with, or None if it cannot be a key.
-
-    A key opens with a version number, a large number or an algorithm.
-    """
-    if len(data) < 8:
-        return 8
-    if data[0] != 0x30:
-        return None
-    count = data[1] & 0x7F if data[1] >= 0x80 else 0
-    at = 2 + count
-    size = int.from_bytes(data[2:at], "big") if count else data[1]
-    if count > 4 or data[at] not in (0x02, 0x30):
-        return None
-    return at + size
-
-
-def _strings_need(data: bytes, at: int, count: int) -> int:
-    """Where ``count`` length-prefixed strings end, or how far to read to know more."""
-    for _ in range(count):
-        if at + 4 > len(data):
-            return at + 4
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
     return at
 
 
-def _openssh_need(data: bytes) -> int | None:
-    if data[: len(OPENSSH_MAGIC)] != OPENSSH_MAGIC[: len(data)]:
+def openssh_key_size(data: _Encoded) -> int | None:
+    if data.read(0, len(OPENSSH_MAGIC)) != OPENSSH_MAGIC:
         return None
-    at = _strings_need(data, len(OPENSSH_MAGIC), 3)
-    if at + 4 > len(data):
-        return at + 4
-    keys = int.from_bytes(data[at : at + 4], "big")
-    return _strings_need(data, at + 4, keys + 1) if 1 <= keys <= 16 else None
-
-
-def _ssh_need(data: bytes) -> int | None:
-    size = int.from_bytes(data[:4], "big")
-    if len(data) < 4 + size:
-        return 4 + size if size <= 32 else None
-    name = data[4 : 4 + size]
-    return _strings_need(data, 0, SSH_FIELDS.get(name, 3)) if name in SSH_KEY_TYPES else None
-
-
-#: For each kind how many bytes it takes, as far as the bytes at hand tell, and the whole check.
-_CHECKS: dict[str, tuple[Callable[[bytes], int | None], Callable[[bytes], bool]]] = {
-    "der": (_der_need, is_der_key),
-    "openssh": (_openssh_need, is_openssh_key),
-    "sshpub": (_ssh_need, is_ssh_public_key),
-}
+    at = _after_strings(data, len(OPENSSH_MAGIC), 3)
+    if at is None:
+        return None
+    keys = int.from_bytes(data.read(at, 4), "big")
+    return _after_strings(data, at + 4, keys + 1) if 1 <= keys <= 16 else None
 
 
-def _gather(text: str, at: int, count: int) -> tuple[str, int, bool]:
-    """Up to ``count`` signs from ``at`` on across lines, where they end, and if at a border."""
-    parts, have, end = [], 0, at
-    while have < count:
-        m = _PART.match(text, at)
-        if m is None:
-            break
-        at = m.end()
-        if m["gap"] is None:
-            run = m["run"] or chr(int(m["sign"], 16))
-            taken = run[: count - have]
-            parts.append(taken)
-            have += len(taken)
-            end = at if len(taken) == len(run) else m.start() + len(taken)
-    following = _PART.match(text, end)
-    return "".join(parts), end, following is None or following["gap"] is not None
-
-
-def _decode(signs: str, is_hex: bool) -> bytes | None:
-    """What whole signs of hex or of either alphabet of base64 stand for."""
-    if is_hex:
-        return bytes.fromhex(signs[: len(signs) // 2 * 2]) if _HEX_ANY.fullmatch(signs) else None
-    plain = signs.replace("-", "+").replace("_", "/")
-    plain = plain[:-1] if len(plain) % 4 == 1 else plain
-    try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except binascii.Error:
+def ssh_public_key_size(data: _Encoded) -> int | None:
+    size = int.from_bytes(data.read(0, 4), "big")
+    name = data.read(4, size) if size <= 32 else b""
+    if name not in SSH_KEY_TYPES:
         return None
+    return _after_strings(data, 4 + size, SSH_FIELDS.get(name, 3) - 1, least=1)
 
 
-def _key_at(text: str, start: int, is_hex: bool) -> tuple[int, str] | None:
-    """Where the key that begins at ``start`` ends, and its kind."""
-    head = _decode(_gather(text, start, HEAD_CHARS)[0], is_hex)
-    for kind, (needed, test) in _CHECKS.items():
-        need = needed(head) if head else None
-        while need is not None:
-            count = 2 * need if is_hex else -(-need * 4 // 3)
-            if count > len(text) - start:
-                break
-            signs, end, whole = _gather(text, start, count)
-            data = _decode(signs, is_hex) if len(signs) == count else None
-            known, need = need, needed(data) if data else None
-            if need == known:
-                if whole and count >= CANDIDATE_CHARS and test(data):
-                    return (end if is_hex else _PADDING.match(text, end).end()), kind
-                break
-    return None
+#: For each kind what its first bytes are, and how many bytes it takes if its structure holds.
+_CHECKS: dict[str, tuple[Callable[[bytes], bool], Callable[[_Encoded], int | None]]] = {
+    "der": (lambda head: head[0] == 0x30, der_key_size),
+    "openssh": (lambda head: OPENSSH_MAGIC.startswith(head[: len(OPENSSH_MAGIC)]), openssh_key_size),
+    "sshpub": (lambda head: head[:3] == b"\0\0\0", ssh_public_key_size),
+}
 
 
 def _key_spans(text: str) -> list[Span]:
+    """Keys in a text, in time that grows with its length.
+
+    The work at each sign where a key may begin is bounded: the structure is read from length
+    fields, and the stretch around it is normalised once.
+    """
     spans: list[Span] = []
+    region: _Region | None = None
     m = _OPENING.search(text)
     while m:
         at, after = m.start(), m.start() + 1
         if _BORDER.search(text[max(0, at - 6) : at]):
-            found = _key_at(text, at, m.group()[0] in "306")
-            if found:
-                after = found[0]
-                spans.append((at, after, found[1]))
+            if region is None or not region.start <= at < region.end or region.index(at) is None:
+                region = _Region(text, at)
+            data = _Encoded(region, region.index(at), m.group()[0] in "306")
+            head = data.read(0, 8)
+            for kind, (begins, size_of) in _CHECKS.items():
+                size = size_of(data) if len(head) == 8 and begins(head) else None
+                if size is None or data.signs(size) < CANDIDATE_CHARS:
+                    continue
+                end, whole = region.end_of(data.first + data.signs(size) - 1)
+                if whole:
+                    after = end if data.is_hex else _PADDING.match(text, end).end()
+                    spans.append((at, after, kind))
+                    break
         m = _OPENING.search(text, after)
     return spans
 

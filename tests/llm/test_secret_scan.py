@@ -5,6 +5,7 @@ import hashlib
 import json
 import re
 import struct
+import time
 
 from reviewlake.llm import queries, secret_scan as s
 
@@ -154,3 +155,32 @@ def test_query_equals_plain_patterns(spark):
         base = plain_base(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
     assert sum(r["n_assign"] for r in got) > 0
+
+
+def test_heads_of_keys_take_linear_time():
+    heads = {
+        "der": "MIIB/wIBAA ", "der hex": "308203ff020100 ", "long": "MIP//wIBAD ", "ssh": "AAAAC3NzaC1lZDI1NTE5AAAg ",
+        "openssh": "b3BlbnNzaC1rZXktdjEA/wAA ", "token": "eyJhbGciOiJIUzI1NiJ9.", "nested": "MIMB/wCwMAAC\n", "run": "MIIBAQIBAA",
+        "jwt": "eyJ0eXAiOiJKV1QifQ.eyJhIjoxfQ.c2ln ", "assign": "password=secret:token=", "elements": "MIIEAAIBAAIBAAIBAAIBAAIBAAIB\n",
+    }
+    for name, head in heads.items():
+        text = head * (1_000_000 // len(head))
+        begin = time.process_time()
+        s.structural_spans(text)
+        s.base_spans(text)
+        assert time.process_time() - begin < 20, name
+
+
+def test_a_key_among_many_heads_is_found():
+    key = base64.b64encode(RSA).decode()
+    text = "MIIB/wIBAA " * 3000 + key + " MIIB/wIBAA" * 3000
+    assert ("der", key) in kinds(text)
+
+
+def test_spans_of_a_very_long_text_with_candidates():
+    token = "secret: abcdefgh1 "
+    key = base64.b64encode(PKCS8).decode()
+    text = (token + "plain words " * 400 + key + " ") * 100
+    found = s.base_spans(text) + s.structural_spans(text)
+    assert sum(k == "assign" for *_, k in found) == 100 and sum(k == "der" for *_, k in found) == 100
+    assert s.redacted(text, found).count("[SECRET]") == 200
