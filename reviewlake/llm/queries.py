@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +13,7 @@ from reviewlake.llm import (
     prefix_trie, repeats, whitening,
 )
 from reviewlake.llm.shipping import prepare_session
-from reviewlake.session import ensure_checkpoint_dir
+from reviewlake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,9 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for written output in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+#: A new folder for written output in the shared checkpoint folder.
+scratch = scratch_path
 
 
 @query("op1_mixture_packing")

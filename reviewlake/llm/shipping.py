@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from pathlib import Path
-from uuid import uuid4
-
 from pyspark.sql import SparkSession
 
-import reviewlake
-from reviewlake.session import ensure_checkpoint_dir
+from reviewlake.session import ship_package
 
 #: Ten thousand long texts would not fit in a worker; a batch ends at this size as well.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_shipped: set[str] = set()
-
 
 def prepare_session(spark: SparkSession) -> None:
-    """Send the package's sources to the workers and bound the batches they get.
+    """Give the workers the package and bound the batches they get.
 
-    The sources are packed in the shared checkpoint folder, once for each application, and
-    Spark hands them to its workers. A batch size that the session sets itself is kept.
+    The bound holds for the session from then on; a batch size that the session sets itself is kept.
     """
     if spark.conf.get(_BATCH_SETTING, None) in (None, str(2**31 - 1), "-1"):
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(reviewlake.__file__).parent
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, str(source.relative_to(root.parent)))
-    path = f"{ensure_checkpoint_dir(spark)}/package-{uuid4().hex}/reviewlake-sources.zip"
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
-    out.write(packed.getvalue())
-    out.close()
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
+    ship_package(spark)

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import combinations
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.llm.components import connected_components
 from reviewlake.llm.text_arrays import groups, mix
-from reviewlake.session import broadcast_if_bounded, ensure_checkpoint_dir, persist_reliably
+from reviewlake.session import broadcast_if_bounded, persist_reliably, scratch_path
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -36,7 +35,7 @@ SEED = 42
 ROUND_BITS = 3
 BUCKET_VARIANTS = 1 << 20
 CHUNK = 2048
-#: doc_ids are broadcast up to this many rows (16 MB), and joined by a shuffle beyond.
+#: Rows' 16-byte keys are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 MAX_BROADCAST_ROWS = 1_000_000
 
 _SPREAD = np.uint64(0x0101010101010101)
@@ -86,11 +85,18 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
 
     A NULL text counts as empty; a text without words has fingerprint 0.
     """
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _fingerprinted(chosen, n)
+
+
+def _fingerprinted(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with a fingerprint in place of their last column, a text that is never NULL."""
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(kept)).to_pylist()
             values = []
             for lo, hi in groups(texts):
                 hashes, counts = [], []
@@ -100,10 +106,10 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
                     counts.append(len(found))
                 values.append(majority_bits(np.array(hashes, dtype=np.uint64), np.array(counts)))
             column = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(column)], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(column)], names=[*kept, "fingerprint"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fingerprint long")
+    types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.mapInArrow(run, ", ".join([*types, "fingerprint long"]))
 
 
 def ball(radius: int) -> np.ndarray:
@@ -213,7 +219,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) ->
         if held:
             yield flush()
 
-    path = f"{ensure_checkpoint_dir(spark)}/links-{uuid4().hex}"
+    path = scratch_path(spark, "links")
     spread = distinct.select("fingerprint").repartition(tasks, "fingerprint")
     with shuffle_files_removed(spark):
         for turn in range(share + 1):
@@ -237,10 +243,7 @@ def near_duplicate_groups(
     """
     marked = persist_reliably(fingerprints(docs, n))
     distinct = persist_reliably(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(fingerprint_links(distinct, max_distance))
-    placed = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
+    placed = _placed(distinct, max_distance)
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     groups_ = persist_reliably(placed.join(named, "root").select("fingerprint", "component_id"))
     return marked.join(groups_, "fingerprint").select(
@@ -248,20 +251,36 @@ def near_duplicate_groups(
     )
 
 
+def _placed(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """``distinct`` with ``root``, the smallest fingerprint of each one's component."""
+    roots = connected_components(fingerprint_links(distinct, max_distance)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def keep_one_of_each_group(docs: DataFrame, n: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group.
 
-    Of rows that repeat the kept doc_id one stays. Rows without a doc_id cannot be told
-    apart and stay.
+    Rows are judged by themselves, by id and text, so rows of one id with different texts are not
+    taken for copies, and rows without an id are judged too. Of a group the row of the smallest
+    doc_id stays, one without an id last, and of several such rows the one of the smallest MD5 of
+    id and text; of rows equal in both one stays. Other columns stay as they are.
     """
-    found = persist_reliably(near_duplicate_groups(docs, n, max_distance).select("doc_id", "component_id"))
-    left_out = persist_reliably(found.filter("doc_id != component_id").select("doc_id").distinct())
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(broadcast_if_bounded(left_out, MAX_BROADCAST_ROWS), "doc_id", "left_anti")
-    repeated = persist_reliably(repeated)
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = persist_reliably(_fingerprinted(own, n))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
+    distinct = persist_reliably(marked.groupBy("fingerprint").agg(first))
+    placed = persist_reliably(_placed(distinct, max_distance))
+    kept_of = placed.groupBy("root").agg(F.min("first")["_row"].alias("_kept"))
+    chosen = persist_reliably(placed.join(kept_of, "root").select("fingerprint", "_kept"))
+    judged = persist_reliably(marked.join(chosen, "fingerprint").select("_row", (F.col("_row") == F.col("_kept")).alias("_stays")))
+    left_out = persist_reliably(judged.filter("NOT _stays").select("_row").distinct())
+    repeated = persist_reliably(judged.filter("_stays").groupBy("_row").count().filter("count > 1").select("_row"))
+    named = docs.withColumn("_row", key)
+    kept = named.join(broadcast_if_bounded(left_out, MAX_BROADCAST_ROWS), "_row", "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     again = broadcast_if_bounded(repeated, MAX_BROADCAST_ROWS)
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    double = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    single = kept.join(again, "_row", "left_anti").select(*docs.columns)
+    double = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
     return single.unionAll(double)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 
-from reviewlake.session import ensure_checkpoint_dir
+from reviewlake.session import scratch_path
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -14,6 +12,6 @@ def staged(df: DataFrame) -> DataFrame:
 
     Token ids take about two thirds of what the default codec leaves of them.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/ids-{uuid4().hex}"
+    path = scratch_path(df.sparkSession, "ids")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

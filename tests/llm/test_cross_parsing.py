@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.llm import cross_parsing as cp
 from reviewlake.llm import queries
@@ -84,6 +86,55 @@ def test_odd_rows(spark):
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert cp.fit_profiles(empty) == ()
+    assert cp.keep_known_language(empty, ()).count() == 0
     docs = spark.createDataFrame([(1, "text", "en")], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in cp.predict(docs, ()).collect()] == ["und"]
     assert cp.predict(empty, ()).count() == 0
+    assert cp.keep_known_language(docs, ()).collect() == docs.collect()
+
+
+def test_hashed_moves_equal_dense_ones(monkeypatch):
+    rng = random.Random(4)
+    sample = "".join(chr(0x4E00 + rng.randint(0, 800)) for _ in range(4000))
+    texts = [sample[i : i + rng.randint(1, 40)] + chr(0x5E00) for i in range(0, 4000, 97)]
+    profiles = (cp.Profile("zh", sample),)
+    dense = cp.costs(texts, profiles)
+    cp.parsers.cache_clear()
+    monkeypatch.setattr(cp, "DENSE_CELLS", 0)
+    hashed = cp.costs(texts, profiles)
+    assert not cp.parsers(profiles)[0].dense and cp.parsers(profiles)[0].table.nbytes < 1 << 20
+    cp.parsers.cache_clear()
+    assert (dense == hashed).all()
+
+
+def test_sample_comes_from_all_over_the_texts(spark):
+    head = "header " * 600
+    rows = [(i, head + "schöne wörter stehen weiter hinten " * 300, "de") for i in range(30)]
+    profile = cp.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0]
+    assert profile.sample.count("wörter") > 300
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = [(i, "text", f"l{i}") for i in range(cp.MAX_LANGUAGES + 1)]
+    with pytest.raises(ValueError, match="values of lang"):
+        cp.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+FOREIGN = {
+    "nl": "De raad van bestuur heeft gisteren besloten dat het nieuwe gebouw volgend jaar wordt geopend, zodra de werkzaamheden klaar zijn.",
+    "fi": "Kaupunginhallitus päätti eilen, että uusi rakennus avataan ensi vuonna, kunhan työt ovat valmiit ja rahoitus järjestyy.",
+    "pl": "Zarząd miasta postanowił wczoraj, że nowy budynek zostanie otwarty w przyszłym roku, gdy tylko prace zostaną ukończone.",
+    "tr": "Belediye meclisi dün yeni binanın çalışmalar biter bitmez önümüzdeki yıl açılmasına karar verdi ve bütçeyi onayladı.",
+}
+
+
+def test_foreign_texts_of_the_same_script_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = cp.fit_profiles(docs.filter(~queries.learning_part(5, 0)))
+    assert all(2 < p.max_bits < cp.MAX_BITS for p in profiles), [p.max_bits for p in profiles]
+    planted = [(10_000 + i, f"{t} {t}", None, "x", 1) for i, t in enumerate(FOREIGN.values())]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r["doc_id"] for r in cp.keep_known_language(both, profiles).select("doc_id").collect()}
+    assert not kept & {p[0] for p in planted}
+    lettered = {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(lettered - kept) <= 0.002 * len(lettered), lettered - kept

@@ -1,5 +1,6 @@
 """SimHash groups against a comparison of all pairs in plain Python."""
 
+import hashlib
 import random
 import re
 
@@ -128,3 +129,29 @@ def test_one_document_of_each_group_stays(spark):
     kept = simhash.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 5, 8]
+
+
+def plain_kept(rows):
+    """What stays of rows (doc_id, text): the smallest key of each component, once."""
+    marks = [plain_fingerprint(t) for _, t in rows]
+    members = {}
+    # Components of fingerprints, named by any id: every fingerprint its own row number.
+    roots = plain_components(list(enumerate(marks)))
+    for i, ((doc_id, text), f) in enumerate(zip(rows, marks, strict=True)):
+        key = hashlib.md5(f"{'' if doc_id is None else doc_id}:{text or ''}".encode()).digest()
+        members.setdefault(roots[(i, f)], []).append((doc_id is None, doc_id or 0, key, text))
+    return [(None if m[0] else m[1], m[3]) for m in (min(g, key=lambda m: m[:3]) for g in members.values())]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=300)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, c), (None, c), (None, c), (None, a), (9, None), (9, ""), (3, b + " x"), (8, "one")]
+    rows += [(8, "one")] * 4 + [(11, "one"), (None, "alone here"), (6, c * 40)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, _kept string, root int")
+    kept = simhash.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str)
+    assert [(d, t or "") for d, t in got] == sorted([(d, t or "") for d, t in plain_kept(rows)], key=str)
+    texts = {t for _, t in got}
+    assert a in texts and (c in texts or c * 40 in texts) and (b in texts or b + " x" in texts)
