@@ -28,7 +28,8 @@ from reviewlake.plans.cleaning import clean_columns
 from reviewlake.plans.gold import build_gold
 from reviewlake.plans.layers import Layers, run_layers
 from reviewlake.schemas import BRONZE_REVIEWS, conform
-from reviewlake.session import ensure_checkpoint_dir, persist_reliably
+from reviewlake.session import ensure_checkpoint_dir, persist_reliably, scratch_path
+from reviewlake.sources.sinks import append_new_bucketed, create_bucketed
 
 _KEYS = ["o_custkey", "status", "o_orderpriority"]
 _ORDERS = """orders_n AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS status, o_orderpriority,
@@ -85,6 +86,23 @@ def gold_append_new_nullsafe(spark, sf_dir):
     return new_rows(batch, target, _KEYS, order="o_orderkey", null_safe=True)
 
 
+@query(
+    "gold_append_bucketed",
+    f"""WITH {_ORDERS},
+first AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(_KEYS)} ORDER BY o_orderkey) AS r FROM batch)
+SELECT o_orderkey, o_custkey, status, o_orderpriority, o_totalprice FROM first b
+WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM target t WHERE {_exists('IS NOT DISTINCT FROM')})""",
+)
+def gold_append_bucketed(spark, sf_dir):
+    """Appended twice to a table in buckets, which is not shuffled; the second time adds none."""
+    target, batch = _orders(spark, sf_dir)
+    name = f"gold_{uuid4().hex}"
+    create_bucketed(spark, name, batch.schema, _KEYS, 16, scratch_path(spark, "bucketed"))
+    append_new_bucketed(target.select(*batch.columns), name, _KEYS, "o_orderkey")
+    added = append_new_bucketed(batch, name, _KEYS, "o_orderkey")
+    return added.unionByName(append_new_bucketed(batch, name, _KEYS, "o_orderkey"))
+
+
 @query(
     "gold_duplicate_count",
     f"""WITH {_ORDERS},

@@ -27,6 +27,31 @@ def tfidf_vocabulary(spark, sf_dir):
     return vocabulary.withColumn("idf", F.round("idf", 6))
 
 
+@query(
+    "tfidf_vocabulary_large",
+    f"""WITH {_SOURCE}, {sql_tfidf('d', 'docs', features=60_000)}
+SELECT term, total, df, round(idf, 6) AS idf FROM d_vocab""",
+)
+def tfidf_vocabulary_large(spark, sf_dir):
+    """a vocabulary that stays a table."""
+    vocabulary = ops.fit_vocabulary(table(spark, sf_dir, "documents"), "text", max_features=60_000)
+    return vocabulary.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "term_scores_large",
+    f"""WITH {_SOURCE}, {sql_tfidf('d', 'docs', features=60_000)}
+SELECT id AS doc_id, count(*) AS terms, sum(tf)::BIGINT AS tf, round(sum(tf * idf), 4) AS score
+FROM d_tf t JOIN d_vocab v ON t.term = v.term GROUP BY id""",
+)
+def term_scores_large(spark, sf_dir):
+    """The scores of a vocabulary that stays a table, added up per text."""
+    docs = table(spark, sf_dir, "documents")
+    scores = ops.term_scores(docs, "doc_id", "text", ops.fit_vocabulary(docs, "text", max_features=60_000))
+    totals = scores.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"), F.sum("score").alias("score"))
+    return totals.withColumn("score", F.round("score", 4))
+
+
 @query(
     "tfidf_top_phrases",
     f"""WITH {_SOURCE}, {sql_tfidf('d', 'docs')},

@@ -117,11 +117,11 @@ _CITY_TEXTS = [
 _TRAVEL_TYPES = ["Couple", "Family", "Group", "Solo traveller", None]
 
 
-def _side(text_when: tuple[int, int], placeholder: str):
+def _side(text_when: tuple[int, ...], null_when: int, placeholder: str):
     i = F.col("doc_id")
     return (
         F.when((i % 4).isin(*text_when), F.col("text"))
-        .when(i % 16 == 15, F.lit(None))
+        .when(i % 16 == null_when, F.lit(None))
         .when(i % 8 < 4, placeholder)
         .otherwise("Nothing")
     )
@@ -139,8 +139,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((i % 9 + 1).cast("string"), F.lit(" nights · ")).alias("duration"),
         pick(_TRAVEL_TYPES).alias("travel_type"),
         F.concat(F.lit("Reviewed: "), (i % 28 + 1).cast("string"), F.lit(" March 2024")).alias("review_date"),
-        _side((0, 1), "No Positive Feedback").alias("positive_review"),
-        _side((0, 2), "No Negative Feedback").alias("negative_review"),
+        _side((0, 1), 15, "No Positive Feedback").alias("positive_review"),
+        _side((0, 2, 3), 13, "No Negative Feedback").alias("negative_review"),
         "lang",
     )
 
@@ -161,9 +161,9 @@ def _sql_pick(values) -> str:
     return f"CASE doc_id % {len(values)} {cases} END"
 
 
-def _sql_side(text_when: tuple[int, int], placeholder: str) -> str:
+def _sql_side(text_when: tuple[int, ...], null_when: int, placeholder: str) -> str:
     return (
-        f"CASE WHEN doc_id % 4 IN {text_when} THEN text WHEN doc_id % 16 = 15 THEN NULL "
+        f"CASE WHEN doc_id % 4 IN {text_when} THEN text WHEN doc_id % 16 = {null_when} THEN NULL "
         f"WHEN doc_id % 8 < 4 THEN {sql_text(placeholder)} ELSE 'Nothing' END"
     )
 
@@ -173,8 +173,8 @@ SELECT doc_id AS id, {_sql_pick(_CITY_TEXTS)} AS city, source AS hotel_name,
   'R' || (doc_id % 97) AS reviewer_name, (1 + doc_id % 9) || ' nights · ' AS duration,
   {_sql_pick(_TRAVEL_TYPES)} AS travel_type,
   'Reviewed: ' || (1 + doc_id % 28) || ' March 2024' AS review_date,
-  {_sql_side((0, 1), "No Positive Feedback")} AS positive_review,
-  {_sql_side((0, 2), "No Negative Feedback")} AS negative_review, lang
+  {_sql_side((0, 1), 15, "No Positive Feedback")} AS positive_review,
+  {_sql_side((0, 2, 3), 13, "No Negative Feedback")} AS negative_review, lang
 FROM documents)"""
 
 
@@ -203,7 +203,7 @@ cleaned AS MATERIALIZED (SELECT *, {sql_sentiment('negative_review', 'positive_r
 # --- TF-IDF in SQL ----------------------------------------------------------
 
 
-def sql_tfidf(prefix: str, source: str, stopwords: Iterable[str] = STOPWORDS) -> str:
+def sql_tfidf(prefix: str, source: str, stopwords: Iterable[str] = STOPWORDS, features: int = 1000) -> str:
     """CTEs ending in ``<prefix>_vocab`` and ``<prefix>_top`` (id, rank, term).
 
     ``source`` is a relation (id, text).
@@ -218,7 +218,7 @@ def sql_tfidf(prefix: str, source: str, stopwords: Iterable[str] = STOPWORDS) ->
 {p}_tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM {p}_terms GROUP BY id, term),
 {p}_df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM {p}_tf GROUP BY term),
 {p}_vocab AS (SELECT term, total, df, ln((1 + n)::DOUBLE / (1 + df)) + 1.0 AS idf FROM {p}_df, {p}_n
-  WHERE n > 1 AND df <= 0.8 * n ORDER BY total DESC, term LIMIT 1000),
+  WHERE n > 1 AND df <= 0.8 * n ORDER BY total DESC, term LIMIT {features}),
 {p}_top AS (SELECT id, term, rank FROM (
   SELECT id, t.term, row_number() OVER (PARTITION BY id ORDER BY tf * idf DESC, t.term DESC) AS rank
   FROM {p}_tf t JOIN {p}_vocab v ON t.term = v.term) WHERE rank <= 3)"""

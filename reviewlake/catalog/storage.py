@@ -29,7 +29,7 @@ def create_then_append(spark, sf_dir):
     created = sinks.create_if_absent(spark, path, docs.schema)
     again = sinks.create_if_absent(spark, path, docs.schema)
     sinks.append(docs.where("doc_id % 2 = 0"), path)
-    sinks.append(docs.where("doc_id % 2 = 1"), path)
+    sinks.append(docs.where("doc_id IS NULL OR doc_id % 2 != 0"), path)
     return spark.read.parquet(path).withColumns({"created": F.lit(created), "created_again": F.lit(again)})
 
 
@@ -42,6 +42,20 @@ def overwrite_partitioned(spark, sf_dir):
     return spark.read.parquet(path).where(F.col("lang").isin("fr", "es")).select(*docs.columns)
 
 
+@query(
+    "overwrite_skewed",
+    """SELECT source, count(*) AS rows, sum(n_chars)::BIGINT AS n_chars FROM (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END AS source, n_chars FROM documents) GROUP BY source""",
+)
+def overwrite_skewed(spark, sf_dir):
+    """K5: a folder per source, of which one has a third of all rows, cut by adaptive execution."""
+    docs, path = _documents(spark, sf_dir), _path(spark, "skewed")
+    hot = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    sinks.overwrite(hot, path, partition_by=["source"])
+    stored = spark.read.parquet(path).groupBy("source")
+    return stored.agg(F.count("*").alias("rows"), F.sum("n_chars").alias("n_chars"))
+
+
 @query(
     "overwrite_from_itself",
     "SELECT doc_id, lang, NULL::BIGINT AS n_chars FROM documents WHERE lang <> 'en'",

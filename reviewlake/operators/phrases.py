@@ -22,8 +22,11 @@ from reviewlake.functions.text import (
 from reviewlake.lexicons import MAX_LITERAL_WORDS, STOPWORDS
 from reviewlake.session import persist_reliably, ship_package
 
-#: A fitted vocabulary travels through the driver and is broadcast.
-MAX_FEATURES = 200_000
+#: Up to so many features pass through the driver; a larger vocabulary stays a table.
+MAX_COLLECTED_FEATURES = 20_000
+#: Counting cells of one refinement, and ties that are few enough to be sorted at once.
+CELLS = 1024
+MAX_SORTED_TIES = 10_000
 
 VOCABULARY_SCHEMA = "term string, total long, df long, idf double"
 
@@ -43,6 +46,65 @@ def _short_list(terms: DataFrame) -> list[str] | None:
     return [r[0] for r in rows] if len(rows) <= MAX_LITERAL_WORDS else None
 
 
+def kth_largest(counts: DataFrame, column: str, k: int) -> tuple[int, int] | None:
+    """The ``k``-th largest whole number of a column, and how many are larger; None if there are fewer.
+
+    The range that must hold it is cut into ``CELLS`` cells, their rows are counted, and the cell
+    in which the count from above reaches ``k`` is the next range: a few scans of one stored
+    column, and ``CELLS`` rows for the driver, however many numbers there are.
+    """
+    ends = counts.agg(F.min(column), F.max(column), F.count(column)).first()
+    if ends[2] < k:
+        return None
+    low, high, above = ends[0], ends[1], 0
+    while low < high:
+        width = -(-(high - low + 1) // CELLS)
+        cell = F.expr(f"(`{column}` - {low}L) div {width}L")
+        inside = counts.where(F.col(column).between(low, high))
+        found = inside.groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect()
+        for row in found:
+            if above + row["count"] >= k:
+                low, high = low + row["cell"] * width, min(high, low + (row["cell"] + 1) * width - 1)
+                break
+            above += row["count"]
+    return low, above
+
+
+def kth_smallest_text(texts: DataFrame, column: str, k: int) -> str:
+    """The ``k``-th smallest of at least ``k`` different texts, in the order of code points.
+
+    Texts are counted by their next sign after the prefix that is known so far, until few enough
+    are left to be sorted.
+    """
+    prefix, left = "", texts.select(column)
+    while True:
+        few = left.limit(MAX_SORTED_TIES + 1).count()
+        if few <= MAX_SORTED_TIES:
+            return sorted(r[0] for r in left.collect())[k - 1]
+        sign = F.substring(F.col(column), len(prefix) + 1, 1)
+        for row in sorted(left.groupBy(sign.alias("sign")).count().collect()):
+            if row["count"] >= k:
+                break
+            k -= row["count"]
+        if not row["sign"]:
+            return prefix
+        prefix += row["sign"]
+        left = left.where(F.startswith(F.col(column), F.lit(prefix)))
+
+
+def top_terms(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of a stored table (term, total, ...) of largest total, ties by term ascending.
+
+    Only the last total and the last term that stay are found; the rows are a filter of the table.
+    """
+    last = kth_largest(counts, "total", k)
+    if last is None:
+        return counts
+    total, above = last
+    term = kth_smallest_text(counts.where(F.col("total") == total), "term", k - above)
+    return counts.where((F.col("total") > total) | ((F.col("total") == total) & (F.col("term") <= term)))
+
+
 def fit_vocabulary(
     df: DataFrame,
     text: str,
@@ -67,8 +129,8 @@ def fit_vocabulary(
 
 def _vocabulary_of(valid: DataFrame, max_features: int, max_df: float, min_df: int) -> DataFrame:
     """The vocabulary of a column ``tokens``, which is read twice."""
-    if not 0 < max_features <= MAX_FEATURES:
-        raise ValueError(f"max_features must be between 1 and {MAX_FEATURES}")
+    if max_features < 1:
+        raise ValueError("max_features must be positive")
     spark = valid.sparkSession
     # One extra entry per document counts the documents in the same pass; a
     # token is never the empty string.
@@ -84,6 +146,8 @@ def _vocabulary_of(valid: DataFrame, max_features: int, max_df: float, min_df: i
     allowed = (F.col("df") <= max_df * documents) & (F.col("df") >= min_df)
     by_frequency = [F.desc("total"), F.asc("term")]
     kept = words.where((F.col("term") != "") & allowed)
+    if max_features > MAX_COLLECTED_FEATURES:
+        return _large_vocabulary(valid, kept, allowed, documents, max_features)
     top_words = kept.orderBy(*by_frequency).limit(max_features).collect()
     threshold = top_words[-1]["total"] if len(top_words) == max_features else 1
 
@@ -117,6 +181,19 @@ def _vocabulary_of(valid: DataFrame, max_features: int, max_df: float, min_df: i
     return spark.createDataFrame(rows, VOCABULARY_SCHEMA)
 
 
+def _large_vocabulary(valid: DataFrame, words: DataFrame, allowed: Column, documents: int, max_features: int) -> DataFrame:
+    """The vocabulary as a stored table, without a list of terms on the driver.
+
+    A pair of words can be a feature only if its total reaches that of the last word that could be
+    one, so rarer pairs are left out when their counts are stored.
+    """
+    last = kth_largest(words, "total", max_features)
+    pairs = _term_stats(valid, run_lengths(bigrams(F.col("tokens")))).where(allowed & (F.col("total") >= (last[0] if last else 1)))
+    counted = persist_reliably(words.unionByName(pairs))
+    idf = F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1.0
+    return persist_reliably(top_terms(counted, max_features).select("term", "total", "df", idf.alias("idf")))
+
+
 def term_scores(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, stopwords: Iterable[str] = STOPWORDS
 ) -> DataFrame:

@@ -53,6 +53,38 @@ def brute_vocabulary(texts, max_features, max_df=0.8):
     return idf, top
 
 
+@pytest.mark.parametrize("k", [1, 2, 7, 100, 399, 400])
+def test_kth_largest_and_smallest_by_refinement(spark, monkeypatch, k):
+    monkeypatch.setattr(ops, "CELLS", 3)
+    monkeypatch.setattr(ops, "MAX_SORTED_TIES", 4)
+    rng = np.random.default_rng(k)
+    numbers = (rng.pareto(0.7, 400) * 3).astype(np.int64).tolist()
+    words = sorted({"".join(rng.choice(list("aab é漢"), rng.integers(0, 6))) for _ in range(3000)})[:400]
+    rng.shuffle(words)
+    assert len(words) == 400
+    counts = spark.createDataFrame(list(zip(words, numbers)), "term string, total long")
+    total, above = ops.kth_largest(counts, "total", k)
+    ordered = sorted(numbers, reverse=True)
+    assert total == ordered[k - 1] and above == sum(n > total for n in numbers)
+    assert ops.kth_smallest_text(counts, "term", k) == sorted(words)[k - 1]
+    expected = sorted(zip(words, numbers), key=lambda r: (-r[1], r[0]))[:k]
+    assert sorted(map(tuple, ops.top_terms(counts, k).collect())) == sorted(expected)
+    assert ops.kth_largest(counts, "total", 401) is None and ops.top_terms(counts, 401).count() == 400
+
+
+def test_large_vocabulary_stays_a_table(spark, monkeypatch):
+    monkeypatch.setattr(ops, "MAX_COLLECTED_FEATURES", 10)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}x" for i in rng.zipf(1.6, 60) if i < 300) + " padding" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for k in (11, 150, 100_000):
+        idf, _ = brute_vocabulary(texts, k)
+        got = {r["term"]: r["idf"] for r in ops.fit_vocabulary(docs, "text", (), max_features=k).collect()}
+        assert got.keys() == idf.keys()
+        assert all(got[t] == pytest.approx(idf[t], abs=1e-12) for t in idf)
+    assert ops.fit_vocabulary(docs.limit(1), "text", (), max_features=50).count() == 0
+
+
 @pytest.mark.parametrize("max_features", [5, 40, 10_000])
 def test_pruned_counting_is_exact(spark, max_features):
     # A skewed word distribution: the first words are in most texts, and one

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,46 @@ def test_append_and_overwrite(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_a_value_with_a_third_of_the_rows_gets_several_files(spark, tmp_path):
+    # Every file of the input holds all values: without dealing, each task would write one file a value.
+    source = str(tmp_path / "source")
+    wide = spark.range(0, 60_000, 1, 12).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("x")
+    )
+    wide.write.parquet(source)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400000")
+    try:
+        sinks.overwrite(spark.read.parquet(source), str(tmp_path / "t"), partition_by=["v"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").glob("v=*")}
+    assert len(files) == 41 and files["v=hot"] >= 3
+    assert sum(files.values()) <= 60_000 * 80 / 400_000 + 41 + 12
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("v").count().agg(F.sum("count")).first()[0] == 60_000
+
+
+def test_bucketed_append_does_not_move_the_table(spark, tmp_path):
+    name, keys = "bucketed_gold", ["city", "hotel_name", "reviewer_name", "review_date"]
+    assert sinks.create_bucketed(spark, name, schemas.GOLD_REVIEWS, keys, 8, str(tmp_path / "b"))
+    assert not sinks.create_bucketed(spark, name, schemas.GOLD_REVIEWS, keys, 8)
+    first = gold(spark, [gold_row(i) for i in range(40)] + [gold_row(50, reviewer="R2"), gold_row(51, city=None), gold_row(52, city=None, reviewer="R51")])
+    assert sinks.append_new_bucketed(first, name, keys).count() == 41
+    again = gold(spark, [gold_row(60, reviewer="R3"), gold_row(61), gold_row(62, city=None, reviewer="R51"), gold_row(63, reviewer="R61")])
+    unseen = sinks.unseen_in_bucketed(again, name, keys)
+    text = unseen._sc._jvm.PythonSQLUtils.explainString(unseen._jdf.queryExecution(), "formatted")
+    assert int(re.search(r"SelectedBucketsCount: (\d+) out of 8", text)[1]) < 8
+    # The table has no exchange: of the batch one serves its ranking, one brings it to the buckets.
+    tree = text[: text.index("\n\n\n")]
+    assert "Scan parquet" in tree and tree.count("Exchange") == 2
+    assert "Exchange" not in tree[tree.index("Scan parquet") - 200 : tree.index("Scan parquet")]
+    added = sinks.append_new_bucketed(again, name, keys).collect()
+    assert [r["id"] for r in added] == [61]
+    assert sinks.append_new_bucketed(again.unionByName(first), name, keys).count() == 0
+    assert spark.read.table(name).count() == 42
+    assert sinks.append_new_bucketed(first.limit(0), name, keys).count() == 0
+
+
 def test_generated_columns_are_stable(spark):
     df = gold(spark, [gold_row(1), gold_row(2)])
     ids = [sorted(r["id"] for r in sinks.with_generated(df).collect()) for _ in range(2)]
