@@ -39,7 +39,7 @@ GROUP = 1 << 20
 UNDECIDED = "und"
 #: A text is in a language if it costs up to ``MARGIN`` times the bits per sign of the labelled
 #: texts beside the sample, and some phrases more, which matter to short texts only.
-MARGIN = 1.25
+MARGIN = 1.5
 SPARE_PHRASES = 2
 LEAST_BESIDE = 20
 #: The bound where too few labelled texts are beside the sample. Text of a learnt language costs 2 to 6;
