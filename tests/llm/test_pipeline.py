@@ -115,7 +115,7 @@ def test_entry_points_have_every_operator():
 
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert Path(corpus_pipeline.__file__).parent == Path(entry.__file__).parent
     assert cross_parsing.MAX_BITS > 6
