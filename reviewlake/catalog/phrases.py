@@ -12,7 +12,8 @@ from reviewlake.catalog.registry import (
     sql_vectorizer_tokens,
     table,
 )
-from reviewlake.operators import phrases as ops
+from reviewlake.operators import phrases as ops, word_vectors
+from reviewlake.session import persist_reliably
 
 _SOURCE = "docs AS (SELECT doc_id AS id, text FROM documents)"
 
@@ -126,3 +127,35 @@ def vector_topk_cosine(spark, sf_dir):
     first = vectors.agg(F.min_by("embedding", "vec_id"))
     nearest = ops.cosine_top_k(vectors, "vec_id", "embedding", first, 10)
     return nearest.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "word_associations",
+    f"""WITH tok AS MATERIALIZED (SELECT {sql_vectorizer_tokens('text')} AS l FROM documents WHERE length({sql_strip('text')}) > 10),
+listed AS (SELECT t FROM (SELECT unnest(l) AS t FROM tok) GROUP BY t ORDER BY count(*) DESC, t LIMIT 500),
+near AS (SELECT unnest(list_transform(generate_series(1, len(l) - d), lambda i: {{'x': l[i], 'y': l[i + d]}})) AS p
+  FROM tok, generate_series(1, 4) AS g(d) WHERE len(l) > d),
+pairs AS MATERIALIZED (SELECT least(p.x, p.y) AS a, greatest(p.x, p.y) AS b, count(*) AS n FROM near
+  WHERE p.x IN (SELECT t FROM listed) AND p.y IN (SELECT t FROM listed) GROUP BY ALL),
+margins AS MATERIALIZED (SELECT t, sum(n)::DOUBLE AS m FROM (SELECT a AS t, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY t),
+told AS (SELECT a, b, n, ln(((CASE WHEN a = b THEN 2 ELSE 1 END) * n)::DOUBLE * (SELECT sum(m) FROM margins) / (x.m * y.m)) AS ppmi
+  FROM pairs JOIN margins x ON x.t = a JOIN margins y ON y.t = b)
+SELECT a, b, n, round(ppmi, 6) AS ppmi FROM told WHERE ppmi > 0""",
+)
+def word_associations(spark, sf_dir):
+    """what the trained encoder learns from: words that stand near each other."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = word_vectors.token_lists(docs, "text")
+    pairs = word_vectors.cooccurrences(tokens, word_vectors.frequent_words(tokens, 500))
+    return word_vectors.positive_information(persist_reliably(pairs)).withColumn("ppmi", F.round("ppmi", 6))
+
+
+@query("trained_top_phrases")
+def trained_top_phrases(spark, sf_dir):
+    """F15 with an encoder learnt from the same texts; no SQL, since it holds eigenvectors."""
+    docs = table(spark, sf_dir, "documents")
+    encoder = word_vectors.fit_word_vectors(docs, "text")
+    found = ops.key_phrases(docs, "doc_id", "text", method="embedding", encoder=encoder)
+    return ops.attach_phrases(docs.select("doc_id"), "doc_id", found, "phrases").withColumn(
+        "phrases", joined("phrases")
+    )
