@@ -18,12 +18,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.llm.components import connected_components
+from reviewlake.llm.simhash import MAX_BROADCAST_ROWS, shuffle_files_removed
 from reviewlake.llm.token_ids import SPACES
 from reviewlake.llm.text_arrays import groups, mix, shingle_hashes, word_hashes
-from reviewlake.session import persist_reliably
+from reviewlake.session import broadcast_if_bounded, persist_reliably
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -112,8 +113,8 @@ def near_duplicates(
     Rows with one text are a class, named by its smallest doc_id, and stand for one node
     however many they are. Classes that agree in a band are candidates; a pair is linked
     when the exact similarity of its shingle sets reaches ``threshold``. Each class is
-    first compared, in each band, with the one before it in the order of signatures and
-    with the first, which joins most groups. What a band still holds apart is then
+    first compared, in each band, with the smallest one there and with the smallest one that
+    agrees in the next band too, which joins most groups. What a band still holds apart is then
     compared throughout: all its pairs of different components, of which those with like
     signatures are verified. ``component_id`` is the smallest doc_id reachable.
 
@@ -121,55 +122,136 @@ def near_duplicates(
     doc_id is one node, even if its rows differ; texts of which no row has a doc_id have
     neither class nor component. Other columns are ignored; no rows give no rows.
     """
-    marked = _texts(docs).withColumn("digest", F.sha2("text", 256))
-    classes = persist_reliably(marked.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text")))
-    texts = classes.select(F.col("class_id").alias("doc_id"), "text")
-    signed = persist_reliably(fingerprints(texts, n).withColumnRenamed("doc_id", "class_id"))
-    shingled = persist_reliably(shingle_sets(texts, n))
-    banded = _banded(signed, bands)
-    links = persist_reliably(_verified(_beside(banded), shingled, threshold))
-    roots = connected_components(links)
-    named = banded.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-    apart = _pairs_apart(named.withColumn("root", F.coalesce("root", "class_id")), threshold - MARGIN, block_rows)
-    late = persist_reliably(_verified(apart, shingled, threshold))
-    if not late.isEmpty():
-        roots = connected_components(links.unionAll(late))
-    members = marked.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest")
-    out = members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    classes = text_classes(docs, n, threshold, bands, block_rows)
+    return _texts(docs).select("doc_id", text_digest().alias("digest")).join(classes.drop("n_docs"), "digest").drop("digest")
 
 
-def _banded(signed: DataFrame, bands: int) -> DataFrame:
-    """(class_id, fingerprint, k, part): one row per band; classes without words or id have none."""
-    width = PERMUTATIONS // bands * DIGITS
-    parts = [
-        F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * width + 1, width).alias("part"))
-        for k in range(bands)
-    ]
-    some = signed.filter((F.col("fingerprint") != "f" * (PERMUTATIONS * DIGITS)) & F.col("class_id").isNotNull())
-    return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
+def text_digest() -> Column:
+    """The 16 bytes that stand for a text in joins."""
+    return F.unhex(F.md5("text"))
 
 
-def _beside(banded: DataFrame) -> DataFrame:
-    """(node, other): each class with the one before it in its band's order and with the first."""
-    order = Window.partitionBy("k", "part").orderBy("fingerprint", "class_id")
-    beside = banded.withColumn("before", F.lag("class_id").over(order)).withColumn("first", F.first("class_id").over(order))
+def text_classes(
+    docs: DataFrame,
+    n: int = SHINGLE_WORDS,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(digest, n_docs, class_id, component_id) of each different text, as :func:`near_duplicates` says.
+
+    Texts are not shuffled: signatures are made where the rows are, and shingle sets only of
+    texts whose signatures are like another's. Only bands that hold several classes are stored.
+    """
+    spark = docs.sparkSession
+    with shuffle_files_removed(spark):
+        rows = persist_reliably(_signed(docs, n))
+        classes = persist_reliably(rows.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("class_id")))
+        # One row of each digest; the limit works in each task before the shuffle.
+        least = F.row_number().over(Window.partitionBy("digest").orderBy(F.asc_nulls_last("doc_id")))
+        signed = persist_reliably(rows.withColumn("_rank", least).filter("_rank = 1").drop("_rank").withColumnRenamed("doc_id", "class_id"))
+        crowded = _crowded(signed, bands)
+        links = _verified(_alike(_beside(crowded), signed, threshold - MARGIN), signed, docs, n, threshold)
+        roots = connected_components(links).withColumnRenamed("node", "class_id")
+        named = crowded.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+        named = persist_reliably(named.select("class_id", "root", "k", "part"))
+        mixed = named.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        apart = named.join(mixed.select("k", "part"), ["k", "part"]).join(signed.select("class_id", "fingerprint"), "class_id")
+        late = _verified(_pairs_apart(persist_reliably(apart), threshold - MARGIN, block_rows), signed, docs, n, threshold)
+        if not late.isEmpty():
+            roots = connected_components(links.unionAll(late)).withColumnRenamed("node", "class_id")
+        out = classes.join(roots, "class_id", "left")
+        return persist_reliably(out.select("digest", "n_docs", "class_id", F.coalesce("root", "class_id").alias("component_id")))
+
+
+def with_classes(rows: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ..., ``digest``) with class_id and component_id in place of ``digest``.
+
+    A text that is alone is its own class and component, so only the others are joined.
+    """
+    grouped = persist_reliably(classes.filter("n_docs > 1 OR component_id != class_id").drop("n_docs"))
+    named = broadcast_if_bounded(grouped.withColumnRenamed("digest", digest), MAX_BROADCAST_ROWS)
+    filled = {c: F.coalesce(c, "doc_id") for c in ("class_id", "component_id")}
+    return rows.join(named, digest, "left").withColumns(filled).drop(digest)
+
+
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, digest, fingerprint) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            rows = [x for lo, hi in groups(texts) for x in written(signatures(texts[lo:hi], n))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.string())], names=["doc_id", "digest", "fingerprint"])
+
+    texts = _texts(docs).select("doc_id", text_digest().alias("digest"), "text")
+    return texts.mapInArrow(run, "doc_id long, digest binary, fingerprint string")
+
+
+def _crowded(signed: DataFrame, bands: int) -> DataFrame:
+    """(class_id, k, part, finer, first): the rows of bands that several classes share, stored.
+
+    ``finer`` stands for the parts of this band and the next, ``first`` is the smallest class of the
+    band. Bands are counted by a hash; rows that only the hash joins are candidates in vain.
+    """
+    width = PERMUTATIONS // bands * DIGITS
+    following = F.substring(F.col("fingerprint"), (F.col("k") + 1) % bands * width + 1, F.lit(width))
+    bucket, finer = F.xxhash64("k", "part").alias("bucket"), F.xxhash64("k", "part", following).alias("finer")
+    banded = _banded(signed, bands).select("class_id", "k", "part", bucket, finer)
+    ends = banded.groupBy("bucket").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last"))
+    shared = persist_reliably(ends.filter("first < last").select("bucket", "first"))
+    return persist_reliably(banded.join(shared, "bucket").drop("bucket"))
+
+
+def _beside(crowded: DataFrame) -> DataFrame:
+    """(node, other): each class with the first of its band and with the first that shares the next band too."""
+    nearer = crowded.groupBy("finer").agg(F.min("class_id").alias("nearest"))
+    both = crowded.join(nearer, "finer").select("class_id", F.explode(F.array("first", "nearest")).alias("other"))
     return (
-        beside.select("class_id", F.explode(F.array("before", "first")).alias("other"))
-        .filter("other IS NOT NULL AND other != class_id")
+        both.filter("other != class_id")
         .select(F.greatest("class_id", "other").alias("node"), F.least("class_id", "other").alias("other"))
         .distinct()
     )
 
 
-def _verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (node, other) whose shingle sets have a Jaccard similarity of ``threshold``."""
+def _alike(pairs: DataFrame, signed: DataFrame, alike: float) -> DataFrame:
+    """The pairs whose signatures are equal in a share ``alike`` of their places."""
+    left = signed.select(F.col("class_id").alias("node"), F.col("fingerprint").alias("a"))
+    right = signed.select(F.col("class_id").alias("other"), F.col("fingerprint").alias("b"))
+    both = pairs.join(left, "node").join(right, "other")
+    return both.filter(similarity(F.col("a"), F.col("b")) >= alike).select("node", "other").distinct()
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (node, other) whose shingle sets have a Jaccard similarity of ``threshold``, stored.
+
+    Shingle sets are made of one row of each text that is in a pair.
+    """
+    pairs = persist_reliably(pairs)
+    named = pairs.select(F.col("node").alias("class_id")).unionAll(pairs.select("other")).distinct()
+    wanted = persist_reliably(signed.select("class_id", "digest").join(named, "class_id"))
+    listed = broadcast_if_bounded(wanted.select(F.col("class_id").alias("doc_id"), "digest"), MAX_BROADCAST_ROWS)
+    texts = _texts(docs).withColumn("digest", text_digest()).join(listed, ["doc_id", "digest"])
+    sets = shingle_sets(texts, n).withColumn("hash", F.xxhash64("shingles"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.size("shingles")))
+    shingled = persist_reliably(sets.withColumn("_rank", once).filter("_rank = 1").select("doc_id", "shingles"))
     left = shingled.select(F.col("doc_id").alias("node"), F.col("shingles").alias("a"))
     right = shingled.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     whole = F.size("a") + F.size("b") - shared
     both = pairs.join(left, "node").join(right, "other")
-    return both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other")
+    return persist_reliably(both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other"))
+
+
+def _banded(signed: DataFrame, bands: int) -> DataFrame:
+    """(class_id, fingerprint, k, part): one row per band; classes without words or id have none."""
+    width = PERMUTATIONS // bands * DIGITS
+    parts = [
+        F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * width + 1, width).alias("part"))
+        for k in range(bands)
+    ]
+    some = signed.filter((F.col("fingerprint") != "f" * (PERMUTATIONS * DIGITS)) & F.col("class_id").isNotNull())
+    return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
 
 
 def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
-    chat_format, containment, cross_parsing, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
+    chat_format, containment, cross_parsing, minhash, packing, quality, rans, secret_scan, simhash, successors, unigram_counts,
     prefix_trie, repeats, whitening,
 )
 from reviewlake.llm.shipping import prepare_session
@@ -115,8 +115,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_minhash_fingerprints")
 def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash fingerprints of every document and of its edited text."""
-    return successors.edited_fingerprints(table(spark, sf_dir, "documents"))
+    """MinHash fingerprints of every document and of its edited text, and its near-duplicates."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash.with_classes(successors.edited_fingerprints(docs), "digest", minhash.text_classes(docs))
 
 
 @query("op2_unigram_token_counts")

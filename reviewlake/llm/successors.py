@@ -20,7 +20,7 @@ from reviewlake.llm.text_arrays import groups
 MAX_RANGES = 10_000
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, digest binary"
 )
 
 
@@ -31,7 +31,7 @@ def edited(text: str, following: str) -> str:
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, permutations: int = PERMUTATIONS) -> DataFrame:
-    """One row of ``RESULT`` for each row of ``docs`` (doc_id, text).
+    """One row of ``RESULT`` for each row of ``docs`` (doc_id, text); ``digest`` is the text's MD5.
 
     NULL texts are empty; rows with one doc_id follow each other in the order of their texts;
     a NULL doc_id comes last; one row alone is its own successor; other columns are
@@ -70,6 +70,7 @@ def edited_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, permutations: i
             pa.array(written(other), pa.string()),
             pa.array(likeness(here, other)),
             pa.array(likeness(here, there)),
+            pa.array([hashlib.md5(own[i].encode()).digest() for i in pairs], pa.binary()),
         ]
         return pa.record_batch(columns, names=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -49,6 +49,55 @@ def test_query_equals_plain(spark, sf_dir):
     assert np.abs(errors).mean() < 0.05
 
 
+def brute_components(rows):
+    """The smallest doc_id that each one reaches over equal texts and a similarity of 0.8."""
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    def shingles(t):
+        words = t.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [(d, t or "", shingles(t or "")) for d, t in rows]
+    for i, (d, t, x) in enumerate(sets):
+        for e, u, y in sets[:i]:
+            if find(d) != find(e) and (t == u or (x and len(x & y) >= 0.8 * len(x | y))):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {d: find(d) for d in root}
+
+
+def test_query_groups_equal_brute_force(spark, tmp_path, sf_dir):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for d, t in rows[:60]:
+        words = (t or "").split()
+        for k in range(2):
+            if len(words) > 8:
+                words[rng.randrange(len(words))] = f"new{k}"
+            rows.append((10_000 + 2 * d + k, " ".join(words)))
+    spark.createDataFrame(rows, docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op7_minhash_fingerprints"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+    least = {}
+    for d, t in sorted(rows):
+        least.setdefault(t or "", d)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: least[t or ""] for d, t in rows}
+
+
+def test_one_id_on_many_rows(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = " ".join(words)
+    rows = [(7, text)] * 50 + [(7, "other text of the same id"), (3, text + " end"), (9, "other text of the same id"), (None, text), (None, "lone")]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, digest string, class_id int").repartition(5)
+    got = {tuple(r) for r in minhash.near_duplicates(docs).select("doc_id", "class_id", "component_id").collect()}
+    assert got == {(7, 7, 3), (3, 3, 3), (9, 7, 3), (None, 7, 3), (None, None, None)}
+    assert minhash.near_duplicates(docs).count() == len(rows)
+
+
 def test_odd_rows(spark):
     rng = random.Random(4)
     texts = [None, "", " ", "one", "é漢🎉 zwei", "a b c d", "a b c d e", "w " * 20_000, "same text here", "same text here"]
