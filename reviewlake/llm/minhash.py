@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType
 
 from reviewlake.llm.components import connected_components
 from reviewlake.llm.simhash import MAX_BROADCAST_ROWS, shuffle_files_removed
@@ -30,7 +31,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 PERMUTATIONS = 128
 BANDS = 32
-#: Each place of a signature is this many hex digits.
+#: Each place of a signature is this many hex digits, or half as many bytes.
 DIGITS = 4
 #: Signatures this much less alike than the threshold are not compared further: at 0.8 and
 #: 128 places that is 5.6 standard deviations.
@@ -66,9 +67,14 @@ def signatures(texts: list[str], n: int = SHINGLE_WORDS, permutations: int = PER
     return out
 
 
+def packed(signature: np.ndarray) -> list[bytes]:
+    """The lower 16 bits of each place."""
+    return [row.tobytes() for row in signature.astype(np.uint16).astype(">u2")]
+
+
 def written(signature: np.ndarray) -> list[str]:
     """The lower 16 bits of each place as hex."""
-    return [row.tobytes().hex() for row in signature.astype(np.uint16).astype(">u2")]
+    return [row.hex() for row in packed(signature)]
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -137,15 +143,18 @@ def text_classes(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     block_rows: int = BLOCK_ROWS,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """(digest, n_docs, class_id, component_id) of each different text, as :func:`near_duplicates` says.
 
     Texts are not shuffled: signatures are made where the rows are, and shingle sets only of
     texts whose signatures are like another's. Only bands that hold several classes are stored.
+    ``rows`` is a stored (doc_id, digest, fingerprint) of all rows of ``docs`` with shingles of
+    ``n`` words and the places of a fingerprint as bytes; with it no text is signed again.
     """
     spark = docs.sparkSession
     with shuffle_files_removed(spark):
-        rows = persist_reliably(_signed(docs, n))
+        rows = persist_reliably(_signed(docs, n)) if rows is None else rows
         classes = persist_reliably(rows.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("class_id")))
         # One row of each digest; the limit works in each task before the shuffle.
         least = F.row_number().over(Window.partitionBy("digest").orderBy(F.asc_nulls_last("doc_id")))
@@ -176,16 +185,16 @@ def with_classes(rows: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, digest, fingerprint) of each row."""
+    """(doc_id, digest, fingerprint) of each row, the places of a fingerprint as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            rows = [x for lo, hi in groups(texts) for x in written(signatures(texts[lo:hi], n))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.string())], names=["doc_id", "digest", "fingerprint"])
+            rows = [x for lo, hi in groups(texts) for x in packed(signatures(texts[lo:hi], n))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "digest", "fingerprint"])
 
     texts = _texts(docs).select("doc_id", text_digest().alias("digest"), "text")
-    return texts.mapInArrow(run, "doc_id long, digest binary, fingerprint string")
+    return texts.mapInArrow(run, "doc_id long, digest binary, fingerprint binary")
 
 
 def _crowded(signed: DataFrame, bands: int) -> DataFrame:
@@ -194,8 +203,8 @@ def _crowded(signed: DataFrame, bands: int) -> DataFrame:
     ``finer`` stands for the parts of this band and the next, ``first`` is the smallest class of the
     band. Bands are counted by a hash; rows that only the hash joins are candidates in vain.
     """
-    width = PERMUTATIONS // bands * DIGITS
-    following = F.substring(F.col("fingerprint"), (F.col("k") + 1) % bands * width + 1, F.lit(width))
+    width = PERMUTATIONS // bands * DIGITS // 2
+    following = F.substring(_places(signed), (F.col("k") + 1) % bands * width + 1, F.lit(width))
     bucket, finer = F.xxhash64("k", "part").alias("bucket"), F.xxhash64("k", "part", following).alias("finer")
     banded = _banded(signed, bands).select("class_id", "k", "part", bucket, finer)
     ends = banded.groupBy("bucket").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last"))
@@ -216,10 +225,17 @@ def _beside(crowded: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, signed: DataFrame, alike: float) -> DataFrame:
     """The pairs whose signatures are equal in a share ``alike`` of their places."""
-    left = signed.select(F.col("class_id").alias("node"), F.col("fingerprint").alias("a"))
-    right = signed.select(F.col("class_id").alias("other"), F.col("fingerprint").alias("b"))
-    both = pairs.join(left, "node").join(right, "other")
-    return both.filter(similarity(F.col("a"), F.col("b")) >= alike).select("node", "other").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_table(batch.column(k)) for k in (2, 3))
+            like = pa.array((a == b).mean(axis=1) >= alike)
+            yield batch.select(["node", "other"]).filter(like)
+
+    left = signed.select(F.col("class_id").alias("node"), _places(signed).alias("a"))
+    right = signed.select(F.col("class_id").alias("other"), _places(signed).alias("b"))
+    both = pairs.join(left, "node").join(right, "other").select("node", "other", "a", "b")
+    return both.mapInArrow(run, "node long, other long").distinct()
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -243,14 +259,27 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, thre
     return persist_reliably(both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other"))
 
 
+def _places(signed: DataFrame) -> Column:
+    """The places of the fingerprints as bytes, which may be stored as hex."""
+    stored = isinstance(signed.schema["fingerprint"].dataType, BinaryType)
+    return F.col("fingerprint") if stored else F.unhex("fingerprint")
+
+
+def _table(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """One row per fingerprint, one column per place."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), PERMUTATIONS)
+
+
 def _banded(signed: DataFrame, bands: int) -> DataFrame:
     """(class_id, fingerprint, k, part): one row per band; classes without words or id have none."""
-    width = PERMUTATIONS // bands * DIGITS
+    width = PERMUTATIONS // bands * DIGITS // 2
+    places = _places(signed)
     parts = [
-        F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * width + 1, width).alias("part"))
+        F.struct(F.lit(k).alias("k"), F.substring(places, k * width + 1, width).alias("part"))
         for k in range(bands)
     ]
-    some = signed.filter((F.col("fingerprint") != "f" * (PERMUTATIONS * DIGITS)) & F.col("class_id").isNotNull())
+    no_words = F.lit(b"\xff" * (PERMUTATIONS * DIGITS // 2))
+    some = signed.filter((places != no_words) & F.col("class_id").isNotNull())
     return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
 
 
@@ -268,7 +297,7 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
     dealt = banded.join(mixed, ["k", "part"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = F.xxhash64("k", "part", F.least("block", "with"), F.greatest("block", "with"))
-    rows = met.select(group.alias("group"), "class_id", "root", F.unhex("fingerprint").alias("signature"))
+    rows = met.select(group.alias("group"), "class_id", "root", _places(banded).alias("signature"))
 
     def compare(node: np.ndarray, root: np.ndarray, signature: np.ndarray) -> np.ndarray:
         found = [np.zeros((0, 2), dtype=np.int64)]
@@ -299,8 +328,7 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
                 starts, ends = starts[:-1], ends[:-1]
             node, root = whole["class_id"].to_numpy(), whole["root"].to_numpy()
             for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-                raw = b"".join(whole["signature"].slice(lo, hi - lo).to_pylist())
-                pairs = compare(node[lo:hi], root[lo:hi], np.frombuffer(raw, dtype="<u2").reshape(hi - lo, -1))
+                pairs = compare(node[lo:hi], root[lo:hi], _table(whole["signature"].slice(lo, hi - lo)))
                 if len(pairs):
                     columns = [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
                     yield pa.record_batch(columns, names=["node", "other"])

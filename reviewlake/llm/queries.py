@@ -13,7 +13,7 @@ from reviewlake.llm import (
     prefix_trie, repeats, whitening,
 )
 from reviewlake.llm.shipping import prepare_session
-from reviewlake.session import scratch_path
+from reviewlake.session import persist_reliably, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,7 +117,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every document and of its edited text, and its near-duplicates."""
     docs = table(spark, sf_dir, "documents")
-    return minhash.with_classes(successors.edited_fingerprints(docs), "digest", minhash.text_classes(docs))
+    digits = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    with simhash.shuffle_files_removed(spark):
+        rows = persist_reliably(successors.edited_fingerprints(docs).withColumns({c: F.unhex(c) for c in digits}))
+    classes = minhash.text_classes(docs, rows=rows.select("doc_id", "digest", "fingerprint"))
+    return minhash.with_classes(rows, "digest", classes).withColumns({c: F.lower(F.hex(c)) for c in digits})
 
 
 @query("op2_unigram_token_counts")
