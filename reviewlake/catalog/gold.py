@@ -22,6 +22,7 @@ from reviewlake.catalog.registry import (
 )
 from reviewlake.lexicons import HOTEL_STOPWORDS, NO_TRANSLATION_NEGATIVE, NO_TRANSLATION_POSITIVE, STOPWORDS
 from reviewlake.operators.dedup import duplicate_count, new_rows
+from reviewlake.operators.metrics import side_by_side
 from reviewlake.operators.translate import apply_memory
 from reviewlake.operators.language import fit_language_profiles
 from reviewlake.plans.cleaning import clean_columns
@@ -228,9 +229,16 @@ def _sql_side(side: str, lang: str, sentinels) -> str:
   ELSE k.{side} END, '')"""
 
 
-@query(
-    "reviews_pipeline_gold",
-    f"""WITH {sql_cleaned(False)},
+_SQL_MEMORY = """labelled AS (SELECT c.* FROM cleaned c JOIN labels l ON l.doc_id = c.id),
+memory AS MATERIALIZED (SELECT DISTINCT lang, text, 'translated ' || text AS translated FROM (
+  SELECT lang, positive_review AS text FROM labelled UNION ALL SELECT lang, negative_review FROM labelled)
+  WHERE lang <> 'en' AND text IS NOT NULL),
+"""
+
+
+def _sql_run(memory: str, side) -> str:
+    """The stages of the run as common tables, ending in ``sides`` and ``fresh``."""
+    return f"""WITH {sql_cleaned(False)},
 bronze AS (SELECT * EXCLUDE (lang) FROM reviews UNION ALL
   SELECT * EXCLUDE (lang) REPLACE (id + {_COPY} AS id) FROM reviews WHERE id % 10 = 3),
 uniq AS (SELECT min(id) AS id FROM bronze GROUP BY city, hotel_name, reviewer_name, duration, travel_type,
@@ -242,14 +250,10 @@ hits AS (SELECT id, coalesce({SHORTCUT_SQL}, TRUE) AS english FROM src),
 {sql_detect('src')},
 tagged AS MATERIALIZED (SELECT hits.id, CASE WHEN english THEN 'en' ELSE detected.lang END AS lang
   FROM hits JOIN detected ON detected.id = hits.id),
-labelled AS (SELECT c.* FROM cleaned c JOIN labels l ON l.doc_id = c.id),
-memory AS MATERIALIZED (SELECT DISTINCT lang, text, 'translated ' || text AS translated FROM (
-  SELECT lang, positive_review AS text FROM labelled UNION ALL SELECT lang, negative_review FROM labelled)
-  WHERE lang <> 'en' AND text IS NOT NULL),
-k AS (SELECT c.*, p.lang AS pos_lang, n.lang AS neg_lang FROM cleaned c JOIN uniq ON uniq.id = c.id
+{memory}k AS (SELECT c.*, p.lang AS pos_lang, n.lang AS neg_lang FROM cleaned c JOIN uniq ON uniq.id = c.id
   JOIN tagged p ON p.id = 'p:' || c.id JOIN tagged n ON n.id = 'n:' || c.id),
-silver AS MATERIALIZED (SELECT k.*, {_sql_side('positive_review', 'k.pos_lang', NO_TRANSLATION_POSITIVE)} AS pos,
-  {_sql_side('negative_review', 'k.neg_lang', NO_TRANSLATION_NEGATIVE)} AS neg FROM k),
+silver AS MATERIALIZED (SELECT k.*, {side('positive_review', 'k.pos_lang', NO_TRANSLATION_POSITIVE)} AS pos,
+  {side('negative_review', 'k.neg_lang', NO_TRANSLATION_NEGATIVE)} AS neg FROM k),
 pos_src AS (SELECT id, pos AS text FROM silver), neg_src AS (SELECT id, neg AS text FROM silver),
 {sql_tfidf('p', 'pos_src')},
 {sql_tfidf('n', 'neg_src')},
@@ -258,7 +262,12 @@ pos_src AS (SELECT id, pos AS text FROM silver), neg_src AS (SELECT id, neg AS t
 sides AS (SELECT s.*, coalesce(p.l, []) AS pl, coalesce(n.l, []) AS nl
   FROM silver s LEFT JOIN p_tokens p ON p.id = s.id LEFT JOIN n_tokens n ON n.id = s.id),
 fresh AS (SELECT *, row_number() OVER (PARTITION BY city, hotel_name, reviewer_name, review_date ORDER BY id) AS r
-  FROM sides WHERE len(pl) > 0 OR len(nl) > 0)
+  FROM sides WHERE len(pl) > 0 OR len(nl) > 0)"""
+
+
+@query(
+    "reviews_pipeline_gold",
+    f"""{_sql_run(_SQL_MEMORY, _sql_side)}
 SELECT city, hotel_name, reviewer_name, duration, review_date, travel_type, pos AS positive_review,
   neg AS negative_review, sentiment_classification,
   CASE WHEN len(pl) > 0 THEN array_to_string(pl, '|') END AS positive_tokens,
@@ -279,3 +288,33 @@ def reviews_pipeline_gold(spark, sf_dir):
         "negative_review", "sentiment_classification", joined("positive_tokens").alias("positive_tokens"),
         joined("negative_tokens").alias("negative_tokens"), stamped.alias("stamped"),
     )
+
+
+def _sql_translated_side(side: str, lang: str, sentinels) -> str:
+    return f"""coalesce(CASE WHEN {lang} <> 'en' AND length({sql_strip(f'k.{side}')}) > 3
+  AND k.{side} NOT IN {sql_in(sentinels)} AND length(k.{side}) % 7 <> 0 THEN 'translated ' || k.{side} ELSE k.{side} END, '')"""
+
+
+def _stand_in_translator(texts: list[str], langs: list[str]) -> list[str | None]:
+    """Translates by a mark, and fails on one length of texts in seven."""
+    return [None if len(t) % 7 == 0 else f"translated {t}" for t in texts]
+
+
+@query(
+    "translator_run_reports",
+    f"""{_sql_run('', _sql_translated_side)},
+n AS (SELECT count(*) AS silver_rows, count(*) FILTER (positive_review IS NOT NULL OR negative_review IS NOT NULL) AS w FROM silver),
+g AS (SELECT count(*) AS final_rows, coalesce(sum(len(pl)), 0)::BIGINT AS positive_tokens,
+  coalesce(sum(len(nl)), 0)::BIGINT AS negative_tokens FROM sides WHERE len(pl) > 0 OR len(nl) > 0)
+SELECT silver_rows AS source_rows, final_rows, (SELECT count(*) FROM fresh WHERE r = 1) AS ingested_rows, positive_tokens,
+  negative_tokens, CASE WHEN (SELECT count(*) FROM fresh WHERE r = 1) > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  silver_rows AS translated_rows, w AS with_translation, round(w / silver_rows * 100, 6) AS coverage_pct FROM n, g""",
+)
+def translator_run_reports(spark, sf_dir):
+    """The whole run with a translator in place of a known memory; its gold and translation reports."""
+    layers = Layers(scratch_path(spark, "layers"))
+    profiles = fit_language_profiles(table(spark, sf_dir, "documents"), "text", "lang")
+    bronze = persist_reliably(_bronze(spark, sf_dir))
+    reports = run_layers(spark, bronze, layers, profiles, _stand_in_translator, vocabulary=GOLD_VOCABULARY)
+    coverage = F.round("coverage_pct", 6).alias("coverage_pct")
+    return side_by_side(reports["gold"], reports["translation"].select("translated_rows", "with_translation", coverage))

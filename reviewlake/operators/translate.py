@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.functions.arrays import let
 from reviewlake.functions.labels import ratio_percent
@@ -68,9 +68,14 @@ def _lookup_key(key: str, text: Column, wanted: Column) -> Column:
 
 
 def _memory_by_digest(memory: DataFrame) -> DataFrame:
-    """(lang, _digest, _translated): one row per key, whatever the memory holds twice."""
+    """(lang, _digest, _translated): one row per key, whatever the memory holds twice.
+
+    The rank's limit works in each task before the shuffle, and nothing is aggregated by sorting.
+    """
     digest = F.sha2(F.col("text"), 256).alias("_digest")
-    return memory.groupBy("lang", digest).agg(F.min("translated").alias("_translated"))
+    keyed = memory.select("lang", digest, F.col("translated").alias("_translated"))
+    first = F.row_number().over(Window.partitionBy("lang", "_digest").orderBy(F.asc_nulls_last("_translated")))
+    return keyed.withColumn("_rank", first).where("_rank = 1").drop("_rank")
 
 
 def apply_memory(
@@ -100,7 +105,8 @@ def apply_memory_to_sides(
 
     ``sides`` maps a text column to its sentinels; its language is in ``<side>_lang``.
     ``key`` must be unique. A row becomes one lookup per side, of which the first carries
-    the other columns, and the lookups of a row come together again by its key.
+    the other columns, and the lookups of a row come together again by its key: the first
+    takes the texts of those that follow it, so whole rows are sorted once and not aggregated.
     """
     others = [c for c in df.columns if c != key]
     row = F.struct(*others)
@@ -118,10 +124,14 @@ def apply_memory_to_sides(
     long = df.select(key, F.inline(F.array(*lookups)))
     joined = salted_left_join(long, _memory_by_digest(memory), ["lang", "_digest"], salt_by=key)
     found = F.coalesce("_translated", "_text")
-    again = joined.groupBy(key).agg(
-        F.first("_row", ignorenulls=True).alias("_row"),
-        *[F.max(F.when(F.col("_side") == i, found)).alias(f"{side}_translated") for i, side in enumerate(sides)],
-    )
+    in_order = Window.partitionBy(key).orderBy("_side")
+    texts = joined.select(key, "_side", "_row", found.alias("_found"))
+    again = texts.select(
+        key,
+        "_side",
+        "_row",
+        *[F.lead("_found", i).over(in_order).alias(f"{side}_translated") for i, side in enumerate(sides)],
+    ).where("_side = 0")
     return again.select(key, *[F.col(f"_row.`{c}`").alias(c) for c in others], *[f"{side}_translated" for side in sides])
 
 

@@ -167,3 +167,23 @@ def test_two_sides_take_one_scan_and_one_join(spark, tmp_path):
     assert got == {1: ("hi all", "hello", 5), 2: (None, "good day", 6), 3: ("oui", "hi all", 7)}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Scan parquet") == 2 and plan.count("Join") == 1
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_three_sides_come_together_without_aggregating_rows(spark, tmp_path):
+    rows = [(i, f"text {i}", "fr", None, None, f"text {i % 3}", "fr", i * 2) for i in range(50)]
+    schema = "id long, a string, a_lang string, b string, b_lang string, c string, c_lang string, extra int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    memory = spark.createDataFrame([("fr", "text 1", "z"), ("fr", "text 1", "y"), ("fr", "text 1", None)],
+                                   "lang string, text string, translated string")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    for frame in (df, df.limit(0)):
+        out = translate.apply_memory_to_sides(frame, "id", {"a": [], "b": [], "c": []}, memory)
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+        said = {"text 1": "y"}
+        assert sorted(tuple(r) for r in out.collect()) == sorted(
+            (*r, said.get(r[1], r[1]), None, said.get(r[5], r[5])) for r in (rows if frame is df else [])
+        )
+    one = translate.apply_memory(df.withColumnRenamed("a_lang", "lang"), "id", "a", "lang", memory, [], "e")
+    assert "SortAggregate" not in one._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["e"] for r in one.collect()} == {r[0]: said.get(r[1], r[1]) for r in rows}
