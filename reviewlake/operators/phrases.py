@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from heapq import nlargest
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -283,13 +281,6 @@ def hashed_trigram_encoder(texts: list[str], dimensions: int = 256) -> np.ndarra
     return counts.reshape(len(texts), dimensions).astype(np.float64)
 
 
-def _cosines(vectors: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Cosine of each vector with the target in the same row; 0 for a zero vector."""
-    norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(targets, axis=1)
-    dots = np.einsum("ij,ij->i", vectors, targets)
-    return np.divide(dots, norms, out=np.zeros(len(vectors)), where=norms > 0)
-
-
 #: Texts encoded together hold about this many characters.
 ENCODED_CHARS = 1 << 20
 
@@ -297,32 +288,47 @@ ENCODED_CHARS = 1 << 20
 def _rank_candidates(
     key: str, encoder: Encoder, top_n: int, chunk: int
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Encode texts together, and the candidates of all of them ``chunk`` at a time."""
+    """Encode texts together, and each different candidate of all of them once, ``chunk`` at a time."""
+
+    def cosines(texts: list[str], phrases: list[str], owners: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """The cosine of each pair of a text and a phrase; ``items`` ascend. 0 for a zero vector."""
+        targets = encoder(texts)
+        lengths = np.linalg.norm(targets, axis=1)
+        out = np.zeros(len(items))
+        for first in range(0, len(phrases), chunk):
+            vectors = encoder(phrases[first : first + chunk])
+            own_lengths = np.linalg.norm(vectors, axis=1)
+            lo, hi = np.searchsorted(items, [first, first + chunk]).tolist()
+            for at in range(lo, hi, chunk):
+                part = slice(at, min(at + chunk, hi))
+                item, owner = items[part] - first, owners[part]
+                dots = np.einsum("ij,ij->i", vectors[item], targets[owner])
+                norms = own_lengths[item] * lengths[owner]
+                np.divide(dots, norms, out=out[part], where=norms > 0)
+        return np.round(out, 9)
 
     def rank_rows(rows: list[tuple]) -> Iterator[tuple]:
-        targets = encoder([text for _, text, _ in rows])
-        best: list[list[tuple[float, str]]] = [[] for _ in rows]
-        owners: list[int] = []
-        phrases: list[str] = []
-
-        def flush() -> None:
-            scores = np.round(_cosines(encoder(phrases), targets[owners]), 9)
-            for owner, found in groupby(zip(owners, scores.tolist(), phrases), key=lambda x: x[0]):
-                fresh = [(score, phrase) for _, score, phrase in found]
-                best[owner] = nlargest(top_n, best[owner] + fresh)
-            owners.clear()
-            phrases.clear()
-
-        for owner, (_, _, words) in enumerate(rows):
-            for phrase in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}:
-                owners.append(owner)
-                phrases.append(phrase)
-                if len(phrases) == chunk:
-                    flush()
-        if phrases:
-            flush()
-        for (row_key, _, _), found in zip(rows, best):
-            yield from ((row_key, phrase, score) for score, phrase in found)
+        number: dict[str, int] = {}
+        listed: list[int] = []
+        sizes: list[int] = []
+        for _, _, words in rows:
+            candidates = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+            listed += [number.setdefault(phrase, len(number)) for phrase in candidates]
+            sizes.append(len(candidates))
+        if not listed:
+            return
+        phrases = list(number)
+        items = np.array(listed)
+        order = np.argsort(items, kind="stable")
+        owners, items = np.repeat(np.arange(len(rows)), sizes)[order], items[order]
+        scores = cosines([text for _, text, _ in rows], phrases, owners, items)
+        # The best of each text, with all that equal the last of them.
+        best_first = np.lexsort((-scores, owners))
+        ends = np.cumsum(sizes)
+        last = np.maximum(np.minimum(ends - np.array(sizes) + top_n, ends) - 1, 0)
+        least = scores[best_first[last]]
+        for k in best_first[scores[best_first] >= least[owners[best_first]]].tolist():
+            yield rows[owners[k]][0], phrases[items[k]], float(scores[k])
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
