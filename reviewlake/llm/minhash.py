@@ -166,7 +166,7 @@ def text_classes(
         named = persist_reliably(named.select("class_id", "root", "k", "part"))
         mixed = named.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
         apart = named.join(mixed.select("k", "part"), ["k", "part"]).join(signed.select("class_id", "fingerprint"), "class_id")
-        late = _verified(_pairs_apart(persist_reliably(apart), threshold - MARGIN, block_rows), signed, docs, n, threshold)
+        late = _verified(_pairs_apart(persist_reliably(apart), threshold - MARGIN, block_rows, bands), signed, docs, n, threshold)
         if not late.isEmpty():
             roots = connected_components(links.unionAll(late)).withColumnRenamed("node", "class_id")
         out = classes.join(roots, "class_id", "left")
@@ -283,13 +283,16 @@ def _banded(signed: DataFrame, bands: int) -> DataFrame:
     return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
 
 
-def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
+def _pairs_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = BANDS) -> DataFrame:
     """(node, other): classes of one band and different roots whose signatures are alike.
 
     Bands that are of one root already take no part. Rows of a large band are dealt to
     blocks, and every pair of blocks is a group of its own, so that none is larger than two
     blocks; the rows of a group are compared in numpy and only pairs that are alike leave it.
+    A pair leaves the first band that it shares, which holds two roots like all that it
+    shares, and the one group where its blocks meet, so it is named once.
     """
+    width = PERMUTATIONS // bands
     sizes = banded.groupBy("k", "part").agg(
         F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
     )
@@ -297,13 +300,19 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
     dealt = banded.join(mixed, ["k", "part"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = F.xxhash64("k", "part", F.least("block", "with"), F.greatest("block", "with"))
-    rows = met.select(group.alias("group"), "class_id", "root", _places(banded).alias("signature"))
+    # Rows of a group of two blocks have their block, those of a block alone have -1.
+    side = F.when(F.col("block") == F.col("with"), F.lit(-1)).otherwise(F.col("block")).alias("side")
+    rows = met.select(group.alias("group"), "class_id", "root", _places(banded).alias("signature"), F.col("k").cast("long").alias("k"), side)
 
-    def compare(node: np.ndarray, root: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    def compare(node: np.ndarray, root: np.ndarray, signature: np.ndarray, k: np.ndarray, side: np.ndarray) -> np.ndarray:
         found = [np.zeros((0, 2), dtype=np.int64)]
         for i in range(len(node) - 1):
-            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-            others = node[rest[(signature[rest] == signature[i]).mean(axis=1) >= alike]]
+            met = (root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
+            rest = i + 1 + np.flatnonzero(met)
+            equal = signature[rest] == signature[i]
+            rest, equal = (x[equal.mean(axis=1) >= alike] for x in (rest, equal))
+            before = equal[:, : k[i] * width].reshape(len(rest), k[i], width).all(axis=2).any(axis=1)
+            others = node[rest[~before]]
             found.append(np.stack([np.maximum(others, node[i]), np.minimum(others, node[i])], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
@@ -326,9 +335,11 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int) -> DataFrame:
             if batch is not None:
                 held = whole.slice(starts[-1]).to_batches()
                 starts, ends = starts[:-1], ends[:-1]
-            node, root = whole["class_id"].to_numpy(), whole["root"].to_numpy()
+            node, root, k, side = (whole[c].to_numpy() for c in ("class_id", "root", "k", "side"))
             for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-                pairs = compare(node[lo:hi], root[lo:hi], _table(whole["signature"].slice(lo, hi - lo)))
+                pairs = compare(
+                    node[lo:hi], root[lo:hi], _table(whole["signature"].slice(lo, hi - lo)), k[lo:hi], side[lo:hi]
+                )
                 if len(pairs):
                     columns = [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
                     yield pa.record_batch(columns, names=["node", "other"])
