@@ -13,7 +13,7 @@ similarity of the shingle sets of what collides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,6 +38,8 @@ DIGITS = 4
 MARGIN = 0.2
 #: A larger bucket is compared in blocks of about this many rows, a pair of blocks at a time.
 BLOCK_ROWS = 2048
+#: Shingle sets of a group hold about twice this many shingles, of 8 bytes each, or are one text's.
+BLOCK_SHINGLES = 1 << 22
 #: Shingles that are permuted at a time, so that the table stays in the processor's cache.
 CHUNK = 1024
 
@@ -122,7 +124,7 @@ def near_duplicates(
     first compared, in each band, with the smallest one there and with the smallest one that
     agrees in the next band too, which joins most groups. What a band still holds apart is then
     compared throughout: all its pairs of different components, of which those with like
-    signatures are verified. ``component_id`` is the smallest doc_id reachable.
+    signatures are verified where they meet. ``component_id`` is the smallest doc_id reachable.
 
     NULL texts are empty, and texts without words are linked to their copies only. A
     doc_id is one node, even if its rows differ; texts of which no row has a doc_id have
@@ -166,7 +168,7 @@ def text_classes(
         named = persist_reliably(named.select("class_id", "root", "k", "part"))
         mixed = named.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
         apart = named.join(mixed.select("k", "part"), ["k", "part"]).join(signed.select("class_id", "fingerprint"), "class_id")
-        late = _verified(_pairs_apart(persist_reliably(apart), threshold - MARGIN, block_rows, bands), signed, docs, n, threshold)
+        late = _late_links(persist_reliably(apart), signed, docs, n, threshold, block_rows, bands)
         if not late.isEmpty():
             roots = connected_components(links.unionAll(late)).withColumnRenamed("node", "class_id")
         out = classes.join(roots, "class_id", "left")
@@ -239,18 +241,10 @@ def _alike(pairs: DataFrame, signed: DataFrame, alike: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The pairs (node, other) whose shingle sets have a Jaccard similarity of ``threshold``, stored.
-
-    Shingle sets are made of one row of each text that is in a pair.
-    """
+    """The pairs (node, other) whose shingle sets have a Jaccard similarity of ``threshold``, stored."""
     pairs = persist_reliably(pairs)
     named = pairs.select(F.col("node").alias("class_id")).unionAll(pairs.select("other")).distinct()
-    wanted = persist_reliably(signed.select("class_id", "digest").join(named, "class_id"))
-    listed = broadcast_if_bounded(wanted.select(F.col("class_id").alias("doc_id"), "digest"), MAX_BROADCAST_ROWS)
-    texts = _texts(docs).withColumn("digest", text_digest()).join(listed, ["doc_id", "digest"])
-    sets = shingle_sets(texts, n).withColumn("hash", F.xxhash64("shingles"))
-    once = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.size("shingles")))
-    shingled = persist_reliably(sets.withColumn("_rank", once).filter("_rank = 1").select("doc_id", "shingles"))
+    shingled = _shingled(named, signed, docs, n)
     left = shingled.select(F.col("doc_id").alias("node"), F.col("shingles").alias("a"))
     right = shingled.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
@@ -259,6 +253,16 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, thre
     return persist_reliably(both.filter((whole > 0) & (shared >= threshold * whole)).select("node", "other"))
 
 
+def _shingled(named: DataFrame, signed: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles) of the named classes, from one row of each text, stored."""
+    wanted = persist_reliably(signed.select("class_id", "digest").join(named, "class_id"))
+    listed = broadcast_if_bounded(wanted.select(F.col("class_id").alias("doc_id"), "digest"), MAX_BROADCAST_ROWS)
+    texts = _texts(docs).withColumn("digest", text_digest()).join(listed, ["doc_id", "digest"])
+    sets = shingle_sets(texts, n).withColumn("hash", F.xxhash64("shingles"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.size("shingles")))
+    return persist_reliably(sets.withColumn("_rank", once).filter("_rank = 1").select("doc_id", "shingles"))
+
+
 def _places(signed: DataFrame) -> Column:
     """The places of the fingerprints as bytes, which may be stored as hex."""
     stored = isinstance(signed.schema["fingerprint"].dataType, BinaryType)
@@ -283,38 +287,128 @@ def _banded(signed: DataFrame, bands: int) -> DataFrame:
     return some.select("class_id", "fingerprint", F.inline(F.array(*parts)))
 
 
+def _late_links(apart: DataFrame, signed: DataFrame, docs: DataFrame, n: int, threshold: float, block_rows: int, bands: int) -> DataFrame:
+    """(node, other): links between the roots of each band of the stored ``apart``, stored.
+
+    Where many texts are alike but below the threshold, pairs to verify grow with the square of
+    their number. So pairs are not rows: a row that is in any pair takes its shingle set to its band,
+    and the group of rows is verified in numpy. Of each group only links that join two roots leave.
+    """
+    some = persist_reliably(_rows_apart(apart, threshold - MARGIN, block_rows, bands))
+    sets = _shingled(some.select("class_id").distinct(), signed, docs, n).withColumnRenamed("doc_id", "class_id")
+    rows = apart.join(some, ["k", "part", "class_id"]).join(sets, "class_id")
+    return persist_reliably(_links_apart(rows, threshold, block_rows, bands))
+
+
 def _pairs_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = BANDS) -> DataFrame:
-    """(node, other): classes of one band and different roots whose signatures are alike.
+    """(node, other): classes of one band and different roots whose signatures are alike, once each."""
+
+    def pairs(group: pa.Table, found: Found, root: np.ndarray) -> pa.RecordBatch:
+        node = group["class_id"].to_numpy()
+        named = [np.stack([np.maximum(node[i], node[others]), np.minimum(node[i], node[others])]) for i, others in found]
+        one, two = np.concatenate([np.zeros((2, 0), dtype=np.int64), *named], axis=1)
+        return pa.record_batch([pa.array(one), pa.array(two)], names=["node", "other"])
+
+    return _apart(banded, alike, block_rows, bands, pairs, "node long, other long").distinct()
+
+
+def _rows_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = BANDS) -> DataFrame:
+    """(k, part, class_id): the rows of bands that are in one of the pairs of :func:`_pairs_apart`."""
+
+    def members(group: pa.Table, found: Found, root: np.ndarray) -> pa.RecordBatch:
+        paired = np.zeros(len(root), dtype=bool)
+        for i, others in found:
+            paired[i] |= len(others) > 0
+            paired[others] = True
+        return group.select(["k", "part", "class_id"]).filter(pa.array(paired)).combine_chunks().to_batches()
+
+    return _apart(banded, alike, block_rows, bands, members, "k long, part binary, class_id long").distinct()
+
+
+def _links_apart(banded: DataFrame, threshold: float, block_rows: int, bands: int = BANDS) -> DataFrame:
+    """(node, other): links that join the roots of each band as the pairs of :func:`_pairs_apart` do that
+    reach ``threshold``; ``banded`` has the shingles of its rows."""
+
+    def links(group: pa.Table, found: Found, root: np.ndarray) -> pa.RecordBatch:
+        node, sets = group["class_id"].to_numpy(), group["shingles"].combine_chunks()
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        names, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        mine = np.zeros(len(names), dtype=bool)
+        named: list[tuple[int, int]] = []
+        for i, others in found:
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            mine[own] = True
+            for other in _parts(others, sizes):
+                ends = np.cumsum(sizes[other])
+                begins = ends - sizes[other]
+                hits = mine[flat[np.repeat(starts[other] - begins, sizes[other]) + np.arange(ends[-1])]]
+                shared = np.add.reduceat(hits, begins, dtype=np.int64)
+                linked = other[shared >= threshold * (sizes[i] + sizes[other] - shared)]
+                for at in linked[np.unique(root[linked], return_index=True)[1]].tolist():
+                    if root[at] != root[i]:
+                        named.append((max(node[i], node[at]), min(node[i], node[at])))
+                        root[root == root[at]] = root[i]
+            mine[own] = False
+        one, two = (pa.array([pair[k] for pair in named], pa.int64()) for k in (0, 1))
+        return pa.record_batch([one, two], names=["node", "other"])
+
+    return _apart(banded, threshold - MARGIN, block_rows, bands, links, "node long, other long").distinct()
+
+
+def _parts(rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in parts of about ``BLOCK_SHINGLES`` shingles."""
+    if len(rows):
+        part = np.cumsum(sizes[rows]) // BLOCK_SHINGLES
+        yield from np.split(rows, np.flatnonzero(np.diff(part)) + 1)
+
+
+#: A row of a group and the later rows that it makes pairs with.
+Found = Iterator[tuple[int, np.ndarray]]
+
+
+def _apart(
+    banded: DataFrame,
+    alike: float,
+    block_rows: int,
+    bands: int,
+    emit: Callable[[pa.Table, Found, np.ndarray], pa.RecordBatch | list[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """What ``emit`` makes of each group's pairs of different roots whose signatures are alike.
 
     Bands that are of one root already take no part. Rows of a large band are dealt to
     blocks, and every pair of blocks is a group of its own, so that none is larger than two
-    blocks; the rows of a group are compared in numpy and only pairs that are alike leave it.
-    A pair leaves the first band that it shares, which holds two roots like all that it
-    shares, and the one group where its blocks meet, so it is named once.
+    blocks; the rows of a group are compared in numpy.
+    A pair is found in the first band that it shares, which holds two roots like all that it
+    shares, and in the one group where its blocks meet, so it is found once. ``emit`` gets the roots of
+    a group's rows, and pairs that it has brought under one root are not found any more.
     """
     width = PERMUTATIONS // bands
-    sizes = banded.groupBy("k", "part").agg(
-        F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
-    )
-    mixed = sizes.filter("least < most").select("k", "part", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    wide = "shingles" in banded.columns
+    blocks = F.ceil(F.count("*") / block_rows)
+    if wide:
+        blocks = F.greatest(blocks, F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES))
+    sizes = banded.groupBy("k", "part").agg(blocks.alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = sizes.filter("least < most").select("k", "part", "blocks")
     dealt = banded.join(mixed, ["k", "part"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = F.xxhash64("k", "part", F.least("block", "with"), F.greatest("block", "with"))
     # Rows of a group of two blocks have their block, those of a block alone have -1.
     side = F.when(F.col("block") == F.col("with"), F.lit(-1)).otherwise(F.col("block")).alias("side")
-    rows = met.select(group.alias("group"), "class_id", "root", _places(banded).alias("signature"), F.col("k").cast("long").alias("k"), side)
+    rows = met.select(
+        group.alias("group"), "class_id", "root", _places(banded).alias("signature"), F.col("k").cast("long").alias("k"), "part", side,
+        *(["shingles"] if wide else []),
+    )
 
-    def compare(node: np.ndarray, root: np.ndarray, signature: np.ndarray, k: np.ndarray, side: np.ndarray) -> np.ndarray:
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for i in range(len(node) - 1):
+    def similar(root: np.ndarray, signature: np.ndarray, k: np.ndarray, side: np.ndarray) -> Found:
+        for i in range(len(root) - 1):
             met = (root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
             rest = i + 1 + np.flatnonzero(met)
             equal = signature[rest] == signature[i]
             rest, equal = (x[equal.mean(axis=1) >= alike] for x in (rest, equal))
             before = equal[:, : k[i] * width].reshape(len(rest), k[i], width).all(axis=2).any(axis=1)
-            others = node[rest[~before]]
-            found.append(np.stack([np.maximum(others, node[i]), np.minimum(others, node[i])], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            yield i, rest[~before]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -335,17 +429,14 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int, bands: int =
             if batch is not None:
                 held = whole.slice(starts[-1]).to_batches()
                 starts, ends = starts[:-1], ends[:-1]
-            node, root, k, side = (whole[c].to_numpy() for c in ("class_id", "root", "k", "side"))
             for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-                pairs = compare(
-                    node[lo:hi], root[lo:hi], _table(whole["signature"].slice(lo, hi - lo)), k[lo:hi], side[lo:hi]
-                )
-                if len(pairs):
-                    columns = [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
-                    yield pa.record_batch(columns, names=["node", "other"])
-
-    ordered = rows.repartition("group").sortWithinPartitions("group")
-    return ordered.mapInArrow(run, "node long, other long").distinct()
+                own = whole.slice(lo, hi - lo)
+                root, k, side = (own[c].to_numpy() for c in ("root", "k", "side"))
+                root = root.copy()
+                out = emit(own, similar(root, _table(own["signature"]), k, side), root)
+                yield from out if isinstance(out, list) else [out]
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:

@@ -183,3 +183,27 @@ def test_like_pairs_across_roots_are_all_found(spark):
     for block_rows in (2048, 7):
         got = [tuple(r) for r in minhash._pairs_apart(banded, 0.6, block_rows).collect()]
         assert len(got) == len(expected) and set(got) == expected
+
+
+def test_alike_texts_below_the_threshold_are_verified_where_they_meet(spark, monkeypatch):
+    """Many pairs of different components must not become rows of a join."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 12), 4):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(100, texts[7] + " end"), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    verified, late = [], []
+    for name, seen in (("_verified", verified), ("_links_apart", late)):
+        whole = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda first, *rest, whole=whole, seen=seen: seen.append(first.count()) or whole(first, *rest))
+    for block_rows, shingles in ((2048, 1 << 22), (8, 100)):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, block_rows=block_rows).collect()}
+        assert got == brute_components(rows)
+    assert len(verified) == len(late) == 2
+    assert all(n <= 2 * 32 * len(rows) for n in verified) and all(0 < n <= 32 * len(rows) for n in late)
