@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from reviewlake.schemas import conform, normalize_columns
 from reviewlake.session import scratch_path
 from reviewlake.sources import sinks, tables
 
+#: Texts that one task writes to one file: some splits of a scan.
+ONE_FILE_BYTES = 1 << 29
+
 _DOCS = "doc_id, text, lang, source, n_chars"
 
 
@@ -87,10 +91,16 @@ def csv_round_trip(spark, sf_dir):
     r"""SELECT doc_id, replace(text, '.', '."' || chr(10) || '",') AS text, lang FROM documents""",
 )
 def csv_scan_one_file(spark, sf_dir):
-    """One file of all texts, with quotes, commas and line breaks in them, read by all tasks."""
+    """One file of all texts, with quotes, commas and line breaks in them, read by all tasks.
+
+    Each file is written by one task, so texts beyond ``ONE_FILE_BYTES`` go on in another file.
+    """
     broken = F.replace("text", F.lit("."), F.lit('."\n",'))
     path = _path(spark, "one-csv")
-    sinks.export_csv(_documents(spark, sf_dir).select("doc_id", broken.alias("text"), "lang").coalesce(1), path)
+    docs = _documents(spark, sf_dir).select("doc_id", broken.alias("text"), "lang")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = math.ceil(size / ONE_FILE_BYTES)
+    sinks.export_csv(docs.coalesce(1) if files <= 1 else docs.repartition(files), path)
     return tables.scan_csv(spark, path, "doc_id long, text string, lang string")
 
 
