@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from reviewlake.functions.arrays import let, run_lengths
 from reviewlake.functions.text import letter_trigrams, strip
 from reviewlake.lexicons import ENGLISH_PATTERNS
-from reviewlake.session import broadcast_if_bounded, persist_reliably
+from reviewlake.operators.batch_counts import language_trigrams, trigram_sums
+from reviewlake.session import persist_reliably
 
 #: Largest number of profile cells (trigrams times languages, 8 bytes each) that is broadcast.
 MAX_BROADCAST_CELLS = 4_000_000
@@ -51,15 +52,10 @@ def fit_language_profiles(
 
     ``floor`` is the add-one log-probability of an unseen trigram and ``gain``
     what a known one adds to it. The alphabet bounds the number of distinct
-    trigrams, so map-side aggregation leaves little to shuffle; with a size, the window
+    trigrams, so each task's counts leave little to shuffle; with a size, the window
     drops all but that many rows per language on each task.
     """
-    counts = persist_reliably(
-        df.where(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(letter_trigrams(F.col(text))).alias("trigram"))
-        .groupBy("lang", "trigram")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = persist_reliably(language_trigrams(df, text, lang))
     distinct = counts.select(F.count_distinct("trigram")).scalar()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     floors = totals.select(
@@ -75,11 +71,14 @@ def fit_language_profiles(
     return profile.join(floors, "lang")
 
 
+def _long_enough(text: str) -> Column:
+    return F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
+
+
 def _trigram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, trigram, tf) of the texts long enough to detect, counted inside the row."""
-    long_enough = F.coalesce(F.length(strip(F.col(text))) > 3, F.lit(False))
     counted = F.explode(run_lengths(letter_trigrams(F.col(text)))).alias("_t")
-    return df.where(long_enough).select(key, counted).select(key, F.col("_t.term").alias("trigram"), "_t.tf")
+    return df.where(_long_enough(text)).select(key, counted).select(key, F.col("_t.term").alias("trigram"), "_t.tf")
 
 
 def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
@@ -87,7 +86,8 @@ def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> D
 
     The profiles become one row per trigram with one gain per language. All
     trigrams of a text sit in one task, so its scores are added up before the only
-    shuffle, which carries one row of whole numbers per text. More languages than
+    shuffle, which carries one row of whole numbers per text. Profiles that are small
+    enough are broadcast and looked up in numpy; others are joined. More languages than
     make a sensible number of columns are scored as rows instead.
     """
     stored = persist_reliably(profiles)
@@ -95,19 +95,22 @@ def _best_language(df: DataFrame, key: str, text: str, profiles: DataFrame) -> D
     floors = sorted(tuple(r) for r in per_language.limit(MAX_LANGUAGE_COLUMNS + 1).collect())
     if not floors:
         return df.select(key, F.lit(None).cast("string").alias("lang")).limit(0)
-    counted = _trigram_counts(df, key, text)
     if len(floors) > MAX_LANGUAGE_COLUMNS:
-        return _best_of_many_languages(counted, key, stored)
+        return _best_of_many_languages(_trigram_counts(df, key, text), key, stored)
     gains = [
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("gain"))), F.lit(0)).alias(f"_g{i}")
         for i, (lang, _) in enumerate(floors)
     ]
-    wide = broadcast_if_bounded(
-        persist_reliably(stored.groupBy("trigram").agg(*gains)), MAX_BROADCAST_CELLS // len(floors)
-    )
-    sums = [F.sum(F.col(f"_g{i}") * F.col("tf")).alias(f"_g{i}") for i in range(len(floors))]
-    # The left join keeps unknown trigrams, so that the same pass counts them all.
-    scored = counted.join(wide, "trigram", "left").groupBy(key).agg(F.sum("tf").alias("_n"), *sums)
+    wide = persist_reliably(stored.groupBy("trigram").agg(*gains))
+    most = MAX_BROADCAST_CELLS // len(floors)
+    if wide.limit(most + 1).count() <= most:
+        summed = trigram_sums(df.where(_long_enough(text)), key, text, wide.toArrow(), len(floors))
+        scored = summed.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("_n", *(f"_g{i}" for i in range(len(floors))))])
+    else:
+        sums = [F.sum(F.col(f"_g{i}") * F.col("tf")).alias(f"_g{i}") for i in range(len(floors))]
+        # The left join keeps unknown trigrams, so that the same pass counts them all.
+        counted = _trigram_counts(df, key, text)
+        scored = counted.join(wide, "trigram", "left").groupBy(key).agg(F.sum("tf").alias("_n"), *sums)
     candidates = [
         F.when(
             F.col(f"_g{i}") > 0,

@@ -10,14 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from reviewlake.functions.arrays import empty_strings, run_lengths, sql_words
-from reviewlake.functions.text import (
-    bigrams,
-    is_analysable,
-    unigrams_and_bigrams,
-    vectorizer_tokens,
-)
+from reviewlake.functions.arrays import empty_strings
+from reviewlake.functions.text import is_analysable, vectorizer_tokens
 from reviewlake.lexicons import MAX_LITERAL_WORDS, STOPWORDS
+from reviewlake.operators.batch_counts import row_terms, term_stats
 from reviewlake.session import persist_reliably, ship_package
 
 #: Up to so many features pass through the driver; a larger vocabulary stays a table.
@@ -29,15 +25,6 @@ MAX_SORTED_TIES = 10_000
 VOCABULARY_SCHEMA = "term string, total long, df long, idf double"
 
 
-def _term_stats(df: DataFrame, terms: Column) -> DataFrame:
-    """(term, total, df) from per-row counts; one narrow shuffle."""
-    return (
-        df.select(F.explode(terms).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
-    )
-
-
 def _short_list(terms: DataFrame) -> list[str] | None:
     """The terms if they are few enough for a plan literal, else None."""
     rows = terms.limit(MAX_LITERAL_WORDS + 1).collect()
@@ -130,34 +117,21 @@ def _vocabulary_of(valid: DataFrame, max_features: int, max_df: float, min_df: i
     if max_features < 1:
         raise ValueError("max_features must be positive")
     spark = valid.sparkSession
-    # One extra entry per document counts the documents in the same pass; a
-    # token is never the empty string.
-    per_document = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
-    words = persist_reliably(
-        _term_stats(valid, F.concat(run_lengths(F.col("tokens")), per_document))
-    )
-    marker = words.where(F.col("term") == "").first()
-    documents = marker["df"] if marker else 0
+    documents = valid.count()
+    words = persist_reliably(term_stats(valid))
     if documents <= 1:
         return spark.createDataFrame([], VOCABULARY_SCHEMA)
 
     allowed = (F.col("df") <= max_df * documents) & (F.col("df") >= min_df)
     by_frequency = [F.desc("total"), F.asc("term")]
-    kept = words.where((F.col("term") != "") & allowed)
+    kept = words.where(allowed)
     if max_features > MAX_COLLECTED_FEATURES:
         return _large_vocabulary(valid, kept, allowed, documents, max_features)
     top_words = kept.orderBy(*by_frequency).limit(max_features).collect()
     threshold = top_words[-1]["total"] if len(top_words) == max_features else 1
 
-    pairs = bigrams(F.col("tokens"))
-    frequent = _short_list(
-        words.where((F.col("total") >= threshold) & (F.col("term") != "")).select("term")
-    )
-    if threshold > 1 and frequent is not None:
-        # A rare word becomes NULL, and so does every pair it is part of.
-        known = F.expr(f"transform(tokens, t -> CASE WHEN t IN {sql_words(frequent)} THEN t END)")
-        pairs = F.filter(bigrams(known), lambda p: p.isNotNull())
-    pair_stats = _term_stats(valid, run_lengths(pairs)).where(
+    frequent = _short_list(words.where(F.col("total") >= threshold).select("term")) if threshold > 1 else None
+    pair_stats = term_stats(valid, pairs=True, among=frequent).where(
         allowed & (F.col("total") >= threshold)
     )
     # At most max_features rows on each side from here on.
@@ -186,7 +160,7 @@ def _large_vocabulary(valid: DataFrame, words: DataFrame, allowed: Column, docum
     one, so rarer pairs are left out when their counts are stored.
     """
     last = kth_largest(words, "total", max_features)
-    pairs = _term_stats(valid, run_lengths(bigrams(F.col("tokens")))).where(allowed & (F.col("total") >= (last[0] if last else 1)))
+    pairs = term_stats(valid, pairs=True).where(allowed & (F.col("total") >= (last[0] if last else 1)))
     counted = persist_reliably(words.unionByName(pairs))
     idf = F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1.0
     return persist_reliably(top_terms(counted, max_features).select("term", "total", "df", idf.alias("idf")))
@@ -205,14 +179,12 @@ def term_scores(
 
 
 def _scores_of(valid: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    rows = valid.select(key, unigrams_and_bigrams(F.col("tokens")).alias("terms"))
     listed = _short_list(vocabulary.select("term"))
-    kept = F.expr(f"filter(terms, t -> t IN {sql_words(listed)})") if listed else F.col("terms")
-    exploded = rows.select(key, F.explode(run_lengths(kept)).alias("t"))
+    counted = row_terms(valid, key, listed)
     weights = vocabulary.select("term", "idf")
     if listed is not None:  # a longer vocabulary is left to the optimiser
         weights = F.broadcast(weights)
-    return exploded.join(weights, F.col("t.term") == F.col("term")).select(key, "term", "t.tf", (F.col("t.tf") * F.col("idf")).alias("score"))
+    return counted.join(weights, "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
 def top_per_key(scores: DataFrame, key: str, item: str, score: str, k: int) -> DataFrame:

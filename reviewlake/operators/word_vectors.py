@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlake.functions.arrays import sql_words
 from reviewlake.functions.text import is_analysable, vectorizer_tokens
 from reviewlake.lexicons import MAX_LITERAL_WORDS, STOPWORDS
+from reviewlake.operators.batch_counts import near_pairs
 from reviewlake.operators.phrases import top_terms
 from reviewlake.session import persist_reliably, ship_package
 
@@ -65,12 +65,7 @@ def cooccurrences(tokens: DataFrame, words: list[str], window: int = WINDOW) ->
     """
     if not words:
         return tokens.sparkSession.createDataFrame([], "a string, b string, n long")
-    known = tokens.select(F.expr(f"transform(tokens, t -> CASE WHEN t IN {sql_words(words)} THEN t END)").alias("w"))
-    pairs = f"""flatten(transform(sequence(1, {int(window)}), d -> filter(
-        zip_with(w, slice(w, d + 1, size(w)),
-                 (x, y) -> CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN struct(least(x, y) AS a, greatest(x, y) AS b) END),
-        p -> p IS NOT NULL)))"""
-    return known.select(F.explode(F.expr(pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return near_pairs(tokens, words, int(window))
 
 
 def positive_information(pairs: DataFrame) -> DataFrame:
