@@ -157,22 +157,24 @@ def text_classes(
     spark = docs.sparkSession
     with shuffle_files_removed(spark):
         rows = persist_reliably(_signed(docs, n)) if rows is None else rows
-        classes = persist_reliably(rows.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("class_id")))
-        # One row of each digest; the limit works in each task before the shuffle.
-        least = F.row_number().over(Window.partitionBy("digest").orderBy(F.asc_nulls_last("doc_id")))
-        signed = persist_reliably(rows.withColumn("_rank", least).filter("_rank = 1").drop("_rank").withColumnRenamed("doc_id", "class_id"))
+        # Rows of one digest have one text, and so one fingerprint.
+        classes = persist_reliably(
+            rows.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("class_id"), F.min("fingerprint").alias("fingerprint"))
+        )
+        signed = classes.drop("n_docs")
         crowded = _crowded(signed, bands)
         links = _verified(_alike(_beside(crowded), signed, threshold - MARGIN), signed, docs, n, threshold)
         roots = connected_components(links).withColumnRenamed("node", "class_id")
         named = crowded.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
         named = persist_reliably(named.select("class_id", "root", "k", "part"))
-        mixed = named.groupBy("k", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        apart = named.join(mixed.select("k", "part"), ["k", "part"]).join(signed.select("class_id", "fingerprint"), "class_id")
+        apart = named.join(_mixed(named, block_rows), ["k", "part"]).join(signed.select("class_id", "fingerprint"), "class_id")
         late = _late_links(persist_reliably(apart), signed, docs, n, threshold, block_rows, bands)
+        out = classes.drop("fingerprint").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
         if not late.isEmpty():
-            roots = connected_components(links.unionAll(late)).withColumnRenamed("node", "class_id")
-        out = classes.join(roots, "class_id", "left")
-        return persist_reliably(out.select("digest", "n_docs", "class_id", F.coalesce("root", "class_id").alias("component_id")))
+            # Late links join roots, so only they are joined anew.
+            further = connected_components(late).select(F.col("node").alias("root"), F.col("root").alias("last"))
+            out = out.join(further, "root", "left").withColumn("root", F.coalesce("last", "root"))
+        return persist_reliably(out.select("digest", "n_docs", "class_id", F.col("root").alias("component_id")))
 
 
 def with_classes(rows: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
@@ -218,11 +220,9 @@ def _beside(crowded: DataFrame) -> DataFrame:
     """(node, other): each class with the first of its band and with the first that shares the next band too."""
     nearer = crowded.groupBy("finer").agg(F.min("class_id").alias("nearest"))
     both = crowded.join(nearer, "finer").select("class_id", F.explode(F.array("first", "nearest")).alias("other"))
-    return (
-        both.filter("other != class_id")
-        .select(F.greatest("class_id", "other").alias("node"), F.least("class_id", "other").alias("other"))
-        .distinct()
-    )
+    pairs = both.filter("other != class_id").select(F.greatest("class_id", "other").alias("node"), F.least("class_id", "other").alias("other"))
+    # Dealt by node, repeats meet and so do the signatures that are joined next.
+    return pairs.repartition("node").distinct()
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, alike: float) -> DataFrame:
@@ -288,18 +288,31 @@ def _banded(signed: DataFrame, bands: int) -> DataFrame:
 
 
 def _late_links(apart: DataFrame, signed: DataFrame, docs: DataFrame, n: int, threshold: float, block_rows: int, bands: int) -> DataFrame:
-    """(node, other): links between the roots of each band of the stored ``apart``, stored.
+    """(node, other): links between the roots of the bands of the stored ``apart``, stored.
 
     Where many texts are alike but below the threshold, pairs to verify grow with the square of
     their number. So pairs are not rows: a row that is in any pair takes its shingle set to its band,
-    and the group of rows is verified in numpy. Of each group only links that join two roots leave.
+    and the group of rows is verified in numpy. Of each group only links that join two roots leave,
+    as links of these roots.
     """
-    some = persist_reliably(_rows_apart(apart, threshold - MARGIN, block_rows, bands))
-    sets = _shingled(some.select("class_id").distinct(), signed, docs, n).withColumnRenamed("doc_id", "class_id")
-    rows = apart.join(some, ["k", "part", "class_id"]).join(sets, "class_id")
+    some = _rows_apart(apart, threshold - MARGIN, block_rows, bands)
+    some = persist_reliably(some.groupBy("class_id").agg(F.collect_set("k").alias("ks")))
+    sets = _shingled(some.select("class_id"), signed, docs, n).withColumnRenamed("doc_id", "class_id")
+    apart = apart.drop("blocks").join(some, "class_id").filter(F.array_contains("ks", F.col("k").cast("long"))).drop("ks")
+    sized = apart.select("class_id", "k", "part", "root").join(sets.select("class_id", F.size("shingles").alias("n")), "class_id")
+    rows = apart.join(_mixed(sized, block_rows), ["k", "part"]).join(sets, "class_id")
     return persist_reliably(_links_apart(rows, threshold, block_rows, bands))
 
 
+def _mixed(banded: DataFrame, block_rows: int) -> DataFrame:
+    """(k, part, blocks): the bands of several roots, and into how many blocks each is cut."""
+    blocks = F.ceil(F.count("*") / block_rows)
+    if "n" in banded.columns:
+        blocks = F.greatest(blocks, F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = banded.groupBy("k", "part").agg(blocks.alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return sizes.filter("least < most").select("k", "part", "blocks")
+
+
 def _pairs_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = BANDS) -> DataFrame:
     """(node, other): classes of one band and different roots whose signatures are alike, once each."""
 
@@ -313,7 +326,7 @@ def _pairs_apart(banded: DataFrame, alike: float, block_rows: int, bands: int =
 
 
 def _rows_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = BANDS) -> DataFrame:
-    """(k, part, class_id): the rows of bands that are in one of the pairs of :func:`_pairs_apart`."""
+    """(k, part, class_id): the rows of bands that are in one of the pairs of :func:`_pairs_apart`, for each group of them."""
 
     def members(group: pa.Table, found: Found, root: np.ndarray) -> pa.RecordBatch:
         paired = np.zeros(len(root), dtype=bool)
@@ -322,15 +335,15 @@ def _rows_apart(banded: DataFrame, alike: float, block_rows: int, bands: int = B
             paired[others] = True
         return group.select(["k", "part", "class_id"]).filter(pa.array(paired)).combine_chunks().to_batches()
 
-    return _apart(banded, alike, block_rows, bands, members, "k long, part binary, class_id long").distinct()
+    return _apart(banded, alike, block_rows, bands, members, "k long, part binary, class_id long")
 
 
 def _links_apart(banded: DataFrame, threshold: float, block_rows: int, bands: int = BANDS) -> DataFrame:
-    """(node, other): links that join the roots of each band as the pairs of :func:`_pairs_apart` do that
-    reach ``threshold``; ``banded`` has the shingles of its rows."""
+    """(node, other): roots of each band that the pairs of :func:`_pairs_apart` join that reach
+    ``threshold``; ``banded`` has the shingles of its rows."""
 
     def links(group: pa.Table, found: Found, root: np.ndarray) -> pa.RecordBatch:
-        node, sets = group["class_id"].to_numpy(), group["shingles"].combine_chunks()
+        first, sets = group["root"].to_numpy(), group["shingles"].combine_chunks()
         sizes = sets.value_lengths().to_numpy().astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         names, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
@@ -347,13 +360,13 @@ def _links_apart(banded: DataFrame, threshold: float, block_rows: int, bands: in
                 linked = other[shared >= threshold * (sizes[i] + sizes[other] - shared)]
                 for at in linked[np.unique(root[linked], return_index=True)[1]].tolist():
                     if root[at] != root[i]:
-                        named.append((max(node[i], node[at]), min(node[i], node[at])))
+                        named.append((max(first[i], first[at]), min(first[i], first[at])))
                         root[root == root[at]] = root[i]
             mine[own] = False
         one, two = (pa.array([pair[k] for pair in named], pa.int64()) for k in (0, 1))
         return pa.record_batch([one, two], names=["node", "other"])
 
-    return _apart(banded, threshold - MARGIN, block_rows, bands, links, "node long, other long").distinct()
+    return _apart(banded, threshold - MARGIN, block_rows, bands, links, "node long, other long")
 
 
 def _parts(rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -378,20 +391,17 @@ def _apart(
     """What ``emit`` makes of each group's pairs of different roots whose signatures are alike.
 
     Bands that are of one root already take no part. Rows of a large band are dealt to
-    blocks, and every pair of blocks is a group of its own, so that none is larger than two
-    blocks; the rows of a group are compared in numpy.
+    blocks, their number as :func:`_mixed` gives it or as ``banded`` has it, and every pair of
+    blocks is a group of its own, so that none is larger than two blocks; the rows of a group are compared in numpy.
     A pair is found in the first band that it shares, which holds two roots like all that it
     shares, and in the one group where its blocks meet, so it is found once. ``emit`` gets the roots of
     a group's rows, and pairs that it has brought under one root are not found any more.
     """
     width = PERMUTATIONS // bands
     wide = "shingles" in banded.columns
-    blocks = F.ceil(F.count("*") / block_rows)
-    if wide:
-        blocks = F.greatest(blocks, F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES))
-    sizes = banded.groupBy("k", "part").agg(blocks.alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
-    mixed = sizes.filter("least < most").select("k", "part", "blocks")
-    dealt = banded.join(mixed, ["k", "part"]).withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
+    if "blocks" not in banded.columns:
+        banded = banded.join(_mixed(banded, block_rows), ["k", "part"])
+    dealt = banded.withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = F.xxhash64("k", "part", F.least("block", "with"), F.greatest("block", "with"))
     # Rows of a group of two blocks have their block, those of a block alone have -1.

@@ -207,3 +207,15 @@ def test_alike_texts_below_the_threshold_are_verified_where_they_meet(spark, mon
         assert got == brute_components(rows)
     assert len(verified) == len(late) == 2
     assert all(n <= 2 * 32 * len(rows) for n in verified) and all(0 < n <= 32 * len(rows) for n in late)
+
+
+def test_late_links_join_roots(spark):
+    """Links of the late comparison are of roots, so that components are not made of all links again."""
+    texts = [" ".join(f"w{i}" for i in range(100)) + f" end{k}" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = minhash.fingerprints(docs).withColumnRenamed("doc_id", "class_id")
+    sets = minhash.shingle_sets(docs, 5).withColumnRenamed("doc_id", "class_id")
+    banded = minhash._banded(signed, 32).selectExpr("*", "class_id % 3 AS root").join(sets, "class_id")
+    for block_rows in (2048, 5):
+        got = {tuple(r) for r in minhash._links_apart(banded, 0.8, block_rows).collect()}
+        assert got <= {(1, 0), (2, 0), (2, 1)} and len(got) >= 2
